@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import quality_rules
+from lorekeep.llm import byte_bpe, curve_packing, quality_rules, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hilbert_packing": curve_packing.op1_hilbert_packing,
+    "op2_credential_links": secret_scan.op2_credential_links,
     "op4_line_labels": quality_rules.op4_line_labels,
+    "op7_segment_tree_bpe": byte_bpe.op7_segment_tree_bpe,
+    "op8_unigram_counts": token_counts.op8_unigram_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
