@@ -35,7 +35,7 @@ class Words:
             else:
                 head, *words = t.split(" ")
                 parts.append((head, words))
-        new = list(set().union(*(w for _, w in parts)) - self.known.keys()) if parts else []
+        new = [w for w in set().union(*(w for _, w in parts)) if w not in self.known]
         heads = [h for h, _ in parts]
         got = self.encode([*heads, *(f" {w}" for w in new)])
         fresh = dict(zip(new, got[len(heads) :]))
