@@ -30,7 +30,7 @@ from lorekeep.llm.common import cut, slices, table
 BUCKETS = 1 << 14
 SEED = 11
 #: Temperature of the noise against log-ratios per n-gram.
-NOISE = 0.1
+NOISE = 0.02
 #: Ranges in a round of the threshold search, and the most keys that are fetched at its end.
 RANGES, FEW = 4096, 4096
 
@@ -144,8 +144,8 @@ def resample(docs: DataFrame, target: DataFrame, share: float, noise: float = NO
 
 
 def op3_importance_resampling(spark, sf_dir: str) -> DataFrame:
-    """Target: rows labelled as good and not toxic. The share that stays is that of good labels."""
+    """Target: rows labelled as good and not toxic. The share that stays is that of good quality."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    share = labels.agg(F.avg(F.when(good, 1.0).otherwise(0.0))).first()[0]
+    share = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     return resample(docs, labels.where(good).select("doc_id"), 0.5 if share is None else float(share))

@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import byte_bpe, curve_packing, quality_rules, secret_scan, token_counts
+from lorekeep.llm import byte_bpe, curve_packing, importance_resampling, language_id, line_dedup, quality_rules, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_packing": curve_packing.op1_hilbert_packing,
     "op2_credential_links": secret_scan.op2_credential_links,
+    "op3_importance_resampling": importance_resampling.op3_importance_resampling,
     "op4_line_labels": quality_rules.op4_line_labels,
+    "op5_near_lines": line_dedup.op5_near_lines,
+    "op6_zstd_languages": language_id.op6_zstd_languages,
     "op7_segment_tree_bpe": byte_bpe.op7_segment_tree_bpe,
     "op8_unigram_counts": token_counts.op8_unigram_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_near_lines": line_dedup.ORACLE,
+}
