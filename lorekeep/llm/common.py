@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,18 @@ def slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[list[str]]:
         begin = end
 
 
-def ranges_of(counts: np.ndarray) -> np.ndarray:
-    """Offsets of consecutive groups of the given sizes."""
-    return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+class Hashes:
+    """Hashes of words, with a bounded memory of them."""
+
+    def __init__(self, limit: int = 500_000) -> None:
+        self.known: dict[bytes, int] = {}
+        self.limit = limit
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > self.limit:
+            known.clear()
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

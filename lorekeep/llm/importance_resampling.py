@@ -20,12 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lorekeep.llm.common import cut, slices, table
+from lorekeep.llm.common import Hashes, cut, slices, table
 
 BUCKETS = 1 << 14
 SEED = 11
@@ -35,23 +34,6 @@ NOISE = 0.02
 RANGES, FEW = 4096, 4096
 
 
-class Hashes:
-    """Hashes of words, with a bounded memory of them."""
-
-    def __init__(self, limit: int = 500_000) -> None:
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 def ngram_buckets(text: str, hashes: Hashes) -> np.ndarray:
     h = hashes(text.lower().encode().split())
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
