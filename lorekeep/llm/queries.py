@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import byte_bpe, curve_packing, importance_resampling, language_id, line_dedup, quality_rules, secret_scan, token_counts
+from lorekeep.llm import byte_bpe, curve_packing, hnsw, importance_resampling, language_id, line_dedup, minhash_forest, quality_rules, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_packing": curve_packing.op1_hilbert_packing,
@@ -17,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_zstd_languages": language_id.op6_zstd_languages,
     "op7_segment_tree_bpe": byte_bpe.op7_segment_tree_bpe,
     "op8_unigram_counts": token_counts.op8_unigram_counts,
+    "op9_lsh_forest": minhash_forest.op9_lsh_forest,
+    "op10_hnsw": hnsw.op10_hnsw,
 }
 
 ORACLE_SQL: dict[str, str] = {
