@@ -175,11 +175,12 @@ def bpe(path: str) -> Bpe:
 def _words(path: str) -> Words:
     pattern, model = regex.compile(public_tokenizers.PATTERN), bpe(path)
 
-    def encode(segments: list[str]) -> list[bytes]:
-        split = [pattern.findall(s) for s in segments]
+    def encode(heads: list[str], segments: list[str]) -> tuple[list[bytes], list[bytes]]:
+        split = [pattern.findall(s) for s in (*heads, *segments)]
         pieces = list({p for ps in split for p in ps})
         ids = {p: x.tobytes() for p, x in zip(pieces, model.encode([p.encode() for p in pieces]))}
-        return [b"".join(map(ids.__getitem__, ps)) for ps in split]
+        out = [b"".join(map(ids.__getitem__, ps)) for ps in split]
+        return out[: len(heads)], out[len(heads) :]
 
     return Words(encode)
 

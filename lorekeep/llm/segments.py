@@ -1,9 +1,9 @@
-"""Texts as words that a tokenizer can encode one by one, with a bounded memory of words.
+"""Texts as segments that a tokenizer can encode one by one, with a bounded memory of segments.
 
 Byte-level pre-tokenizers never put a boundary inside a run of white space that ends before a word
-in another place because of what stands earlier, so a text falls apart before each space that
-follows a character that is not white space. A text in which some space follows white space is
-handed over whole.
+in another place because of what stands earlier, so a text falls apart before each space or line
+end that follows a character that is not white space. Marks that end a segment after a letter or
+digit are a piece of their own. A text in which white space meets white space is handed over whole.
 """
 
 from __future__ import annotations
@@ -12,37 +12,52 @@ import re
 from collections.abc import Callable
 from typing import Any
 
-_AFTER_SPACE = re.compile(r"\s\x20")
+_MEETS = re.compile(r"\s[\x20\n]")
+_MARKS = ".,;:!?"
 
 
 class Words:
-    """Encodes lists of texts through `encode`, which gets new words in batches.
+    """Encodes lists of texts through `encode(heads, segments)`; values of segments must add up.
 
-    A word stands for the segment of a space and the word; a text's head has no space before it.
-    """
+    A head has nothing before it. A segment is a space or a line end and what follows it."""
 
-    def __init__(self, encode: Callable[[list[str]], list[Any]], limit: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, encode: Callable[[list[str], list[str]], tuple[list[Any], list[Any]]], limit: int = 400_000, longest: int = 64) -> None:
         self.encode, self.limit, self.longest = encode, limit, longest
         self.known: dict[str, Any] = {}
 
     def __call__(self, texts: list[str]) -> list[list[Any]]:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        parts: list[tuple[str, list[str]]] = []
+        known = self.known
+        if len(known) > self.limit:
+            known.clear()
+        heads: list[str] = []
+        parts: list[list[str]] = []
         for t in texts:
-            if _AFTER_SPACE.search(t):
-                parts.append((t, []))
+            if _MEETS.search(t):
+                heads.append(t)
+                parts.append([])
             else:
-                head, *words = t.split(" ")
-                parts.append((head, words))
-        new = [w for w in set().union(*(w for _, w in parts)) if w not in self.known]
-        heads = [h for h, _ in parts]
-        got = self.encode([*heads, *(f" {w}" for w in new)])
-        fresh = dict(zip(new, got[len(heads) :]))
-        known = self.known
-        known.update(fresh)
-        out = [[h, *map(known.__getitem__, w)] for h, (_, w) in zip(got, parts)]
-        for w in fresh:
+                head, *words = t.replace("\n", " \n").split(" ")
+                heads.append(head)
+                parts.append(words)
+        new = [w for w in set().union(*parts) if w not in known]
+        cut: list[tuple[str, str, str]] = []
+        ask: dict[str, None] = {}
+        for w in new:
+            base = w.rstrip(_MARKS)
+            if len(base) < len(w) and base and base[-1].isalpha():
+                cut.append((w, base, w[len(base) :]))
+                if base not in known:
+                    ask[base] = None
+            else:
+                ask[w] = None
+        marks = list({m for _, _, m in cut})
+        asked = list(ask)
+        alone, got = self.encode([*heads, *marks], [w if w[:1] == "\n" else f" {w}" for w in asked])
+        known.update(zip(asked, got))
+        tails = dict(zip(marks, alone[len(heads) :]))
+        known.update((w, known[base] + tails[m]) for w, base, m in cut)
+        out = [[h, *map(known.__getitem__, p)] for h, p in zip(alone, parts)]
+        for w in new:
             if len(w) > self.longest:
                 del known[w]
         return out
