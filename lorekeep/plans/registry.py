@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+import importlib
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
-    return QUERIES
+from lorekeep.plans.operator import OPERATORS
+
+for _name in ("lorekeep.sources.views", "lorekeep.operators.logs", "lorekeep.operators.evals", "lorekeep.operators.access", "lorekeep.operators.retrieval", "lorekeep.operators.chunking", "lorekeep.operators.text", "lorekeep.operators.layout", "lorekeep.operators.kb", "lorekeep.operators.memory"):
+    importlib.import_module(_name)
+
+from lorekeep.functions import hooks  # noqa: E402
+from lorekeep.sources import files  # noqa: E402
+from lorekeep.streaming import jobs  # noqa: E402
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return {k: o.over for k, o in OPERATORS.items()} | files.QUERIES | hooks.QUERIES | jobs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE
+    return {k: o.oracle() for k, o in OPERATORS.items()} | files.ORACLE | hooks.ORACLE | jobs.ORACLE
