@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.llm import curve_packing, line_dedup, minhash_forest, quality_rules, secret_scan
 from lorekeep.llm.common import table, written
+from lorekeep.sources.reach import reachable
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,7 +56,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(reachable(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
