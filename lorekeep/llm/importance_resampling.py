@@ -28,6 +28,8 @@ from lorekeep.llm.common import Hashes, cut, slices, table
 
 BUCKETS = 1 << 14
 SEED = 11
+#: Target rows that the target model is fitted on, about; the raw model counts every row.
+TARGET_ROWS = 20_000
 #: Temperature of the noise against log-ratios per n-gram.
 NOISE = 0.02
 #: Ranges in a round of the threshold search, and the most keys that are fetched at its end.
@@ -41,10 +43,13 @@ def ngram_buckets(text: str, hashes: Hashes) -> np.ndarray:
     return (mixed >> np.uint64(50)).astype(np.int64)
 
 
-def _marked(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(text, whether the row is a target)."""
-    ids = target.select("doc_id", F.lit(True).alias("__lk_target")).distinct()
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("__lk_target", F.lit(False)).alias("target"))
+def _marked(docs: DataFrame, target: DataFrame, most: int = TARGET_ROWS) -> DataFrame:
+    """(text, whether the row is a target). About `most` target rows, chosen by the hash of their
+    id, teach the target model, so their ids can be broadcast and no text is shuffled."""
+    ids = target.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    share = int(min(1.0, most / max(1, ids.count())) * (1 << 30))
+    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).limit(2 * most).withColumn("__lk_target", F.lit(True))
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left").select("text", F.coalesce("__lk_target", F.lit(False)).alias("target"))
 
 
 def bucket_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
