@@ -44,8 +44,8 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def bad_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """How many lines can't be read."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    lines = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return lines.select(F.col("_corrupt").isNotNull().alias("bad"), *[F.col(f.name) for f in schema.fields]).groupBy("bad").count()
+    row = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return spark.read.text(path).select(row["_corrupt"].isNotNull().alias("bad")).groupBy("bad").count()
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
