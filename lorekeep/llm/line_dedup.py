@@ -64,18 +64,17 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
 
 
-def near_pairs(lines: DataFrame) -> DataFrame:
-    """(h1, h2, e1, e2): a distinct line and an earlier one near it. `lines` has one row for each
-    distinct line: h1, h2, pos, line."""
+def near_pairs(occurrences: DataFrame) -> DataFrame:
+    """(h1, h2): the distinct lines that have an earlier line near them, of rows h1, h2, pos, line."""
     lengths = F.explode(F.array(F.length("line"), F.length("line") - 1))
-    halves = _segments(lines.select("h1", "h2", F.lit(0).alias("k"), F.col("line").alias("seg"), lengths.alias("m")), 2, ["h1", "h2"])
-    keys = halves.select("h1", "h2", "k", F.length("seg").alias("n"), "m")
-    found = keys.join(_shared(keys), "k").select("h1", "h2", "k").withColumnsRenamed({"h1": "g1", "h2": "g2", "k": "key"})
-    # the text is fetched for the found lines only
-    again = _segments(
-        lines.join(found.select("g1", "g2").distinct(), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("h1", "h2", "pos", F.lit(0).alias("k"), F.col("line").alias("seg"), lengths.alias("m")), 2, ["h1", "h2", "pos"]
-    )
-    again = cut(again)
+    # hashes alone tell which lines share a half; they are few bytes beside the lines
+    halves = lambda m: [F.xxhash64(m, F.lit(0), F.substr("line", F.lit(1), F.floor(m / 2).cast("int"))), F.xxhash64(m, F.lit(1), F.right(F.col("line"), m - F.floor(m / 2).cast("int")))]
+    four = dict(zip(("k0", "k1", "k2", "k3"), halves(F.length("line")) + halves(F.length("line") - 1)))
+    keys = occurrences.select("h1", "h2", *[k.alias(c) for c, k in four.items()]).distinct().select("h1", "h2", F.explode(F.array(*four)).alias("k"))
+    found = keys.join(_shared(keys), "k").select(F.col("h1").alias("g1"), F.col("h2").alias("g2")).distinct()
+    lines = occurrences.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.first("line").alias("line"))
+    lines = cut(lines.join(found, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).drop("g1", "g2"))
+    again = _segments(lines.select("h1", "h2", "pos", F.lit(0).alias("k"), F.col("line").alias("seg"), lengths.alias("m")), 2, ["h1", "h2", "pos"])
     first = again.join(_shared(again), "k")
     second = cut(_segments(first, PARTS, ["h1", "h2", "pos"]))
     leaf = second.join(_shared(second), "k").select("h1", "h2", "pos", "k", "seg", (F.length("seg") > F.col("m")).alias("longer"))
@@ -91,18 +90,18 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     least = variants.groupBy("v").agg(*[F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"r{r}") for r in range(3)], F.count("*").alias("n")).where("n > 1").drop("n")
     other = F.when(F.col("role") == 0, F.col("r0")).when(F.col("role") == 1, F.col("r2")).otherwise(F.col("r1"))
     pairs = variants.join(least, "v").select("at", other.alias("early")).where("early.pos < at.pos")
-    return pairs.select("at.h1", "at.h2", F.col("early.h1").alias("e1"), F.col("early.h2").alias("e2")).distinct()
+    pairs = pairs.select("at.h1", "at.h2", F.col("early.h1").alias("e1"), F.col("early.h2").alias("e2")).distinct()
+    text = lambda a, b, name: lines.select(F.col("h1").alias(a), F.col("h2").alias(b), F.col("line").alias(name))
+    pairs = pairs.join(text("h1", "h2", "late"), ["h1", "h2"]).join(text("e1", "e2", "early"), ["e1", "e2"])
+    return cut(pairs.where(F.levenshtein("late", "early", 1) >= 0).select("h1", "h2").distinct())
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(__lk_id, __lk_th, dropped): the numbers, from 0, of the lines that go, by document."""
     occurrences = _lines(docs)
-    lines = occurrences.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.first("line").alias("line"), F.count("*").alias("times"))
-    text = lambda a, b, name: lines.select(F.col("h1").alias(a), F.col("h2").alias(b), F.col("line").alias(name))
-    pairs = near_pairs(lines).join(text("h1", "h2", "late"), ["h1", "h2"]).join(text("e1", "e2", "early"), ["e1", "e2"])
-    near = cut(pairs.where(F.levenshtein("late", "early", 1) >= 0).select("h1", "h2").distinct())
+    near = near_pairs(occurrences)
     total = docs.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
-    fate = lines.select("h1", "h2", "pos", "times").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
+    fate = occurrences.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.count("*").alias("times")).join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     fate = cut(fate.where("near OR times > 1").select("h1", "h2", F.col("pos").alias("first"), F.coalesce("near", F.lit(False)).alias("near"), "times"))
     hot = fate.where(F.col("times") > total / HOT_SHARE)  # fewer than HOT_SHARE lines
     goes = F.col("near") | (F.col("pos") != F.col("first"))
