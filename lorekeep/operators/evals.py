@@ -42,4 +42,4 @@ report_eval = operator("rpt_eval", "Markdown table of category means.", lambda d
 SELECT concat('| config | category | recall |', chr(10), {d.agg_join("concat('| ', config, ' | ', category, ' | ', CAST(CAST(floor(m * 1000) AS BIGINT) AS STRING), ' |')", 'chr(10)', 'config, category')}) AS report
 FROM (SELECT config, category, avg(context_recall) AS m FROM eval_scores GROUP BY config, category) t""")
 clean_answer = operator("fn_clean_answer", "Answers without source lists, disclaimers and inline source notes; the original where nothing stays.", lambda d: f"""
-SELECT doc_id, coalesce(nullif(trim({d.rrep(d.rrep(d.rrep("concat(substring(text, 1, 200), ' (来源：a.pdf，第3页)', chr(10), '> 📚 参考来源：', chr(10), '> - b.pdf')", '\\n*>?\\s*📚\\s*参考来源[：:][^\\n]*(\\n[ \\t]*(>|-)[^\\n]*)*', ''), '[（(]\\s*来源[：:][^）)]*[）)]', ''), '[ \\t]+\\n', ' ')}), ''), text) AS answer FROM documents""")
+SELECT doc_id, coalesce(nullif(trim({d.rrep(d.rrep(d.rrep("concat(text, ' (来源：a.pdf，第3页)', chr(10), '> 📚 参考来源：', chr(10), '> - b.pdf')", '\\n*>?\\s*📚\\s*参考来源[：:][^\\n]*(\\n[ \\t]*(>|-)[^\\n]*)*', ''), '[（(]\\s*来源[：:][^）)]*[）)]', ''), '[ \\t]+\\n', ' ')}), ''), text) AS answer FROM documents""")

@@ -40,6 +40,9 @@ update_perm = operator("mnt_update_perm", "Permissions of listed documents chang
 fill_perm = operator("mnt_fill_perm", "Missing permissions get the defaults.", f"SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE kb_group END, '{GROUP}') AS kb_group, coalesce(CASE WHEN doc_id % 4 = 0 THEN NULL ELSE visibility END, '{VISIBILITY}') AS visibility FROM kb_docs")
 retention = operator("win_retention", "Snapshots beyond the newest ten expire.", f"SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) r WHERE rn > {SNAPSHOTS}")
 asof_backup = operator("win_asof_backup", "The backup at a time: the latest not after it, else the newest.", """
-SELECT o.o_orderkey, coalesce(max(CASE WHEN e.event_id <= o.o_orderkey THEN e.event_id END), max(e.event_id)) AS backup FROM orders o JOIN (SELECT event_id, user_id FROM events WHERE event_id % 10 = 0) e ON o.o_custkey % 100 = e.user_id % 100 WHERE o.o_orderkey % 20 = 0 GROUP BY o.o_orderkey""")
+
+WITH points AS (SELECT user_id AS k, event_id AS t, event_id AS backup, CAST(NULL AS BIGINT) AS request FROM events UNION ALL SELECT o_custkey, o_orderkey, NULL, o_orderkey FROM orders),
+  placed AS (SELECT request, max(backup) OVER (PARTITION BY k ORDER BY t, coalesce(request, -1) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, max(backup) OVER (PARTITION BY k) AS newest FROM points)
+SELECT request, coalesce(upto, newest) AS backup FROM placed WHERE request IS NOT NULL AND newest IS NOT NULL""")
 stop_on_error = operator("win_stop_on_error", "Files before the first failure of each group, and the counts.", """
 SELECT kb_group, CAST(count_if(broken = 0) AS BIGINT) AS done, count(*) AS files FROM (SELECT kb_group, max(CASE WHEN doc_id % 37 = 5 THEN 1 ELSE 0 END) OVER (PARTITION BY kb_group ORDER BY file_path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS broken FROM kb_docs) r GROUP BY kb_group""")

@@ -72,10 +72,10 @@ SELECT dest, run_start, length, length >= 5 AS opens FROM (
   WHERE failed GROUP BY dest, grp) y""")
 retry_collapse = operator("agg_retry_collapse", "Attempts of one call become one row with its retry count and last outcome.", """
 SELECT user_id, event_type AS tool, CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) - 1 AS retry_count, max_by(event_id, event_id) AS last_attempt, max_by(value, event_id) AS last_value FROM events GROUP BY user_id, event_type, CAST(ts AS DATE)""")
-lru_hits = operator("win_lru_hits", "LRU hits by reuse distance: fewer than 100 other keys since the last use of the key.", """
-WITH uses AS (SELECT user_id % 5 AS cache, user_id AS k, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE event_id < 4000),
+lru_hits = operator("win_lru_hits", "LRU hits of each user's cache of two kinds by reuse distance: fewer than two others since the last use.", """
+WITH uses AS (SELECT user_id AS cache, event_type AS k, event_id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS before FROM events),
   spans AS (SELECT u.cache, u.event_id, u.before, count(DISTINCT o.k) AS between_keys FROM uses u JOIN uses o ON o.cache = u.cache AND o.event_id > u.before AND o.event_id < u.event_id AND o.k <> u.k GROUP BY u.cache, u.event_id, u.before)
-SELECT u.cache, count(*) AS lookups, CAST(count_if(u.before IS NOT NULL AND coalesce(s.between_keys, 0) < 20) AS BIGINT) AS hits FROM uses u LEFT JOIN spans s ON s.event_id = u.event_id GROUP BY u.cache""")
+SELECT u.cache, count(*) AS lookups, CAST(count_if(u.before IS NOT NULL AND coalesce(s.between_keys, 0) < 2) AS BIGINT) AS hits FROM uses u LEFT JOIN spans s ON s.event_id = u.event_id GROUP BY u.cache""")
 dashboard = operator("agg_dashboard", "Counts that a dashboard shows.", """
 SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'groups', count(*) FROM kb_groups UNION ALL SELECT 'users', count(*) FROM users UNION ALL SELECT 'searches', count(*) FROM qa_log""")
 fmt_pct = operator("fn_fmt_pct", "A share as a percentage with one decimal, N/A where there is none.", lambda d: f"""

@@ -118,7 +118,7 @@ explicit_order = operator("win_explicit_order", "Candidates in an order given by
 WITH {hybrid(d)}, asked AS ({d.explode("(SELECT qid, concat(CAST(qid % 7 AS STRING), ',0,', CAST(qid % 5 + 3 AS STRING), ',99') AS o FROM questions) x", 'qid', d.split('o', chr(39) + ',' + chr(39)), 'pos', 'idx')})
 SELECT h.qid, h.doc_id, min(a.pos) AS pos, 16 - min(a.pos) AS score FROM hyb h JOIN asked a ON h.qid = a.qid AND h.rk - 1 = CAST(a.idx AS INT) GROUP BY h.qid, h.doc_id""")
 build_prompt = operator("fn_build_prompt", "Numbered fragments with their sources, then the question.", lambda d: f"""
-WITH {hybrid(d)} SELECT q.qid, concat({d.agg_join("concat('[', CAST(h.rk AS STRING), '] (', c.file_path, ') ', substring(c.text, 1, 60))", 'chr(10)', 'h.rk')}, chr(10), 'Question: ', max(q.query)) AS prompt
+WITH {hybrid(d)} SELECT q.qid, concat({d.agg_join("concat('[', CAST(h.rk AS STRING), '] (', c.file_path, ') ', c.text)", 'chr(10)', 'h.rk')}, chr(10), 'Question: ', max(q.query)) AS prompt
 FROM hyb h JOIN kb_docs c ON h.doc_id = c.doc_id JOIN questions q ON h.qid = q.qid WHERE h.rk <= 5 GROUP BY q.qid""")
 snippet = operator("fn_snippet", "Numbered results with source and first 300 characters; 80-character previews on one line.", lambda d: f"""
 SELECT doc_id, concat(file_path, ': ', substring(text, 1, 300)) AS snippet, {d.rrep(d.rrep('substring(text, 1, 80)', '\\n', ' '), '\\|', '/')} AS preview FROM kb_docs""")

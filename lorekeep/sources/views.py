@@ -14,7 +14,7 @@ VIEWS.update({
        UNION ALL SELECT concat('orphan/', CAST(doc_id AS STRING), '.txt'), 1 FROM kb_docs WHERE doc_id % 101 = 0""",
     "chunk_vectors": """SELECT d.doc_id AS chunk_id, d.file_path, d.kb_group, d.visibility, d.text AS content, e.embedding, e.label
        FROM kb_docs d JOIN embeddings e ON e.vec_id = d.doc_id""",
-    "query_vectors": "SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 25 = 0",
+    "query_vectors": "SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 50 = 0",
     "questions": """SELECT item_id AS qid, text AS query, CASE item_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'public_only' ELSE 'groups' END AS perm_mode,
        concat('src', CAST(item_id % 20 AS STRING)) AS perm_group FROM benchmark""",
     "doc_lines": lambda d: d.explode("documents", "doc_id", d.split("text", "chr(10)"), "line_no", "line"),
