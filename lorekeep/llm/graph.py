@@ -2,30 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import cut
 
 
+#: Rows that a task of these light joins takes: small graphs get few tasks, and tasks grow with them.
+TASK_ROWS = 10_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """No more partitions than `rows` rows need: each map task of a shuffle leaves files of its own."""
+    return df.coalesce(rows // TASK_ROWS + 1)
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint, in no more partitions than its rows need, and its number of rows."""
+    seen = Observation()
+    d = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return sized(d, seen.get["n"]), seen.get["n"]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in `edges` (a, b: longs); root is the least node reachable.
 
     Each round sets a node's parent to the least of its grandparent and its neighbours'
     grandparents and hooks its old parent there too, so chains shrink to stars in a number of
     rounds that grows with the logarithm of their length. Hot roots are only ever aggregated, or
-    the many side of a join that Spark can split.
+    the many side of a join that Spark can split. A round is one job; what changed is observed in it.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    f = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    f = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    both, n = counted(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    f = sized(cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))), n)
     while True:
-        up = f.join(f.select(F.col("node").alias("root"), F.col("root").alias("g")), "root").select("node", "root", "g")
-        near = both.join(f.join(f.select(F.col("node").alias("root"), F.col("root").alias("g")), "root").select(F.col("node").alias("b"), "g"), "b").groupBy(F.col("a").alias("node")).agg(F.min("g").alias("m"))
-        hooked = up.join(near, "node").select("node", "root", F.least("g", "m").alias("m"))
-        new = hooked.select("node", F.col("m").alias("root")).unionByName(hooked.where("m < root").select(F.col("root").alias("node"), F.col("m").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
-        new = cut(new)
-        moved = new.join(f.withColumnRenamed("root", "was"), "node").where("root <> was").limit(1).count()
-        f = new
-        if not moved:
+        parents = f.select(F.col("node").alias("root"), F.col("root").alias("g")).hint("merge")
+        up = sized(f.join(parents, "root").select("node", "root", "g"), n)
+        near = both.join(up.select(F.col("node").alias("b"), "g").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("g").alias("m"))
+        hooked = up.join(sized(near, n).hint("merge"), "node").select("node", F.col("root").alias("was"), F.least("g", "m").alias("root"))
+        moves = F.explode(F.array(F.struct("node", "root", "was"), F.struct(F.col("was").alias("node"), "root", F.lit(None).cast("bigint").alias("was"))))
+        new = hooked.select(moves.alias("x")).select("x.*").groupBy("node").agg(F.min("root").alias("root"), F.max("was").alias("was"))
+        seen = Observation()
+        f = sized(cut(new.observe(seen, F.count(F.when(F.col("root") != F.col("was"), 1)).alias("moved")).select("node", "root")), n)
+        if not seen.get["moved"]:
             return f
+
+
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components after more edges: only the components that these touch are worked on."""
+    named = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")).hint("merge")
+    ends = edges.select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left").select("a", "b", F.coalesce("root_a", "a").alias("ra"), F.coalesce("root_b", "b").alias("rb"))
+    ends, _ = counted(ends)
+    tops = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    fresh = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("x")).select("x.*")
+    every = roots.unionByName(fresh).distinct()
+    return counted(every.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")).hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root")))[0]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from lorekeep.llm.common import Hashes, cut, slices, table
-from lorekeep.llm.graph import components
+from lorekeep.llm.graph import components, counted, joined
 
 WORDS = 5
 SIMILARITY = 75  # per cent
@@ -170,20 +170,23 @@ def _strays(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def rest_of_regions(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs in large regions that are in different components and may be similar, all of them."""
-    rooted = classes.join(roots.withColumnRenamed("node", "nid"), "nid").select("nid", "sig", "root")
+def rest_of_regions(classes: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Pairs in large regions that are in different components and may be similar, all of them;
+    None if each large region is one component."""
+    rooted = classes.join(roots.withColumnRenamed("node", "nid").hint("merge"), "nid").select("nid", "sig", "root")
     region = [F.col("tree"), F.substring("label", 1, 4 * LEAST_DEPTH).alias("prefix")]
-    places = forest(rooted).select(*region, "nid").join(rooted.select("nid", "root"), "nid")
+    places = forest(rooted).select(*region, "nid").join(rooted.select("nid", "root").hint("merge"), "nid")
     by_root = places.groupBy("tree", "prefix", "root").agg(F.count("*").alias("n"))
     regions = by_root.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where((F.col("n") > WIDE + 1) & (F.col("roots") > 1))
     regions = cut(regions.select("tree", "prefix", F.col("top.root").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("stray_blocks")))
+    if regions.isEmpty():
+        return None
     members = places.join(regions, ["tree", "prefix"])
     at = lambda n: F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     cell = ["tree", "prefix", "mb", "sb"]
-    strays = members.where("root <> main").select("tree", "prefix", "nid", "root", spread("blocks").alias("mb"), at("stray_blocks").alias("sb")).join(rooted.select("nid", "sig"), "nid")
-    whole = members.select("tree", "prefix", "nid", "root", at("blocks").alias("mb"), spread("stray_blocks").alias("sb")).join(rooted.select("nid", "sig"), "nid")
+    strays = members.where("root <> main").select("tree", "prefix", "nid", "root", spread("blocks").alias("mb"), at("stray_blocks").alias("sb")).join(rooted.select("nid", "sig").hint("merge"), "nid")
+    whole = members.select("tree", "prefix", "nid", "root", at("blocks").alias("mb"), spread("stray_blocks").alias("sb")).join(rooted.select("nid", "sig").hint("merge"), "nid")
     strays = strays.select(*[F.col(c).alias(c) for c in strays.columns])  # columns of its own, so the two sides are told apart
     return strays.groupBy(*cell).cogroup(whole.groupBy(*cell)).applyInPandas(_strays, "a bigint, b bigint").distinct()
 
@@ -195,41 +198,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = cut(docs.select("doc_id", arrow_udf(_features, "struct<n:bigint,set_key:binary,sig:binary>")("text").alias("f")).select("doc_id", "f.*"))
     classes = cut(rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).withColumn("nid", F.monotonically_increasing_id()))
     order = forest(classes).repartitionByRange(parts, "tree", "label", "nid").sortWithinPartitions("tree", "label", "nid")
-    pairs = cut(order.mapInArrow(_neighbours, "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("votes")))
+    pairs, _ = counted(order.mapInArrow(_neighbours, "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("votes")))
 
     ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    wanted = classes.join(ends, "nid").select("nid", F.col("set_key").alias("want"), "rep")
-    text = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("nid", "want", arrow_udf(_sets, "struct<set_key:binary,shingles:binary>")("text").alias("s"))
+    wanted = classes.join(ends.hint("merge"), "nid").select("nid", F.col("set_key").alias("want"), "rep")
+    # not deterministic for the optimiser: else it moves the sets and their keys below the join, to all documents
+    set_of = arrow_udf(_sets, "struct<set_key:binary,shingles:binary>").asNondeterministic()
+    text = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["rep"])).select("nid", "want", set_of("text").alias("s"))
     sets = cut(text.where("want = s.set_key").select("nid", "s.shingles").dropDuplicates(["nid"]))
 
     def confirmed(some: DataFrame) -> DataFrame:
-        both = some.select("a", "b").join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb")), "b")
-        return cut(both.where(arrow_udf(_linked, "boolean")("sa", "sb")).select("a", "b"))
+        side = lambda x: sets.select(F.col("nid").alias(x), F.col("shingles").alias(f"s{x}")).hint("merge")
+        both = some.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+        return counted(both.where(arrow_udf(_linked, "boolean")("sa", "sb")).select("a", "b"))[0]
 
     def apart(some: DataFrame, roots: DataFrame) -> DataFrame:
         """Candidates whose ends are not in one component."""
-        named = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        named = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")).hint("merge")
         d = some.join(named("a"), "a", "left").join(named("b"), "b", "left")
         return d.where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b")
 
     facing = pairs.select("a", "b", "votes").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes"))
     best = facing.groupBy("a").agg(F.max(F.struct("votes", F.col("b").alias("to"))).alias("m")).select(F.least("a", "m.to").alias("a"), F.greatest("a", "m.to").alias("b")).distinct()
-    links = confirmed(best)
-    roots = components(links)
-    more = confirmed(apart(pairs.join(best, ["a", "b"], "left_anti"), roots))
-    links = links.unionByName(more)
-    roots = components(links)
-    alone = ends.join(roots, ends["nid"] == roots["node"], "left_anti").select(F.col("nid").alias("node"), F.col("nid").alias("root"))
-    rest = apart(rest_of_regions(classes, roots.unionByName(alone)).join(pairs, ["a", "b"], "left_anti"), roots)
-    found = confirmed(rest)
-    if found.limit(1).count():
-        roots = components(links.unionByName(found))
-
-    named = roots.join(classes.select("nid", "rep"), F.col("node") == F.col("nid"))
-    least = cut(named.groupBy("root").agg(F.min("rep").alias("least")))
-    member = cut(named.select("nid", "root")).join(least, "root").select("nid", "least")
-    known = cut(classes.select("set_key", "nid", "rep").join(member, "nid", "left").select("set_key", F.coalesce("least", "rep").alias("component_id")))
-    d = rows.select("doc_id", "n", "set_key").join(known, "set_key", "left")
+    roots = components(confirmed(best))
+    more = confirmed(apart(pairs.join(best.hint("merge"), ["a", "b"], "left_anti"), roots))
+    if not more.isEmpty():
+        roots = joined(roots, more)
+    alone = ends.join(roots.hint("merge"), ends["nid"] == roots["node"], "left_anti").select(F.col("nid").alias("node"), F.col("nid").alias("root"))
+    rest = rest_of_regions(classes, roots.unionByName(alone))
+    if rest is not None:
+        found = confirmed(rest.join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+        if not found.isEmpty():
+            roots = joined(roots, found)
+
+    named = roots.join(classes.select("nid", "rep").hint("merge"), F.col("node") == F.col("nid")).select("nid", "root", "rep")
+    least, _ = counted(named.groupBy("root").agg(F.min("rep").alias("least")))
+    member = roots.join(least.hint("merge"), "root").select(F.col("node").alias("nid"), "least")
+    known = cut(classes.select("set_key", "nid", "rep").join(member.hint("merge"), "nid", "left").select("set_key", F.coalesce("least", "rep").alias("component_id")))
+    d = rows.select("doc_id", "n", "set_key").join(known.hint("merge"), "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return d.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
