@@ -68,7 +68,7 @@ def slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[list[str]]:
 class Hashes:
     """Hashes of words, with a bounded memory of them."""
 
-    def __init__(self, limit: int = 500_000) -> None:
+    def __init__(self, limit: int = 200_000) -> None:
         self.known: dict[bytes, int] = {}
         self.limit = limit
 

@@ -21,7 +21,7 @@ class Words:
 
     A head has nothing before it. A segment is a space or a line end and what follows it."""
 
-    def __init__(self, encode: Callable[[list[str], list[str]], tuple[list[Any], list[Any]]], limit: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, encode: Callable[[list[str], list[str]], tuple[list[Any], list[Any]]], limit: int = 200_000, longest: int = 64) -> None:
         self.encode, self.limit, self.longest = encode, limit, longest
         self.known: dict[str, Any] = {}
 

@@ -38,7 +38,7 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class Counter:
-    def __init__(self, pieces: list[tuple[str, float]], limit: int = 400_000) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], limit: int = 200_000) -> None:
         self.auto = ahocorasick.Automaton()
         for piece, score in pieces:
             if piece:
