@@ -14,8 +14,9 @@ the region, block by block, by signature agreement, and then on full sets.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and stay; texts
 with fewer than five words have one shingle; the component is the least doc_id in it (nulls count
-only where there is nothing else); rows equal in doc_id share their fate; an empty table gives an
-empty result; extra columns are ignored.
+only where there is nothing else); an empty table gives an empty result; extra columns are ignored.
+keep_first decides by rows, not by ids: of the rows of one component the one of the least doc_id
+stays, and only rows equal in doc_id and text count as one.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -191,20 +192,32 @@ def rest_of_regions(classes: DataFrame, roots: DataFrame) -> DataFrame | None:
     return strays.groupBy(*cell).cogroup(whole.groupBy(*cell)).applyInPandas(_strays, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+def _row() -> Column:
+    """Names a row by its id and text, so null ids and shared ids don't meet."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _first(doc_id: str) -> Column:
+    """The least (id, row) of a group; null ids come last."""
+    return F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "row"))
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, row, n, set_key), classes (set_key, nid, rep, row: of its first row) and the
+    (node, root) of all classes that are linked."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", "text")
-    rows = cut(docs.select("doc_id", arrow_udf(_features, "struct<n:bigint,set_key:binary,sig:binary>")("text").alias("f")).select("doc_id", "f.*"))
-    classes = cut(rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).withColumn("nid", F.monotonically_increasing_id()))
+    docs = docs.select("doc_id", "text", _row().alias("row"))
+    rows = cut(docs.select("doc_id", "row", arrow_udf(_features, "struct<n:bigint,set_key:binary,sig:binary>")("text").alias("f")).select("doc_id", "row", "f.*"))
+    by_set = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(_first("doc_id").alias("first"), F.first("sig").alias("sig"))
+    classes = cut(by_set.select("set_key", F.col("first.id").alias("rep"), "first.row", "sig", F.monotonically_increasing_id().alias("nid")))
     order = forest(classes).repartitionByRange(parts, "tree", "label", "nid").sortWithinPartitions("tree", "label", "nid")
     pairs, _ = counted(order.mapInArrow(_neighbours, "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("votes")))
 
     ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    wanted = classes.join(ends.hint("merge"), "nid").select("nid", F.col("set_key").alias("want"), "rep")
+    wanted = classes.join(ends.hint("merge"), "nid").select("nid", F.col("set_key").alias("want"), F.col("row").alias("first"))
     # not deterministic for the optimiser: else it moves the sets and their keys below the join, to all documents
     set_of = arrow_udf(_sets, "struct<set_key:binary,shingles:binary>").asNondeterministic()
-    text = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["rep"])).select("nid", "want", set_of("text").alias("s"))
+    text = docs.join(wanted.hint("merge"), docs["row"] == wanted["first"]).select("nid", "want", set_of("text").alias("s"))
     sets = cut(text.where("want = s.set_key").select("nid", "s.shingles").dropDuplicates(["nid"]))
 
     def confirmed(some: DataFrame) -> DataFrame:
@@ -230,7 +243,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = confirmed(rest.join(pairs.hint("merge"), ["a", "b"], "left_anti"))
         if not found.isEmpty():
             roots = joined(roots, found)
+    return rows, classes, roots
+
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    rows, classes, roots = _grouped(docs)
     named = roots.join(classes.select("nid", "rep").hint("merge"), F.col("node") == F.col("nid")).select("nid", "root", "rep")
     least, _ = counted(named.groupBy("root").agg(F.min("rep").alias("least")))
     member = roots.join(least.hint("merge"), "root").select(F.col("node").alias("nid"), "least")
@@ -241,11 +259,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group, with the columns it came with; of rows equal in doc_id one."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__lk_id")).distinct()
-    d = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__lk_id"]), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    return d.withColumn("__lk_rn", F.row_number().over(one)).where("__lk_rn = 1").drop("__lk_rn")
+    """One row of each group, with the columns it came with; of rows equal in doc_id and text one."""
+    rows, classes, roots = _grouped(docs)
+    grouped = classes.select("nid", "rep", "row").join(roots.hint("merge"), F.col("nid") == F.col("node"), "left")
+    firsts = grouped.groupBy(F.coalesce("root", "nid").alias("group")).agg(_first("rep").alias("first")).select(F.col("first.row").alias("__lk_kept"))
+    kept = firsts.unionByName(rows.where("set_key IS NULL").select(F.col("row").alias("__lk_kept")))
+    # the first of equal rows is found before rows are dealt, so any number of them makes no large task
+    d = docs.withColumn("__lk_row", _row())
+    d = d.withColumn("__lk_rn", F.row_number().over(Window.partitionBy("__lk_row").orderBy("doc_id"))).where("__lk_rn = 1")
+    return d.join(kept.hint("merge"), d["__lk_row"] == kept["__lk_kept"], "left_semi").drop("__lk_rn", "__lk_row")
 
 
 def op9_lsh_forest(spark, sf_dir: str) -> DataFrame:

@@ -86,6 +86,17 @@ def test_near_duplicates_by_brute_force(spark):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {(i, len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
+def test_first_is_kept_by_rows_not_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    near = lambda k: text(k) + " more"
+    rows = [(3, text(0)), (7, near(0)), (7, text(1)), (None, text(2)), (None, text(3)), (None, text(4)), (None, near(4)), (8, text(5)), (8, text(6)), (None, near(1)), (9, text(7)), (9, text(7))]
+    got = minhash_forest.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((str(r["doc_id"]), r["text"]) for r in got)
+    of_four = [x for x in found if x[1] in (text(4), near(4))]
+    assert len(of_four) == 1 and of_four[0][0] == "None"
+    assert [x for x in found if x not in of_four] == sorted([("3", text(0)), ("7", text(1)), ("None", text(2)), ("None", text(3)), ("8", text(5)), ("8", text(6)), ("9", text(7))])
+
+
 def test_exact_way_finds_pairs_of_large_regions(spark, monkeypatch):
     """Without any neighbours the block comparison alone must find the pairs of large regions."""
     rng = np.random.default_rng(6)
