@@ -2,14 +2,17 @@
 
 Plain patterns report three kinds on their own: assign, access and hex. Weak parts - access
 identifiers, random-looking strings and service endpoints - say nothing alone. They become rows
-(document, scope, position) and an interval join, written as range windows over positions inside a
-scope, keeps a random-looking string only when an access identifier starts within `WINDOW` code
-points of it, and an identifier or endpoint only next to such a string. A scope is a paragraph.
+(document, scope, position), and so do base spans: assign and hex act as secrets like random-looking
+strings, access as an identifier. An interval join, written as range windows over positions inside a
+scope, pairs a secret with an identifier or endpoint when at most `WINDOW` code points lie between
+the end of one and the start of the other; a secret inside an endpoint is not paired by that endpoint
+alone. Paired random-looking strings and the identifiers and endpoints as near to a paired secret are
+reported. A scope is a paragraph.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned one by one; ties in
 position are ordered by kind; an empty table gives an empty result; extra columns are ignored.
-Rows are dealt by row number, so one source or one group of copies can't gather in a task, and a
-range frame holds at most WINDOW / 4 parts.
+Rows are dealt by row number, so one source or one group of copies can't gather in a task; a frame of
+`WINDOW` holds at most a few times WINDOW / 4 parts, and other frames grow with the row.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from lorekeep.llm.common import row_key, slices, table
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ["assign", "access", "hex", "secret", "identifier", "endpoint"]
 ASSIGN, ACCESS, HEX, SECRET, IDENTIFIER, ENDPOINT = range(6)
-#: Code points between the starts of parts that belong together.
+#: Kinds that act as the secret of a pair.
+SECRETS = (SECRET, ASSIGN, HEX)
+#: Code points at most between the end of a part and the start of the next that belong together.
 WINDOW = 240
 MASK = "[SECRET]"
 
@@ -63,12 +68,13 @@ def weak_parts(text: str, base: list[Span]) -> list[Span]:
     """Parts that count only together; strings inside base spans are reported already."""
     inside = lambda a, b: any(s < b and a < e for s, _, e in base)
     secrets = [(m.start(), SECRET, m.end()) for m in _SECRET.finditer(text) if random_looking(m[0]) and not inside(m.start(), m.end())]
+    secrets += [x for x in base if x[1] in SECRETS]
     if not secrets:
         return []
-    parts = secrets + [(s, ACCESS, e) for s, k, e in base if k == ACCESS]
-    parts += [(m.start(), IDENTIFIER, m.end()) for m in _IDENTIFIER.finditer(text) if not inside(m.start(), m.end())]
-    parts += [(m.start(), ENDPOINT, m.end()) for m in _ENDPOINT.finditer(text)]
-    return sorted(parts)
+    others = [x for x in base if x[1] == ACCESS]
+    others += [(m.start(), IDENTIFIER, m.end()) for m in _IDENTIFIER.finditer(text) if not inside(m.start(), m.end())]
+    others += [(m.start(), ENDPOINT, m.end()) for m in _ENDPOINT.finditer(text)]
+    return sorted(secrets + others) if others else []
 
 
 def _scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -93,11 +99,20 @@ def find_secrets(docs: DataFrame, keys: list[str], text: str = "text") -> DataFr
     (start, kind, end) in order."""
     d = docs.select(*keys, arrow_udf(_scan, _SCANNED)(F.col(text)).alias("__lk_s"), F.monotonically_increasing_id().alias("__lk_row"))
     d = d.select(*keys, "__lk_row", F.col("__lk_s.base").alias("__lk_base"), F.explode_outer("__lk_s.weak").alias("__lk_p"))
-    near = Window.partitionBy("__lk_row", "__lk_p.scope").orderBy("__lk_p.start").rangeBetween(-WINDOW, WINDOW)
-    seen = lambda *kinds: F.max(F.when(F.col("__lk_p.kind").isin(*kinds), 1)).over(near).isNotNull()
-    d = d.withColumn("__lk_pair", (F.col("__lk_p.kind") == SECRET) & seen(ACCESS, IDENTIFIER))
-    beside = F.max(F.when(F.col("__lk_pair"), 1)).over(near).isNotNull()
-    linked = F.col("__lk_pair") | (F.col("__lk_p.kind").isin(IDENTIFIER, ENDPOINT) & beside)
+    kind, start, end = (F.col(f"__lk_p.{x}") for x in ("kind", "start", "end"))
+    secret = kind.isin(*SECRETS)
+    scope = Window.partitionBy("__lk_row", "__lk_p.scope")
+    # in the first order secrets stand at their start and others at their end, in the second the other way round
+    first, second = scope.orderBy(F.when(secret, start).otherwise(end)), scope.orderBy(F.when(secret, end).otherwise(start))
+    before, after, so_far = (-WINDOW, 0), (0, WINDOW), (Window.unboundedPreceding, 0)
+    last = lambda what, order, frame: F.max(F.when(what, end)).over(order.rangeBetween(*frame))
+    follows = last(kind.isin(ACCESS, IDENTIFIER, ENDPOINT), second, after).isNotNull()
+    precedes = last(kind.isin(ACCESS, IDENTIFIER), second, so_far) >= start - WINDOW  # or overlaps
+    served = last(kind == ENDPOINT, first, before).isNotNull()
+    d = d.withColumn("__lk_pair", secret & F.coalesce(follows | precedes | served, F.lit(False)))
+    pair = F.col("__lk_pair")
+    beside = last(pair, first, after).isNotNull() | (last(pair, first, so_far) >= start - WINDOW)
+    linked = ((kind == SECRET) & pair) | (kind.isin(IDENTIFIER, ENDPOINT) & beside)
     d = d.withColumn("__lk_add", F.when(linked, F.struct("__lk_p.start", "__lk_p.kind", "__lk_p.end")))
     d = d.groupBy("__lk_row").agg(*[F.first(k).alias(k) for k in keys], F.first("__lk_base").alias("base"), F.collect_list("__lk_add").alias("__lk_more"))
     return d.select(*keys, "base", F.array_sort(F.array_union("base", "__lk_more")).alias("spans"))

@@ -174,6 +174,25 @@ def test_secret_links(spark, text, expected):
     assert found.select(secret_scan.spans_text(found["spans"])).first()[0] == expected
 
 
+RANDOM = "aB3dE5fG7hI9jK1lM3nO5pQ7"
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("client_id=abcd1234 client_secret=Xy9aB3dE5fG7 https://api.example.com/v1", "identifier:0:18,assign:26:45,endpoint:46:72"),
+    ("user_name: bobby77 password=hunter2hunter2 postgres://host/db1", "identifier:0:18,assign:19:42,endpoint:43:62"),
+    ("login: bobby77 " + "f" * 40, "identifier:0:14,hex:15:55"),
+    (f"{RANDOM} https://api.example.com/v1", "secret:0:24,endpoint:25:51"),
+    (f"https://api.example.com/v1 {RANDOM}", "endpoint:0:26,secret:27:51"),
+    (RANDOM * 13 + " user_name: bobby77", "secret:0:312,identifier:313:331"),
+    ("https://a.example.com/" + "x" * 300 + f" {RANDOM}", "endpoint:0:322,secret:323:347"),
+    (f"https://cdn.example.com/v1.{RANDOM}", ""),
+    (f"https://cdn.example.com/v1.{RANDOM} login: bobby77", "endpoint:0:51,secret:27:51,identifier:52:66"),
+    (f"{RANDOM}" + " x" * 121 + " https://api.example.com/v1", ""),
+])
+def test_secret_links_of_all_parts(spark, text, expected):
+    test_secret_links(spark, text, expected)
+
+
 def test_recall_of_the_graphs(spark, sf_dir):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1500, 16))
