@@ -24,8 +24,8 @@ group_docs = operator("flt_group_docs", "Documents in a group and the complement
 group_overview = operator("agg_group_overview", "Members and documents of each group; the store's count where the catalog has none.", """
 SELECT g.group_id, g.name, coalesce(m.n, 0) AS members, CASE WHEN coalesce(c.n, 0) > 0 THEN c.n ELSE coalesce(s.n, 0) END AS documents FROM kb_groups g
 LEFT JOIN (SELECT group_id, count(*) AS n FROM kb_group_members GROUP BY group_id) m ON g.group_id = m.group_id
-LEFT JOIN (SELECT kb_group, count(*) AS n FROM kb_docs WHERE doc_id % 2 = 0 GROUP BY kb_group) c ON g.name = c.kb_group
-LEFT JOIN (SELECT kb_group, count(DISTINCT file_path) AS n FROM kb_docs GROUP BY kb_group) s ON g.name = s.kb_group""")
+LEFT JOIN (SELECT kb_group, count(*) AS n FROM kb_docs GROUP BY kb_group) c ON g.name = c.kb_group
+LEFT JOIN (SELECT kb_group, count(DISTINCT coalesce(file_path, '')) AS n FROM chunk_vectors GROUP BY kb_group) s ON g.name = s.kb_group""")
 doc_perm = operator("join_doc_perm", "Documents with the permissions of one sample chunk.", """
 SELECT k.file_path, s.kb_group, s.visibility FROM kb_docs k LEFT JOIN (SELECT file_path, kb_group, visibility FROM (SELECT file_path, kb_group, visibility, row_number() OVER (PARTITION BY file_path ORDER BY chunk_id) AS rn FROM chunk_vectors) r WHERE rn = 1) s ON k.file_path = s.file_path""")
 tool_perm = operator("flt_tool_perm", "Whether a role may call a tool: unregistered no, public yes, else the first missing permission.", lambda d: f"""

@@ -20,7 +20,7 @@ status = operator("agg_kb_status", "Whether there is a base, its documents and c
 distinct_files = operator("agg_distinct_files", "Distinct files and texts.", "SELECT count(DISTINCT file_path) AS files, count(DISTINCT md5(text)) AS texts FROM kb_docs")
 missing_perm = operator("agg_missing_perm", "Chunks without group or visibility, per file.", "SELECT file_path, CAST(count_if(chunk_id % 3 = 0) AS BIGINT) AS no_group, CAST(count_if(chunk_id % 4 = 0) AS BIGINT) AS no_visibility FROM chunk_vectors GROUP BY file_path")
 lookup_fallback = operator("flt_lookup_fallback", "By path, by base name only where no path matches.", lambda d: f"""
-WITH asked AS (SELECT doc_id AS rid, CASE WHEN doc_id % 2 = 0 THEN file_path ELSE concat('moved/', CAST(doc_id AS STRING), '.txt') END AS p FROM kb_docs WHERE doc_id % 9 = 0),
+WITH asked AS (SELECT doc_id AS rid, CASE WHEN doc_id % 2 = 0 THEN file_path ELSE concat('moved/', CAST(doc_id AS STRING), '.txt') END AS p FROM kb_docs),
   named AS (SELECT file_path, {d.rext('file_path', '[^/]+$')} AS name FROM kb_docs), exact AS (SELECT a.rid, n.file_path FROM asked a JOIN named n ON a.p = n.file_path)
 SELECT a.rid, n.file_path, 'name' AS how FROM asked a JOIN named n ON {d.rext('a.p', '[^/]+$')} = n.name LEFT JOIN exact e ON a.rid = e.rid WHERE e.rid IS NULL UNION ALL SELECT rid, file_path, 'path' FROM exact""")
 repair_join = operator("join_repair", "Store against catalog: added, removed, fixed, same.", _REPAIR)

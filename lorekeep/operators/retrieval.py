@@ -101,7 +101,7 @@ _LEX = lambda d: f"""lex AS (SELECT h.qid, h.doc_id, h.rk, CAST(count(t.term) AS
 topk_rerank = operator("topk_rerank", "16 candidates scored, five kept.", lambda d: f"WITH {hybrid(d)}, {_LEX(d)} SELECT qid, doc_id, rk FROM rer WHERE rk <= {RERANKED}")
 rerank_rank = operator("win_rerank_rank", "Score and rank written back to candidates.", lambda d: f"WITH {hybrid(d)}, {_LEX(d)} SELECT qid, doc_id, rk, score FROM rer")
 rank_change = operator("join_rank_change", "How reranking moved each candidate.", lambda d: f"WITH {hybrid(d)}, {_LEX(d)} SELECT qid, doc_id, before_rk, rk, CASE WHEN rk < before_rk THEN 'up' WHEN rk > before_rk THEN 'down' ELSE 'same' END AS moved FROM rer")
-rerank_pipeline = operator("rerank_pipeline", "Scores with fallback to the input order where the scorer failed.", lambda d: f"WITH {hybrid(d)}, {_LEX(d)} SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN doc_id % 10 = 0 THEN NULL ELSE -score END, before_rk) AS rk FROM rer WHERE doc_id % 10 <> 0")
+rerank_pipeline = operator("rerank_pipeline", "Scores with fallback to the input order where the scorer failed.", lambda d: f"WITH {hybrid(d)}, {_LEX(d)} SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN doc_id % 10 = 0 THEN NULL ELSE -score END NULLS LAST, before_rk) AS rk FROM rer")
 min_score = operator("flt_min_score_keep_best", "Candidates over a score; the best one where none passes.", lambda d: f"""
 WITH {hybrid(d)}, {_LEX(d)} SELECT qid, doc_id, rk FROM (SELECT *, max(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS any_pass FROM rer) r WHERE score >= 0.5 OR (any_pass = 0 AND rk = 1)""")
 token_budget = operator("win_token_budget", "Kept while among the first two or within 2000 tokens, five at most.", lambda d: f"""

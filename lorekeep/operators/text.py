@@ -27,10 +27,11 @@ SELECT doc_id, CASE WHEN cn > 0.3 THEN true WHEN words > 5 AND code > 0.1 AND cn
   SELECT doc_id, CAST(length({d.rrep('t', '[^一-鿿]', '')}) AS DOUBLE) / greatest(length(t), 1) AS cn, {d.size(d.rall('t', '[a-zA-Z]{3,}'))} AS words, CAST(length({d.rrep('t', '[^{}()\\[\\];<>=+*/|&^%$#@!~`-]', '')}) AS DOUBLE) / greatest(length(t), 1) AS code
   FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat(text, repeat('知识库检索问答系统与文档切片', CAST(floor(length(text) / 20) AS INT))) WHEN 1 THEN concat(text, repeat('中文', CAST(floor(length(text) / 20) AS INT))) ELSE text END AS t FROM documents) x) y""")
 rerank_text = operator("fn_rerank_text", "Title path in front of the body.", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text ELSE concat('【', concat_ws(' > ', source, lang), '】', text) END AS t FROM documents")
-smart_truncate = operator("fn_smart_truncate", "512 characters around the first pair of the query that the text has, else its beginning.", lambda d: f"""
-WITH pairs AS ({d.explode("(SELECT d.doc_id, d.text, b.text AS q FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE length(d.text) > 512) x", 'doc_id, text, q', d.seq('1', 'length(q) - 1'), 'pos', 'i')}),
+smart_truncate = operator("fn_smart_truncate", "Texts of up to 512 characters whole; of others 512 around the first pair of the query that they have, else title path and beginning.", lambda d: f"""
+WITH pairs AS ({d.explode("(SELECT d.doc_id, d.text, CASE WHEN length(b.text) > 1 THEN b.text END AS q FROM documents d LEFT JOIN benchmark b ON d.doc_id % 40 = b.item_id) x", 'doc_id, text, q', d.seq('1', 'CASE WHEN length(text) > 512 AND q IS NOT NULL THEN length(q) - 1 ELSE 1 END'), 'pos', 'i')}),
   hits AS (SELECT doc_id, text, min(CASE WHEN {d.find('text', 'substring(q, CAST(i AS INT), 2)')} > 0 THEN pos END) AS first_pair, min_by({d.find('text', 'substring(q, CAST(i AS INT), 2)')}, CASE WHEN {d.find('text', 'substring(q, CAST(i AS INT), 2)')} > 0 THEN pos ELSE 1000000 + pos END) AS place FROM pairs GROUP BY doc_id, text)
-SELECT doc_id, CASE WHEN first_pair IS NULL THEN substring(text, 1, 512) ELSE substring(text, CAST(greatest(place - 256, 1) AS INT), 512) END AS t FROM hits""")
+SELECT doc_id, CASE WHEN length(text) <= 512 THEN text WHEN first_pair IS NOT NULL THEN substring(text, CAST(greatest(place - 256, 1) AS INT), 512)
+  WHEN text LIKE '【%' AND {d.find('substring(text, 1, 200)', "'】'")} > 0 THEN substring(text, 1, CAST(512 - {d.find('substring(text, 1, 200)', "'】'")} AS INT)) ELSE substring(text, 1, 512) END AS t FROM hits""")
 truncate = operator("fn_truncate", "Previews of 200 and thoughts of 300 characters.", "SELECT doc_id, substring(text, 1, 200) AS preview, substring(text, 1, 300) AS thought FROM documents")
 sanitize_map = operator("fn_sanitize_map", "Masked arguments, long ones cut with their rest's length.", lambda d: f"""
 SELECT doc_id, k, CASE WHEN {d.rlike('lower(k)', 'api_key|secret|token|password')} THEN '***' WHEN length(v) > 500 THEN concat(substring(v, 1, 500), '...(+', CAST(length(v) - 500 AS STRING), ')') ELSE v END AS v
