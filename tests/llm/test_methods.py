@@ -6,9 +6,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeep.llm import hnsw, importance_resampling, language_id, line_dedup, minhash_forest, quality_rules, secret_scan
-from lorekeep.llm.graph import components, joined
+from lorekeep.llm import graph
+from lorekeep.llm.graph import components, lifted
 from tests.oracle import connect, same
 
 
@@ -39,14 +41,35 @@ def test_near_lines_by_brute_force(spark):
     assert got == {i for i, j in itertools.product(range(len(norm)), repeat=2) if j < i and len(norm[i]) >= 24 and len(norm[j]) >= 24 and levenshtein(norm[i], norm[j]) <= 1}
 
 
-def test_components_of_chains_and_stars(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 201)]
+@pytest.mark.parametrize("task_rows", [20_000, 5])
+def test_components_of_chains_and_stars(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(graph, "TASK_ROWS", task_rows)  # few rows a task: links meet in later rounds
+    edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(k, 900) for k in range(400, 430)] + [(200, 201), (201, 200), (7, 7)]
     f = components(spark.createDataFrame(edges, "a long, b long"))
-    roots = {r["node"]: r["root"] for r in f.collect()}
-    assert {roots[k] for k in range(41)} == {0} and {roots[k] for k in range(100, 130)} == {100} and roots[201] == 200
-    more = joined(f, spark.createDataFrame([(40, 129), (300, 201)], "a long, b long"))
-    roots = {r["node"]: r["root"] for r in more.collect()}
-    assert roots[115] == 0 and roots[300] == 200 and len(roots) == 74
+    rows = [(r["node"], r["root"]) for r in f.collect()]
+    roots = dict(rows)
+    assert len(rows) == len(roots) == 41 + 30 + 31 + 2
+    assert {roots[k] for k in range(41)} == {0} and {roots[k] for k in range(100, 130)} == {100} and roots[201] == 200 and roots[900] == roots[429] == 400
+    tops = components(spark.createDataFrame([(0, 100), (300, 200)], "a long, b long"))
+    roots = {r["node"]: r["root"] for r in lifted(f, tops).collect()}
+    assert roots[115] == 0 and roots[201] == 200 and roots[429] == 400
+    assert components(spark.createDataFrame([], "a long, b long")) is None
+
+
+def test_components_of_random_graphs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_ROWS", 40)
+    rng = np.random.default_rng(11)
+    edges = [tuple(map(int, e)) for e in rng.integers(0, 400, (330, 2))]
+    top = {x: x for e in edges for x in e}
+
+    def find(x):
+        return x if top[x] == x else find(top[x])
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        top[max(x, y)] = min(x, y)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
 def shingle_sets(docs):
@@ -58,32 +81,47 @@ def shingle_sets(docs):
     return sets
 
 
-def test_near_duplicates_by_brute_force(spark):
+def linked_components(sets):
+    top = {i: i for i in sets}
+
+    def find(x):
+        return x if top[x] == x else find(top[x])
+
+    for a, b in itertools.combinations(sets, 2):
+        common = len(sets[a] & sets[b])
+        if common and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+            x, y = find(a), find(b)
+            top[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("edits", [(0, 9), (4, 8)])
+def test_near_duplicates_by_brute_force(spark, edits):
+    """Copies with few edits, and copies most of which are just under the threshold to each other."""
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(4000)]
     docs, n = [], 0
     for _ in range(4):
         base = list(rng.choice(words, 120))
-        for _ in range(25):
+        for _ in range(40):
             t = list(base)
-            for k in rng.integers(0, 120, int(rng.integers(0, 9))):
+            for k in rng.integers(0, 120, int(rng.integers(*edits))):
                 t[k] = rng.choice(words)
             docs.append((n, " ".join(t)))
             n += 1
     docs += [(n + k, " ".join(rng.choice(words, 60))) for k in range(30)]
     sets = shingle_sets(docs)
-    top = {i: i for i in sets}
+    root = linked_components(sets)
+    got = minhash_forest.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {(i, len(sets[i]), root[i], root[i] == i) for i in sets}
 
-    def find(x):
-        return x if top[x] == x else find(top[x])
 
-    for a, b in itertools.combinations(sets, 2):
-        common = len(sets[a] & sets[b])
-        if common and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
-            x, y = find(a), find(b)
-            top[max(x, y)] = min(x, y)
-    got = minhash_forest.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {(i, len(sets[i]), find(i), find(i) == i) for i in sets}
+def test_near_duplicates_of_documents_by_brute_force(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    sets = shingle_sets(docs)
+    root = linked_components(sets)
+    got = minhash_forest.op9_lsh_forest(spark, sf_dir).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == sorted((i, len(sets[i]), root[i], root[i] == i) for i, _ in docs)
 
 
 def test_first_is_kept_by_rows_not_ids(spark):
@@ -97,18 +135,20 @@ def test_first_is_kept_by_rows_not_ids(spark):
     assert [x for x in found if x not in of_four] == sorted([("3", text(0)), ("7", text(1)), ("None", text(2)), ("None", text(3)), ("8", text(5)), ("8", text(6)), ("9", text(7))])
 
 
-def test_exact_way_finds_pairs_of_large_regions(spark, monkeypatch):
-    """Without any neighbours the block comparison alone must find the pairs of large regions."""
+def test_exact_way_joins_large_regions(spark):
+    """Without any neighbours the block comparison alone must join what is linked."""
     rng = np.random.default_rng(6)
     base = list(rng.choice([f"w{k}" for k in range(999)], 200))
     docs = [(i, " ".join([*base[:100], f"x{i}", *base[101:]])) for i in range(40)]
-    feats = [minhash_forest.signature(minhash_forest.shingles(t, minhash_forest.Hashes())).astype(">u4").tobytes() for _, t in docs]
-    classes = spark.createDataFrame([(i, bytearray(s)) for i, s in enumerate(feats)], "nid long, sig binary")
-    alone = spark.createDataFrame([(i, i) for i in range(40)], "node long, root long")
-    pairs = {tuple(r) for r in minhash_forest.rest_of_regions(classes, alone).collect()}
-    assert len(pairs) > 0.9 * 40 * 39 / 2
-    one = spark.createDataFrame([(i, 0) for i in range(40)], "node long, root long")
-    assert minhash_forest.rest_of_regions(classes, one) is None
+    rows = [minhash_forest.shingles(t, minhash_forest.Hashes()) for _, t in docs]
+    feats = spark.createDataFrame([(i, bytearray(minhash_forest.signature(v).astype(">u4").tobytes()), bytearray(v.tobytes())) for i, v in enumerate(rows)], "nid long, sig binary, shingles binary")
+    none = spark.createDataFrame([], "tree int, prefix binary")
+    sets = feats.select("nid", "shingles")
+    links = minhash_forest.rest_of_regions(feats.select("nid", "sig", F.col("nid").alias("root")), sets, none)
+    got = [(r["a"], r["b"]) for r in links.collect()]
+    roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(got, "a long, b long")).collect()}
+    assert roots == {i: 0 for i in range(40)}
+    assert minhash_forest.rest_of_regions(feats.select("nid", "sig", F.lit(0).cast("long").alias("root")), sets, none) is None
 
 
 def test_kth_greatest_is_exact(spark):
