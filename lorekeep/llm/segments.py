@@ -19,16 +19,18 @@ _MARKS = ".,;:!?"
 class Words:
     """Encodes lists of texts through `encode(heads, segments)`; values of segments must add up.
 
-    A head has nothing before it. A segment is a space or a line end and what follows it."""
+    A head has nothing before it. A segment is a space or a line end and what follows it. About
+    `limit` segments are remembered, in two generations: what is met again moves to the younger."""
 
     def __init__(self, encode: Callable[[list[str], list[str]], tuple[list[Any], list[Any]]], limit: int = 200_000, longest: int = 64) -> None:
         self.encode, self.limit, self.longest = encode, limit, longest
         self.known: dict[str, Any] = {}
+        self.older: dict[str, Any] = {}
 
     def __call__(self, texts: list[str]) -> list[list[Any]]:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
+        if 2 * len(self.known) > self.limit:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         heads: list[str] = []
         parts: list[list[str]] = []
         for t in texts:
@@ -40,13 +42,20 @@ class Words:
                 heads.append(head)
                 parts.append(words)
         new = [w for w in set().union(*parts) if w not in known]
+        known.update([(w, older[w]) for w in new if w in older])
+        new = [w for w in new if w not in known]
         cut: list[tuple[str, str, str]] = []
         ask: dict[str, None] = {}
         for w in new:
+            if w[-1:] not in _MARKS:
+                ask[w] = None
+                continue
             base = w.rstrip(_MARKS)
-            if len(base) < len(w) and base and base[-1].isalpha():
+            if base and base[-1].isalpha():
                 cut.append((w, base, w[len(base) :]))
-                if base not in known:
+                if base in older:
+                    known[base] = older[base]
+                elif base not in known:
                     ask[base] = None
             else:
                 ask[w] = None
