@@ -5,14 +5,16 @@ even marginals by corpus means and deviations, and a Hilbert key orders the docu
 stand one after the other along the curve and the row of ids is cut every `SEQUENCE` tokens; what
 remains at the very end is cut at powers of two, so no sequence needs padding.
 
-The order is made in two steps that never gather rows: quantiles of the sort key give bucket
-bounds, bucket totals (one row per bucket) give each bucket's place in the whole row of ids, then
-the buckets are dealt out, sorted, and cut task by task. The sort key ends in a hash of the id, so
-a large group of copies, which share a Hilbert key, spreads over buckets. A bucket's work streams.
-
-Defined results: a null or empty text is the end id alone; repeated rows are packed one by one; an
-empty table gives no pieces; ties along the curve are ordered by the hash of the id, then the id;
-extra columns are ignored.
+The order is made in two steps that never gather rows: a sample of sort keys, weighed by their ids,
+gives bucket bounds, bucket totals (one row per bucket) give each bucket's place in the whole row of
+ids, then the buckets are dealt out, sorted, and cut task by task. The number of buckets grows with
+the ids. The sort key ends in a salt of each row, so a large group of copies, which share a Hilbert
+key, spreads over buckets, whatever their doc_id. A bucket's work streams.
+
+Defined results: a null or empty text is the end id alone; the literal of the file's special token
+in a text is that one id, as the tokenizers library reads it by default; repeated rows are packed
+one by one; an empty table gives no pieces; ties along the curve are ordered by a salt; texts of any
+length are packed whole, a task holding the ids of one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +42,10 @@ SEQUENCE = 2048
 END_ID = 1
 DIMS, BITS, HASHES = 3, 10, 4096
 SALT_BITS = 22
-#: Most buckets, however many shuffle partitions there are: their bounds and totals go to the driver.
-MOST_BUCKETS = 4096
+#: The file's special token and its id.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+#: Ids of a bucket, about, where there are more than 8 buckets a shuffle partition; sampled keys of a bucket.
+BUCKET_IDS, BUCKET_KEYS = 1 << 25, 64
 
 
 def byte_ranks(path: str) -> dict[bytes, int]:
@@ -60,7 +64,7 @@ def _words(path: str) -> Words:
     ranks = byte_ranks(path)
     if max(ranks.values()) >= 1 << 16:
         raise ValueError("ids are kept in 16 bits")
-    ranks = {t: i for t, i in ranks.items() if t != b"<|endoftext|>"}
+    ranks = {t: i for t, i in ranks.items() if t != SPECIAL.encode()}
     model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(heads: list[str], segments: list[str]) -> tuple[list[bytes], list[bytes]]:
@@ -70,6 +74,14 @@ def _words(path: str) -> Words:
     return Words(encode)
 
 
+def encode_texts(texts: list[str], path: str) -> list[bytes]:
+    """Ids of each whole text, little-endian unsigned 16-bit. Special tokens part a text."""
+    words, special = _words(path), np.array([SPECIAL_ID], "<u2").tobytes()
+    parted = [t.split(SPECIAL) for t in texts]
+    got = iter(words([part for parts in parted for part in parts]))
+    return [special.join([b"".join(next(got)) for _ in parts]) for parts in parted]
+
+
 @lru_cache(maxsize=1)
 def _directions() -> np.ndarray:
     return np.random.default_rng(20).standard_normal((HASHES, DIMS)).astype(np.float32)
@@ -79,12 +91,11 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (binary, unsigned 16-bit, with the end id), n, and the projections x0, x1, x2."""
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, directions, end = _words(path), _directions(), np.array([END_ID], "<u2").tobytes()
+        directions, end = _directions(), np.array([END_ID], "<u2").tobytes()
         for texts in batches:
             blobs, points = [], []
             for part in slices(texts):
-                for got in words(part):
-                    ids = b"".join(got)
+                for ids in encode_texts(part, path):
                     v = np.frombuffer(ids, "<u2").astype(np.uint32)
                     counts = np.bincount(((v * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64), minlength=HASHES).astype(np.float32)
                     points.append(counts @ directions / max(1.0, float(np.sqrt(counts @ counts))))
@@ -139,22 +150,28 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, with_ids: bool =
     """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, and the ids themselves if wanted."""
     spark = docs.sparkSession
-    rows = written(tokenized(docs.select("doc_id", "text"), path), "packing")
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << SALT_BITS))
+    rows = written(tokenized(docs.select("doc_id", "text"), path).withColumn("salt", salt), "packing")
     points = [f"x{k}" for k in range(DIMS)]
-    s = rows.agg(*[f(c) for c in points for f in (F.avg, F.stddev_pop)]).first()
+    s = rows.agg(*[f(c) for c in points for f in (F.avg, F.stddev_pop)], F.count("*"), F.sum("n")).first()
     stats = [(s[2 * k] or 0.0, s[2 * k + 1] or 0.0) for k in range(DIMS)]
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SALT_BITS))
-    keyed = rows.withColumn("key", F.shiftleft(curve_key(points, stats), SALT_BITS).bitwiseOR(salt)).drop(*points)
+    n_rows, n_ids = s[2 * DIMS], s[2 * DIMS + 1] or 0
+    keyed = rows.withColumn("key", F.shiftleft(curve_key(points, stats), SALT_BITS).bitwiseOR(F.col("salt"))).drop("salt", *points)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = min(8 * parts, MOST_BUCKETS)
-    shares = [k / n_buckets for k in range(1, n_buckets)]
-    bounds = sorted({int(b) for b in keyed.select(F.col("key").cast("double").alias("key")).approxQuantile("key", shares, 1 / (4 * n_buckets))})
+    n_buckets = max(8 * parts, n_ids // BUCKET_IDS)
+    share = min(1.0, BUCKET_KEYS * n_buckets / max(1, n_rows))
+    some = keyed.select("key", "n").sample(share, seed=3).toArrow()  # about BUCKET_KEYS keys a bucket, only to set bounds
+    keys, weights = some.column("key").to_numpy(), some.column("n").to_numpy()
+    order = np.argsort(keys, kind="stable")
+    upto = np.cumsum(weights[order])
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, n_buckets) / n_buckets) if len(upto) else np.zeros(0, np.int64)
+    bounds = np.unique(keys[order][at])
 
     def place(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(bounds, np.int64), keys.to_numpy(), side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(bounds, keys.to_numpy(), side="right").astype(np.int32))
 
     keyed = keyed.withColumn("bucket", pandas_udf(place, "int")("key"))
-    totals = {r["bucket"]: r["n"] for r in keyed.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most MOST_BUCKETS rows
+    totals = {r["bucket"]: r["n"] for r in keyed.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # one row a bucket
     begins, whole = {}, 0
     for b in sorted(totals):
         begins[b] = whole

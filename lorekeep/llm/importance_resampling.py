@@ -1,8 +1,9 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed word n-grams (one and two words), one of target text and one of all
-raw text, give each document the logarithm of their ratio. Gumbel noise is added and the rows with
-the greatest keys stay, which samples without replacement in proportion to the ratio.
+raw text, give each document the logarithm of their ratio, brought to `LENGTH` n-grams (the mean over
+its n-grams times LENGTH), so that length decides nothing. Standard Gumbel noise is added and the
+rows with the greatest keys stay: a sample without replacement in proportion to that ratio.
 
 The counts cover whole texts of all rows: tasks sum their texts into `BUCKETS` counters and only
 those meet. The k-th greatest key is found exactly by counting keys in ever narrower ranges, never
@@ -10,8 +11,8 @@ by sorting or gathering them.
 
 Defined results: a null or empty text has no n-grams and ratio 0; the noise comes from a hash of
 the row's id, text and the seed, so a repeated row meets the same fate; ties at the threshold stay
-together, those that would exceed the share go out by id; an empty table gives an empty result;
-without target rows all ratios are 0. Extra columns are ignored.
+together, also where they exceed the share; an empty table gives an empty result; without target
+rows all ratios are 0; whole texts of any length are read, one at a time. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ BUCKETS = 1 << 14
 SEED = 11
 #: Target rows that the target model is fitted on, about; the raw model counts every row.
 TARGET_ROWS = 20_000
-#: Temperature of the noise against log-ratios per n-gram.
-NOISE = 0.02
+#: N-grams that every text's ratio is brought to.
+LENGTH = 50
 #: Ranges in a round of the threshold search, and the most keys that are fetched at its end.
 RANGES, FEW = 4096, 4096
 
@@ -48,7 +49,7 @@ def _marked(docs: DataFrame, target: DataFrame, most: int = TARGET_ROWS) -> Data
     id, teach the target model, so their ids can be broadcast and no text is shuffled."""
     ids = target.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
     share = int(min(1.0, most / max(1, ids.count())) * (1 << 30))
-    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).limit(2 * most).withColumn("__lk_target", F.lit(True))
+    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).withColumn("__lk_target", F.lit(True))
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left").select("text", F.coalesce("__lk_target", F.lit(False)).alias("target"))
 
 
@@ -107,8 +108,8 @@ def kth_greatest(keys: DataFrame, k: int) -> float | None:
         lo, hi = a, b
 
 
-def resample(docs: DataFrame, target: DataFrame, share: float, noise: float = NOISE, seed: int = SEED) -> DataFrame:
-    """doc_id, log_ratio (mean over the text's n-grams), gumbel_key, kept. `target` lists the ids
+def resample(docs: DataFrame, target: DataFrame, share: float, length: float = LENGTH, seed: int = SEED) -> DataFrame:
+    """doc_id, log_ratio (of `length` n-grams like the text's), gumbel_key, kept. `target` lists the ids
     of target rows, `share` is the part of the rows that stays."""
     ratios = log_ratios(*bucket_counts(_marked(docs, target)))
 
@@ -119,12 +120,12 @@ def resample(docs: DataFrame, target: DataFrame, share: float, noise: float = NO
             for part in slices(texts):
                 for text in part:
                     b = ngram_buckets(text, hashes)
-                    out.append(float(ratios[b].mean()) if len(b) else 0.0)
+                    out.append(length * float(ratios[b].mean()) if len(b) else 0.0)
             yield pa.array(out, pa.float64())
 
     even = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     gumbel = -F.log(-F.log(even))
-    scored = cut(docs.select("doc_id", arrow_udf(score, "double")("text").alias("log_ratio"), gumbel.alias("g")).select("doc_id", "log_ratio", (F.col("log_ratio") + noise * F.col("g")).alias("gumbel_key")))
+    scored = cut(docs.select("doc_id", arrow_udf(score, "double")("text").alias("log_ratio"), gumbel.alias("g")).select("doc_id", "log_ratio", (F.col("log_ratio") + F.col("g")).alias("gumbel_key")))
     k = int(round(share * scored.count()))
     least = kth_greatest(scored.select(F.col("gumbel_key").alias("key")), k)
     return scored.withColumn("kept", F.lit(False) if least is None else F.col("gumbel_key") >= F.lit(least))

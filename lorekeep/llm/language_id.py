@@ -5,11 +5,12 @@ cut into blocks; every block is compressed with every dictionary and the languag
 total wins. Where the best two are closer than `MARGIN`, the row is marked as rejected.
 
 Training rows are a bounded sample: for each language about `SAMPLE` rows are chosen by the hash of
-their id, and a dictionary holds at most `DICTIONARY` bytes.
+their id (2 * SAMPLE at most), and a dictionary holds at most `DICTIONARY` bytes of their slices.
 
 Defined results: a null text or one without a letter is `und` with score 0; without any training
 row all texts are `und`; ties go to the language with more training rows; repeated rows get equal results;
-extra columns are ignored. Nothing is shuffled but counts.
+an empty table gives an empty result; whole texts of any length are read, one at a time; extra
+columns are ignored. Nothing is shuffled but counts and the sample.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -54,11 +55,15 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
     chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     middle = F.greatest(F.lit(1), (F.length("text") - SLICE) / 2).cast("int")
-    rows = chosen.select("doc_id", "lang", F.substring("text", middle, F.lit(SLICE)).alias("part")).limit(4 * sample * len(counts)).collect()
-    found: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["part"])):
-        found.setdefault(r["lang"], []).append(letters(r["part"]))
-    return {k: "\n".join(found[k]).encode()[-DICTIONARY:] for k in sorted(found, key=lambda k: (-counts[k], k))}
+    parts = chosen.select("doc_id", "lang", F.substring("text", middle, F.lit(SLICE)).alias("part"))
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "part"), "doc_id")
+    rows = parts.withColumn("rn", F.row_number().over(by_hash)).where(F.col("rn") <= 2 * sample).collect()
+    found: dict[str, list[bytes]] = {}
+    for r in sorted(rows, key=lambda r: (r["lang"], r["rn"])):
+        own, part = found.setdefault(r["lang"], []), letters(r["part"]).encode()
+        if sum(map(len, own)) + len(own) + len(part) <= DICTIONARY:
+            own.append(part)
+    return {k: b"\n".join(found[k]) for k in sorted(found, key=lambda k: (-counts[k], k))}
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], keys: list[str], margin: float = MARGIN) -> DataFrame:

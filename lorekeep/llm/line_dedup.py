@@ -8,18 +8,20 @@ near; earlier is by doc_id, then the text's hash, then the line's number. Lines
 All variants with one character deleted would be as many rows as the corpus has characters, so the
 neighbourhood is built where the edit can be. Cut both lines of a near pair at the same places:
 the edit lies in one segment and the rest of the lines is equal. Keys of "the line without this
-segment" (two halves first, then eight parts of the half) find lines that share all but one short
-segment; only there are variants with one deleted character emitted as hashed keys. This loses no
-pair. Variants that replace at the same place are all near one another, so each is compared with
+segment" (two halves first, then eight parts of the half, and so on while a segment is longer than
+`LONG`) find lines that share all but one short segment; only there are variants with one deleted
+character emitted as hashed keys. This loses no pair, and the work on a line follows its length. Variants that replace at the same place are all near one another, so each is compared with
 the earliest only; a shorter line and the longer ones around it form a star. Nothing lists all
 pairs of a group. Candidates are verified by edit distance on whole lines.
 
 Equal lines are aggregated before any of this. A line that holds more than a thousandth of all
-lines is joined by broadcast (at most a thousand such lines exist), all others by shuffle.
+lines of that length is joined by broadcast (at most a thousand such lines exist), all others by shuffle.
+
+Hashes and places of all lines are written once and read by what needs no text.
 
 Defined results: null text stays null, an empty one stays empty; rows equal in doc_id and text are
 one document and share its fate; null ids come first; an empty table gives an empty result; extra
-columns pass through. The edit bound is one.
+columns pass through. Lines of any length are compared whole. The edit bound is one.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import cut, row_key, table
+from lorekeep.llm.common import cut, row_key, table, written
 
 MIN_CHARS = 24
 HOT_SHARE = 1000
-#: Parts of a half line in which an edit is looked for.
+#: Parts of a half line, and of longer segments, in which an edit is looked for.
 PARTS = 8
+#: Segments up to this length have all their variants emitted.
+LONG = 2048
 
 
 def normalised(line: Column) -> Column:
@@ -64,20 +68,34 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
 
 
-def near_pairs(occurrences: DataFrame) -> DataFrame:
-    """(h1, h2): the distinct lines that have an earlier line near them, of rows h1, h2, pos, line."""
+def _hashes(occurrences: DataFrame) -> DataFrame:
+    """h1, h2, pos and, as k0 to k3, the hashes of the line's halves for both lengths of a pair."""
+    halves = lambda m: [F.xxhash64(m, F.lit(0), F.substr("line", F.lit(1), F.floor(m / 2).cast("int"))), F.xxhash64(m, F.lit(1), F.right(F.col("line"), m - F.floor(m / 2).cast("int")))]
+    four = halves(F.length("line")) + halves(F.length("line") - 1)
+    return occurrences.select("h1", "h2", "pos", *[k.alias(f"k{i}") for i, k in enumerate(four)])
+
+
+def near_pairs(occurrences: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(h1, h2): the distinct lines that have an earlier line near them, of rows h1, h2, pos, line
+    and their `_hashes`."""
     lengths = F.explode(F.array(F.length("line"), F.length("line") - 1))
     # hashes alone tell which lines share a half; they are few bytes beside the lines
-    halves = lambda m: [F.xxhash64(m, F.lit(0), F.substr("line", F.lit(1), F.floor(m / 2).cast("int"))), F.xxhash64(m, F.lit(1), F.right(F.col("line"), m - F.floor(m / 2).cast("int")))]
-    four = dict(zip(("k0", "k1", "k2", "k3"), halves(F.length("line")) + halves(F.length("line") - 1)))
-    keys = occurrences.select("h1", "h2", *[k.alias(c) for c, k in four.items()]).distinct().select("h1", "h2", F.explode(F.array(*four)).alias("k"))
+    four = [f"k{i}" for i in range(4)]
+    keys = hashes.select("h1", "h2", *four).distinct().select("h1", "h2", F.explode(F.array(*four)).alias("k"))
     found = keys.join(_shared(keys), "k").select(F.col("h1").alias("g1"), F.col("h2").alias("g2")).distinct()
     lines = occurrences.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.first("line").alias("line"))
     lines = cut(lines.join(found, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).drop("g1", "g2"))
     again = _segments(lines.select("h1", "h2", "pos", F.lit(0).alias("k"), F.col("line").alias("seg"), lengths.alias("m")), 2, ["h1", "h2", "pos"])
     first = again.join(_shared(again), "k")
     second = cut(_segments(first, PARTS, ["h1", "h2", "pos"]))
-    leaf = second.join(_shared(second), "k").select("h1", "h2", "pos", "k", "seg", (F.length("seg") > F.col("m")).alias("longer"))
+    shared = second.join(_shared(second), "k")
+    size = (lines.agg(F.max(F.length("line"))).first()[0] or 0) / (2 * PARTS)
+    while size > LONG:  # only the long segments go on
+        shared = cut(shared)
+        deeper = _segments(shared.where(F.length("seg") > LONG).select("h1", "h2", "pos", "k", "seg", "m"), PARTS, ["h1", "h2", "pos"])
+        shared = shared.where(F.length("seg") <= LONG).select("h1", "h2", "pos", "k", "seg", "m").unionByName(deeper.join(_shared(deeper), "k").select("h1", "h2", "pos", "k", "seg", "m"))
+        size = size / PARTS
+    leaf = shared.select("h1", "h2", "pos", "k", "seg", (F.length("seg") > F.col("m")).alias("longer"))
 
     places = F.sequence(F.lit(1), F.length("seg"))
     without = lambda p: F.concat(F.substr("seg", F.lit(1), p - 1), F.substr("seg", p + 1, F.length("seg")))
@@ -99,13 +117,14 @@ def near_pairs(occurrences: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(__lk_id, __lk_th, dropped): the numbers, from 0, of the lines that go, by document."""
     occurrences = _lines(docs)
-    near = near_pairs(occurrences)
-    total = docs.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
-    fate = occurrences.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.count("*").alias("times")).join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
+    hashes = written(_hashes(occurrences), "lines")
+    near = near_pairs(occurrences, hashes)
+    total = hashes.count()
+    fate = hashes.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.count("*").alias("times")).join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     fate = cut(fate.where("near OR times > 1").select("h1", "h2", F.col("pos").alias("first"), F.coalesce("near", F.lit(False)).alias("near"), "times"))
     hot = fate.where(F.col("times") > total / HOT_SHARE)  # fewer than HOT_SHARE lines
     goes = F.col("near") | (F.col("pos") != F.col("first"))
-    few = occurrences.select("h1", "h2", "pos")
+    few = hashes.select("h1", "h2", "pos")
     by_hot = few.join(F.broadcast(hot), ["h1", "h2"]).where(goes).select("pos")
     rest = few.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(fate.where(F.col("times") <= total / HOT_SHARE), ["h1", "h2"]).where(goes).select("pos")
     return by_hot.unionByName(rest).groupBy("pos.__lk_id", "pos.__lk_th").agg(F.array_sort(F.collect_set("pos.no")).alias("dropped"))

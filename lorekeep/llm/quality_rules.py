@@ -6,8 +6,9 @@ decides whether a document stays. Counting rules that need no labels come first.
 
 Defined results: a null or empty text has no words, fails the base rule and goes; lines without a
 word are neither content nor boilerplate; repeated rows get equal results row by row; an empty
-table gives an empty result; extra columns are ignored by `quality_rules`. No window or join is
-used, so one hot source or very long text stays a matter of its own row.
+table gives an empty result; extra columns are ignored by `quality_rules`; whole texts of any length
+are read, one at a time; ties between states go to content. No window or join is used, so one hot
+source or very long text stays a matter of its own row.
 """
 
 from __future__ import annotations
@@ -196,21 +197,27 @@ def _marginals(s: np.ndarray, tr: np.ndarray, mask: np.ndarray) -> tuple[np.ndar
     return p1, pair
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_lines: int = 150) -> dict:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, chain: int = 150) -> dict:
     """Fit the field on a bounded sample of labelled rows: about `max_docs` of them, chosen by the
-    hash of their id, and of each at most `max_lines` lines. Only features reach the driver."""
+    hash of their id. Their whole texts become chains of at most `chain` lines, of which at most
+    2 * max_docs, evenly spread, are fitted. Only features reach the driver."""
     labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality")
     n = labels.count()
     if n == 0:
         return DEFAULT_MODEL
     share = int(min(1.0, max_docs / n) * 1_000_000)
-    sample = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).dropDuplicates(["doc_id"]).limit(2 * max_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", arrow_udf(_features, "struct<rows:int,features:binary>")("text").alias("f")).select("quality", "f.rows", "f.features").limit(4 * max_docs).collect()
+    sample = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).dropDuplicates(["doc_id"])
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_docs)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", arrow_udf(_features, "struct<rows:int,features:binary>")("text").alias("f")).select("quality", "f.rows", "f.features")
+    rows = rows.where("rows > 0").orderBy(F.xxhash64("features"), "quality").limit(4 * max_docs).collect()  # an id may have many rows
     chains, bad = [], []
     for r in rows:
-        if r["rows"]:
-            chains.append(np.frombuffer(r["features"], np.float32).reshape(-1, FEATURES)[:max_lines])
+        x = np.frombuffer(r["features"], np.float32).reshape(-1, FEATURES)
+        for k in range(0, len(x), chain):
+            chains.append(x[k : k + chain])
             bad.append(r["quality"] == 0)
+    step = max(1, -(-len(chains) // (2 * max_docs)))
+    chains, bad = chains[::step], bad[::step]
     if not chains or not any(bad) or all(bad):
         return DEFAULT_MODEL
     return fit_crf(chains, np.array(bad))

@@ -1,14 +1,15 @@
 """Token counts under a unigram vocabulary, without building the tokens.
 
 Aho-Corasick enumerates the vocabulary's matches in a word; dynamic programming over end positions
-carries the best score and its number of pieces. Tie rules are those of the tokenizers library's
+carries the best score, its number of pieces and the run of unknown characters it ends in, so no
+path is kept or walked back. Tie rules are those of the tokenizers library's
 Unigram model behind a Metaspace pre-tokenizer: a candidate replaces the best path to an end only
 with a strictly better score, candidates come by start from the left; a character that no piece
 covers alone is an unknown of the least score minus 10; neighbouring unknowns fuse, and become
 their bytes where the vocabulary has all of those.
 
-Defined results: null and empty texts have no tokens; repeated rows are counted one by one; extra
-columns are ignored. No shuffle is used; the words that a task remembers are bounded.
+Defined results: null and empty texts have no tokens; repeated rows are counted one by one; an empty
+table gives an empty result; texts of any length are counted whole; extra columns are ignored. No shuffle is used; the words that a task remembers are bounded.
 """
 
 from __future__ import annotations
@@ -53,38 +54,37 @@ class Counter:
     def word(self, word: str) -> int:
         """Tokens of one pre-token."""
         n = len(word)
-        score: list[float | None] = [None] * (n + 1)
-        start, score[0] = [0] * (n + 1), 0.0
-        alone = [False] * n
         matches: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        alone = [False] * n
         for end, (size, s) in self.auto.iter(word):
             matches[end].append((end + 1 - size, s))
             if size == 1:
                 alone[end] = True
-        unknown = [False] * (n + 1)
+        # of the best path to each end: score, closed pieces, tokens of the unknown run it ends in if
+        # that is spelt in bytes (0: no run), whether the vocabulary has those bytes
+        score, count, run, spelt = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1), [True] * (n + 1)
         for end in range(1, n + 1):
-            best, at, un = None, 0, False
-            options = matches[end - 1]  # the longest first, so starts go from the left
+            best, at, known = None, 0, True
+            for begin, s in matches[end - 1]:  # the longest first, so starts go from the left
+                new = score[begin] + s
+                if best is None or new > best:
+                    best, at = new, begin
             if not alone[end - 1]:
-                options = [*options, (end - 1, None)]
-            for begin, s in options:
-                from_score = score[begin]
-                new = from_score + (self.unknown if s is None else s)
+                new = score[end - 1] + self.unknown
                 if best is None or new > best:
-                    best, at, un = new, begin, s is None
-            score[end], start[end], unknown[end] = best, at, un
-        count, end, fused = 0, n, n
-        while end > 0:
-            if unknown[end]:
-                fused = end
-                while end > 0 and unknown[end]:
-                    end = start[end]
-                raw = word[end:fused].encode()
-                count += len(raw) if all(b in self.bytes for b in raw) else 1
+                    best, at, known = new, end - 1, False
+            score[end] = best
+            if known:
+                count[end] = self._closed(count[at], run[at], spelt[at]) + 1
             else:
-                count += 1
-                end = start[end]
-        return count
+                raw = word[end - 1].encode()
+                count[end], run[end], spelt[end] = count[at], run[at] + len(raw), spelt[at] and all(b in self.bytes for b in raw)
+        return self._closed(count[n], run[n], spelt[n])
+
+    @staticmethod
+    def _closed(count: int, run: int, spelt: bool) -> int:
+        """Pieces when the run of unknowns ends: its bytes, or one unknown."""
+        return count + (run if spelt else 1) if run else count
 
     def text(self, text: str) -> int:
         """Tokens of a text: a mark stands before its first character and for each space, and each

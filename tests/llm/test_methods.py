@@ -27,7 +27,9 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def test_near_lines_by_brute_force(spark):
+@pytest.mark.parametrize("long", [2048, 0.4])
+def test_near_lines_by_brute_force(spark, monkeypatch, long):
+    monkeypatch.setattr(line_dedup, "LONG", long)  # short: segments are cut again and again
     rng = np.random.default_rng(3)
     base = ["".join(rng.choice(list("abcd "), 30)).strip().ljust(26, "x") for _ in range(12)]
     lines = list(base)
@@ -246,3 +248,26 @@ def test_recall_of_the_graphs(spark, sf_dir):
         d[q] = np.inf
         hit += len(set(np.argsort(d)[:10].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
     assert hit / 300 >= 0.9
+
+
+@pytest.mark.parametrize("shard_size", [None, 700])
+def test_recall_over_embeddings(spark, monkeypatch, shard_size):
+    """The query's rows at sf0.1 (2,000 vectors; also in three shards) against brute force."""
+    sf = "/root/testdata/sf0.1"
+    if shard_size:
+        build = hnsw.build_index
+        monkeypatch.setattr(hnsw, "build_index", lambda v: build(v, shard_size=shard_size))
+    rows = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    ids, x = np.array(list(rows)), np.stack(list(rows.values()))
+    got = {}
+    for r in hnsw.op10_hnsw(spark, sf).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["score"], r["vec_id"])
+    hit = total = 0
+    for q in [i for i in rows if i % 100 == 0]:
+        d = np.sqrt(((x - rows[q]) ** 2).sum(1))
+        best = sorted((float(v), int(i)) for v, i in zip(d, ids) if i != q)[:10]
+        mine = [got[q][k] for k in range(1, 11)]
+        assert mine == sorted(mine) and all(abs(v - float(np.sqrt(((rows[i] - rows[q]) ** 2).sum()))) < 1e-12 for v, i in mine)
+        hit += len({i for _, i in best} & {i for _, i in mine})
+        total += 10
+    assert len(got) == total / 10 and hit >= 0.95 * total

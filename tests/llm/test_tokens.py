@@ -33,9 +33,9 @@ def test_segment_tree_gives_the_library_s_ids():
 def test_packing_s_ids_are_those_of_tokenizers():
     path = P.path(curve_packing.VOCABULARY)
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    some = texts()
-    got = [np.frombuffer(b"".join(x), "<u2").tolist() for x in curve_packing._words(path)(some)]
+    some = [*texts(), "a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|><|endoftext|> "]
+    got = [np.frombuffer(x, "<u2").tolist() for x in curve_packing.encode_texts(some, path)]
+    assert got[-3] == [64, 220, 50256, 275]
     assert got == [e.ids for e in model.encode_batch(some, add_special_tokens=False)]
     assert curve_packing.byte_ranks(path)[b"a"] == {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}[b"a"]
 
@@ -67,7 +67,6 @@ def test_pieces_fill_sequences(spark, sf_dir):
     p = p.sort_values(["sequence_id", "offset"])
     assert (p.offset == p.groupby("sequence_id").length.cumsum() - p.length).all()
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     ids = {r["doc_id"]: np.array([*model.encode(r["text"], add_special_tokens=False).ids, 1], "<u4") for r in docs.collect()}
     for r in p.itertuples():
         assert r.ids == ids[r.doc_id][r.start : r.start + r.length].tobytes() and zlib.crc32(r.ids) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
