@@ -81,10 +81,10 @@ def near_pairs(occurrences: DataFrame, hashes: DataFrame) -> DataFrame:
     lengths = F.explode(F.array(F.length("line"), F.length("line") - 1))
     # hashes alone tell which lines share a half; they are few bytes beside the lines
     four = [f"k{i}" for i in range(4)]
-    keys = hashes.select("h1", "h2", *four).distinct().select("h1", "h2", F.explode(F.array(*four)).alias("k"))
-    found = keys.join(_shared(keys), "k").select(F.col("h1").alias("g1"), F.col("h2").alias("g2")).distinct()
+    keys = hashes.select("h1", *four).distinct().select("h1", F.explode(F.array(*four)).alias("k"))
+    found = keys.join(_shared(keys), "k").select(F.col("h1").alias("g1")).distinct()
     lines = occurrences.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.first("line").alias("line"))
-    lines = cut(lines.join(found, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).drop("g1", "g2"))
+    lines = cut(lines.join(found, F.col("h1") == F.col("g1")).drop("g1"))
     again = _segments(lines.select("h1", "h2", "pos", F.lit(0).alias("k"), F.col("line").alias("seg"), lengths.alias("m")), 2, ["h1", "h2", "pos"])
     first = again.join(_shared(again), "k")
     second = cut(_segments(first, PARTS, ["h1", "h2", "pos"]))
