@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir. A local one is
+    made only where none is named and all runs in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -63,6 +66,7 @@ def slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[list[str]]:
         end = max(begin + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield [x or "" for x in texts.slice(begin, end - begin).to_pylist()]
         begin = end
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task keeps little
 
 
 class Hashes:

@@ -135,7 +135,7 @@ def _rules_udf(model: dict, min_share: float):
 
 def _features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        found = [line_features((t or "").encode("utf-8", "surrogatepass").split(b"\n"))[0] for t in texts.to_pylist()]
+        found = [line_features(t.encode("utf-8", "surrogatepass").split(b"\n"))[0] for part in slices(texts) for t in part]
         yield pa.StructArray.from_arrays([pa.array([len(x) for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], names=["rows", "features"])
 
 
