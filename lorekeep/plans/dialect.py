@@ -91,6 +91,10 @@ class Spark:
     def find(self, text: str, part: str) -> str:
         return f"instr({text}, {part})"
 
+    def hex32(self, x: str, at: int) -> str:
+        """Eight hex digits of a text as a number."""
+        return f"CAST(conv(substring({x}, {at}, 8), 16, 10) AS BIGINT)"
+
 
 class Duck(Spark):
     name = "duck"
@@ -176,5 +180,8 @@ class Duck(Spark):
     def find(self, text: str, part: str) -> str:
         return f"strpos({text}, {part})"
 
+    def hex32(self, x: str, at: int) -> str:
+        return f"CAST(concat('0x', substring({x}, {at}, 8)) AS BIGINT)"
+
 
 SPARK, DUCK = Spark(), Duck()

@@ -33,7 +33,8 @@ def uses(sql: str) -> list[str]:
 def run_sql(sql: str, frames: dict[str, DataFrame], spark: SparkSession | None = None) -> DataFrame:
     """spark.sql over DataFrames that the text names as tables."""
     text = sql.replace("{", "{{").replace("}", "}}")
-    names = [x for x in uses(sql) if x in frames]
+    own = set(re.findall(r"\b(\w+)\s+AS\s+\(\s*(?:WITH|SELECT)", sql))
+    names = [x for x in frames if x not in own and re.search(rf"\b(?:FROM|JOIN|,)\s*{x}\b", sql)]
     for x in names:
         text = re.sub(rf"\b(FROM|JOIN|,)(\s*){x}\b", rf"\1\2{{{x}}}", text)
     spark = spark or next(iter(frames.values())).sparkSession

@@ -18,9 +18,12 @@ AUDIT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share, which spark.checkpoint.dir names. A
+    local one is made only where none is named and all runs in one process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lorekeep-{name}-{uuid.uuid4().hex}"

@@ -17,6 +17,9 @@ VIEWS.update({
     "query_vectors": "SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 50 = 0",
     "questions": """SELECT item_id AS qid, text AS query, CASE item_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'public_only' ELSE 'groups' END AS perm_mode,
        concat('src', CAST(item_id % 20 AS STRING)) AS perm_group FROM benchmark""",
+    "variants": "SELECT item_id AS base, item_id AS vid, 0 AS v FROM benchmark UNION ALL SELECT item_id, (item_id + 1) % 40, 1 FROM benchmark",
+    "orders_given": "SELECT item_id AS qid, concat(CAST(item_id % 7 AS STRING), ',0,', CAST(item_id % 5 + 3 AS STRING), ',99') AS o FROM benchmark",
+    "results": "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN doc_id END AS chunk_id, text FROM documents",
     "doc_lines": lambda d: d.explode("documents", "doc_id", d.split("text", "chr(10)"), "line_no", "line"),
     "md_lines": """SELECT doc_id, line_no, CASE WHEN line_no % 12 = 1 THEN concat('# ', substring(line, 1, 20)) WHEN line_no % 6 = 3 THEN concat('## ', substring(line, 1, 20))
        WHEN line_no % 5 = 4 THEN concat('### ', substring(line, 1, 20)) ELSE line END AS line FROM doc_lines""",
