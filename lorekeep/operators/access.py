@@ -7,7 +7,8 @@ from lorekeep.plans.operator import operator
 #: Three states: no list of groups (no filter), an empty list (public only), groups (theirs or public).
 VISIBLE = "(q.perm_mode = 'all' OR c.visibility = 'public' OR (q.perm_mode = 'groups' AND c.kb_group = q.perm_group))"
 
-permission = operator("flt_permission", "Chunks that each question may be answered from: how many.", f"SELECT q.qid, count(*) AS visible FROM questions q JOIN kb_docs c ON {VISIBLE} GROUP BY q.qid")
+permission = operator("flt_permission", "Chunks that each question may be answered from: how many.", f"SELECT q.qid, CAST(sum(c.n) AS BIGINT) AS visible FROM questions q JOIN (SELECT kb_group, visibility, count(*) AS n FROM kb_docs GROUP BY kb_group, visibility) c ON {VISIBLE} GROUP BY q.qid",
+    apart=f"SELECT q.qid, count(*) AS visible FROM questions q JOIN kb_docs c ON {VISIBLE} GROUP BY q.qid")
 permission_public = operator("flt_permission_groups", "Documents of a group list or public, and those of an empty list.", """
 SELECT doc_id, kb_group IN ('src1', 'src2') OR visibility = 'public' AS for_groups, visibility = 'public' AS for_empty FROM kb_docs""")
 role_perm = operator("flt_role_perm", "Users whose role has a permission.", lambda d: f"SELECT r.user_id FROM user_roles r JOIN roles p ON r.role_name = p.role_name WHERE {d.contains(d.json_list('p.permissions'), chr(39) + 'upload' + chr(39))}")
@@ -34,7 +35,8 @@ WITH tools AS (SELECT * FROM (VALUES ('click', '["*"]'), ('view', '["search_grou
   needs AS (SELECT a.role_name, a.tool_name, t.tool_name IS NOT NULL AS known, coalesce(t.required, '[]') AS required, a.permissions FROM asked a LEFT JOIN tools t ON a.tool_name = t.tool_name),
   gaps AS (SELECT role_name, tool_name, known, required, {d.join(d.filter(d.json_list('required'), 'p', f"NOT {d.contains(d.json_list('permissions'), 'p')}"), "','")} AS missing FROM needs)
 SELECT role_name, tool_name, CASE WHEN NOT known THEN 'unregistered' WHEN required = '["*"]' OR missing = '' THEN 'allowed' ELSE concat('missing ', {d.rrep('missing', ',.*', '')}) END AS verdict FROM gaps""")
-tool_undeclared = operator("flt_tool_undeclared", "Roles without any permission, and those with all.", lambda d: f"SELECT role_name, {d.size(d.json_list('permissions'))} = 0 AS undeclared FROM roles")
+tool_undeclared = operator("flt_tool_undeclared", "Registered tools that declare no permissions, and those that declare all.", lambda d: f"SELECT tool_id, {d.size(d.json_list('required'))} = 0 AS undeclared, {d.contains(d.json_list('required'), chr(39) + '*' + chr(39))} AS open_to_all FROM tool_registry",
+    apart="""SELECT tool_id, required = '[]' AS undeclared, required = '["*"]' AS open_to_all FROM tool_registry""")
 perm_union = operator("set_perm_union", "Union of the permission sets of a nation's users.", lambda d: f"""
 SELECT nation, {d.agg_join('perm', "','", 'perm')} AS permissions FROM (SELECT DISTINCT nation, perm FROM ({d.explode('(SELECT c.c_nationkey AS nation, p.permissions FROM customer c JOIN roles p ON c.c_mktsegment = p.role_name) x', 'nation', d.json_list('permissions'), 'pos', 'perm')}) e) u GROUP BY nation""")
 members_change = operator("set_members", "A batch of changes to memberships: insert or ignore, then remove.", """

@@ -27,7 +27,7 @@ orphan_header = operator("chk_orphan_header", "Sections before any header get th
 header_fill = operator("chk_header_fill", "Gaps in the header path filled from above; a new first level resets the second.", lambda d: f"WITH {_FILLED(d)} SELECT doc_id, sid, h1, h2, h3 FROM filled")
 header_path = operator("chk_header_path", "Path text in front of the content.", lambda d: f"WITH {_FILLED(d)} SELECT doc_id, sid, concat({_PATH}, coalesce(content, '')) AS chunk FROM filled")
 merge_tiny = operator("chk_merge_tiny", "Runs of neighbouring sections with one path, all short, become one section.", lambda d: f"""
-WITH {_FILLED(d)}, small AS (SELECT *, concat_ws('|', h1, h2) AS p, length(coalesce(content, '')) < {SIZE // 3} AS tiny FROM filled),
+WITH {_FILLED(d)}, small AS (SELECT *, concat_ws('|', h1, h2, h3) AS p, length(coalesce(content, '')) < {SIZE // 3} AS tiny FROM filled),
   steps AS (SELECT *, CASE WHEN tiny AND lag(tiny) OVER (PARTITION BY doc_id ORDER BY sid) AND lag(p) OVER (PARTITION BY doc_id ORDER BY sid) = p THEN 0 ELSE 1 END AS step FROM small),
   runs AS (SELECT *, sum(step) OVER (PARTITION BY doc_id ORDER BY sid) AS run FROM steps)
 SELECT doc_id, min(sid) AS sid, count(*) AS merged, max(h1) AS h1, max(h2) AS h2, {d.agg_join("coalesce(content, '')", 'chr(10)', 'sid')} AS content FROM runs GROUP BY doc_id, run""")
@@ -40,15 +40,13 @@ SELECT concat(file_hash, '_', lpad(CAST(row_number() OVER (PARTITION BY doc_id O
 stamp = operator("chk_stamp", "Path, hash, group and visibility on each chunk.", "SELECT chunk_id, file_path, md5(content) AS file_hash, coalesce(kb_group, 'default') AS kb_group, coalesce(visibility, 'internal') AS visibility FROM chunk_vectors")
 metadata = operator("chk_metadata", "Metadata passes through; the chunk's number counts up in its document.", lambda d: f"WITH {sections(d)} SELECT doc_id, sid, row_number() OVER (PARTITION BY doc_id ORDER BY sid) - 1 AS chunk_index, coalesce(h1, '') AS h1, length(coalesce(content, '')) AS n FROM sec")
 
-#: Exam papers: the driver tables have none, so every 3rd line plays a marker.
-_EXAM = """SELECT doc_id, line_no, CASE WHEN line_no % 15 = 0 THEN concat('Part ', CASE line_no % 4 WHEN 0 THEN 'I' WHEN 1 THEN 'II' WHEN 2 THEN 'III' ELSE 'IV' END, CASE line_no % 5 WHEN 0 THEN ' Writing' WHEN 1 THEN ' Listening' WHEN 2 THEN ' Reading' WHEN 3 THEN ' Translation' ELSE ' Other' END)
-  WHEN line_no % 6 = 1 THEN concat('Section ', CASE line_no % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END) WHEN line_no % 6 = 4 THEN concat('Passage ', CASE line_no % 2 WHEN 0 THEN 'One' ELSE 'Two' END) ELSE line END AS line FROM doc_lines"""
-_MARKERS = lambda d: f"""SELECT doc_id, line_no, line, CASE WHEN {d.rlike('line', 'Part\\s+I{1,3}V?\\b')} THEN 1 WHEN {d.rlike('line', 'Section\\s+[A-C]\\b')} THEN 2 WHEN {d.rlike('line', 'Passage\\s+(One|Two|Three)\\b')} THEN 3 ELSE 0 END AS kind FROM ({_EXAM}) e"""
-_LABEL = lambda d: f"""CASE WHEN kind = 1 AND lower(line) LIKE '%writing%' THEN 'Part I Writing' WHEN kind = 1 AND lower(line) LIKE '%listen%' THEN 'Part II Listening' WHEN kind = 1 AND lower(line) LIKE '%read%' THEN 'Part III Reading'
-  WHEN kind = 1 AND lower(line) LIKE '%translat%' THEN 'Part IV Translation' WHEN kind > 0 THEN {d.rext('line', '(Part\\s+I+V?|Section\\s+[A-C]|Passage\\s+[A-Z][a-z]+)', 1)} END"""
-struct_markers = operator("chk_struct_markers", "Part, section and passage markers with their places.", lambda d: f"SELECT doc_id, line_no, kind, {_LABEL(d)} AS label FROM ({_MARKERS(d)}) m WHERE kind > 0")
+#: Markers are data: the first rule of a level that a line fits gives its label. The rules are a few rows, so the join is a broadcast.
+_MARKERS = lambda d: f"""SELECT doc_id, line_no, kind, coalesce(label, {d.found('line', 'pattern')}) AS label FROM (SELECT e.doc_id, e.line_no, e.line, r.kind, r.label, r.pattern, row_number() OVER (PARTITION BY e.doc_id, e.line_no ORDER BY r.kind, r.trial) AS rn
+  FROM exam_lines e JOIN marker_rules r ON {d.fits('e.line', 'r.pattern')}) m WHERE rn = 1"""
+struct_markers = operator("chk_struct_markers", "Part, section and passage markers with their places.", lambda d: f"SELECT doc_id, line_no, kind, label FROM ({_MARKERS(d)}) m")
 asof_struct = operator("join_asof_struct", "The latest marker of each kind at or before a place, joined to a path.", lambda d: f"""
-SELECT doc_id, line_no, concat_ws(' > ', p, s, q) AS path FROM (SELECT doc_id, line_no, {', '.join(d.last(f"CASE WHEN kind = {k} THEN label END", 'PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW') + f' AS {c}' for k, c in ((1, 'p'), (2, 's'), (3, 'q')))} FROM (SELECT m.*, {_LABEL(d)} AS label FROM ({_MARKERS(d)}) m) l) x""")
+SELECT doc_id, line_no, concat_ws(' > ', p, s, q) AS path FROM (SELECT doc_id, line_no, {', '.join(d.last(f"CASE WHEN kind = {k} THEN label END", 'PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW') + f' AS {c}' for k, c in ((1, 'p'), (2, 's'), (3, 'q')))}
+  FROM (SELECT e.doc_id, e.line_no, m.kind, m.label FROM exam_lines e LEFT JOIN ({_MARKERS(d)}) m ON e.doc_id = m.doc_id AND e.line_no = m.line_no) l) x""")
 route_by_ext = operator("src_route_by_ext", "Loader by extension; others are rejected.", lambda d: f"""
 SELECT file_path, CASE WHEN {d.rlike('lower(file_path)', '[.](txt|md)$')} THEN 'text' WHEN {d.rlike('lower(file_path)', '[.]pdf$')} THEN 'pdf' WHEN {d.rlike('lower(file_path)', '[.]docx$')} THEN 'docx' ELSE 'rejected' END AS route
 FROM (SELECT concat(substring(file_path, 1, length(file_path) - 3), CASE doc_id % 5 WHEN 0 THEN 'PDF' WHEN 1 THEN 'docx' WHEN 2 THEN 'exe' WHEN 3 THEN 'md' ELSE 'txt' END) AS file_path FROM kb_docs) f""")

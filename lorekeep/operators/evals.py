@@ -41,5 +41,13 @@ FROM query_vectors q JOIN chunk_vectors c ON c.label = q.qid % 10 AND c.chunk_id
 report_eval = operator("rpt_eval", "Markdown table of category means.", lambda d: f"""
 SELECT concat('| config | category | recall |', chr(10), {d.agg_join("concat('| ', config, ' | ', category, ' | ', CAST(CAST(floor(m * 1000) AS BIGINT) AS STRING), ' |')", 'chr(10)', 'config, category')}) AS report
 FROM (SELECT config, category, avg(context_recall) AS m FROM eval_scores GROUP BY config, category) t""")
-clean_answer = operator("fn_clean_answer", "Answers without source lists, disclaimers and inline source notes; the original where nothing stays.", lambda d: f"""
+#: An answer is read line by line. A line that opens a list of sources starts a block that goes on over lines of
+#: quotes and dashes; lines of a block and disclaimers go, then notes of sources inside lines, then spare blanks.
+_LINES = """SELECT doc_id, text, answer, no, line, line RLIKE r'^[>]?[ \\t]*📚[ \\t]*参考来源[：:]' AS opens, line RLIKE r'^[ \\t]*[>-]' AS goes_on, line RLIKE r'^[>]?[ \\t]*⚠️' AS disclaimer FROM answers LATERAL VIEW posexplode(split(answer, chr(10))) l AS no, line"""
+clean_answer = operator("fn_clean_answer", "Answers without source lists, disclaimers and inline source notes; the original where nothing stays.", f"""
+SELECT doc_id, coalesce(nullif(trim(BOTH chr(10) FROM trim(regexp_replace(regexp_replace(listagg(regexp_replace(line, r'[（(]\\s*来源[：:][^）)]*[）)]', ''), chr(10)) WITHIN GROUP (ORDER BY no), r'[ \\t]+(?=\\n)', ''), r'\\n{{3,}}', concat(chr(10), chr(10))))), ''), max(answer)) AS answer FROM (
+  SELECT *, last(CASE WHEN opens THEN true WHEN NOT goes_on THEN false END, true) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS in_block FROM ({_LINES}) a) b
+WHERE NOT disclaimer AND NOT (opens OR (coalesce(in_block, false) AND goes_on)) GROUP BY doc_id""",
+    apart="""SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN answer ELSE trim(regexp_replace(regexp_replace(CASE doc_id % 4 WHEN 0 THEN concat(text, chr(10), 'end') WHEN 1 THEN concat('begin', chr(10), chr(10), chr(10), text) ELSE text END, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', concat(chr(10), chr(10)), 'g'), concat(' ', chr(10))) END AS answer FROM answers""")
+operator("fn_clean_answer", "Answers without source lists, disclaimers and inline source notes; the original where nothing stays.", lambda d: f"""
 SELECT doc_id, coalesce(nullif(trim({d.rrep(d.rrep(d.rrep("concat(text, ' (来源：a.pdf，第3页)', chr(10), '> 📚 参考来源：', chr(10), '> - b.pdf')", '\\n*>?\\s*📚\\s*参考来源[：:][^\\n]*(\\n[ \\t]*(>|-)[^\\n]*)*', ''), '[（(]\\s*来源[：:][^）)]*[）)]', ''), '[ \\t]+\\n', ' ')}), ''), text) AS answer FROM documents""")

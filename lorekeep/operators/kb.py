@@ -26,7 +26,7 @@ SELECT a.rid, n.file_path, 'name' AS how FROM asked a JOIN named n ON {d.rext('a
 repair_join = operator("join_repair", "Store against catalog: added, removed, fixed, same.", _REPAIR)
 anti_stale = operator("join_anti_stale", "Catalog paths that the store doesn't have.", "SELECT k.file_path FROM kb_docs k LEFT ANTI JOIN kb_store_counts s ON k.file_path = s.file_path")
 anti_stale.body = lambda d: "SELECT k.file_path FROM kb_docs k LEFT ANTI JOIN kb_store_counts s ON k.file_path = s.file_path" if d.name == "spark" else "SELECT k.file_path FROM kb_docs k ANTI JOIN kb_store_counts s ON k.file_path = s.file_path"
-semi_names = operator("join_semi_names", "Rows picked by a list of names, in the list's order.", "SELECT l.pos, n.n_nationkey, n.n_name FROM nation n JOIN (VALUES (0, 'JAPAN'), (1, 'CHINA'), (2, 'NOWHERE'), (3, 'BRAZIL')) AS l(pos, name) ON n.n_name = l.name")
+semi_names = operator("join_semi_names", "Rows picked by a list of names, in the list's order.", "SELECT l.pos, n.n_nationkey, n.n_name FROM nation n JOIN (VALUES (0, 'NATION_7'), (1, 'NATION_3'), (2, 'NOWHERE'), (3, 'NATION_12')) AS l(pos, name) ON n.n_name = l.name")
 set_except = operator("set_except", "Paths of the catalog that an incoming batch doesn't have.", "SELECT file_path FROM kb_docs EXCEPT SELECT file_path FROM kb_docs_new")
 set_union_all = operator("set_union_all", "Two lists of files, one after the other.", "SELECT file_path, 0 AS src FROM kb_docs UNION ALL SELECT file_path, 1 FROM kb_docs_new")
 add = operator("mnt_add", "Skip, update or insert, by path and hash.", _ACTIONS)

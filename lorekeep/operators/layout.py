@@ -8,13 +8,13 @@ from lorekeep.plans.operator import operator
 BAND, REPEATS, SCAN, MERGE = 0.05, 3, 50, 1.0
 
 _CLEANED = lambda d: f"SELECT doc_id, page, line_no, y, text, trim({d.rrep('text', '(第\\s*[0-9]+\\s*页|[0-9]+)', '')}) AS cleaned, y < 800 * {BAND} OR y > 800 * (1 - {BAND}) AS in_band FROM layout_lines"
-_REPEATED = lambda d: f"SELECT doc_id, cleaned, count(*) AS n FROM ({_CLEANED(d)}) c WHERE in_band AND cleaned <> '' GROUP BY doc_id, cleaned HAVING count(*) >= 2"
+_REPEATED = lambda d: f"SELECT r.doc_id, r.cleaned, r.n FROM (SELECT doc_id, cleaned, count(*) AS n FROM ({_CLEANED(d)}) c WHERE in_band AND cleaned <> '' GROUP BY doc_id, cleaned) r JOIN (SELECT doc_id, count(DISTINCT page) AS pages FROM layout_lines GROUP BY doc_id) p ON r.doc_id = p.doc_id WHERE p.pages >= {REPEATS} AND r.n >= least({REPEATS}, p.pages)"
 
 spans_to_lines = operator("lay_spans_to_lines", "Spans of a line joined in order; bold and mono when any span is.", lambda d: f"""
 SELECT doc_id, page, CAST(floor(line_no / 2) AS BIGINT) AS line, {d.agg_join('text', chr(39) + ' ' + chr(39), 'line_no')} AS text, max(CASE WHEN is_bold THEN 1 ELSE 0 END) AS bold, max(CASE WHEN is_monospace THEN 1 ELSE 0 END) AS mono
 FROM layout_lines GROUP BY doc_id, page, CAST(floor(line_no / 2) AS BIGINT)""")
 scan_route = operator("lay_scan_route", "Documents with fewer than 50 characters a page are scans.", f"SELECT doc_id, avg(n) < {SCAN} AS scanned FROM (SELECT doc_id, page, CAST(sum(length(text)) AS DOUBLE) AS n FROM layout_lines GROUP BY doc_id, page) p GROUP BY doc_id")
-header_footer = operator("lay_header_footer", "Lines in the bands that repeat over pages.", lambda d: f"SELECT doc_id, cleaned, n FROM ({_REPEATED(d)}) r")
+header_footer = operator("lay_header_footer", "Lines in the bands that repeat three times, in documents of three pages and more.", lambda d: f"SELECT doc_id, cleaned, n FROM ({_REPEATED(d)}) r")
 drop_header_footer = operator("lay_drop_header_footer", "Lines without repeated headers, footers and bare page numbers.", lambda d: f"""
 SELECT c.doc_id, c.line_no FROM ({_CLEANED(d)}) c LEFT JOIN ({_REPEATED(d)}) r ON c.doc_id = r.doc_id AND c.cleaned = r.cleaned AND c.in_band WHERE r.n IS NULL AND NOT {d.rlike('trim(c.text)', '^[0-9]+$')}""")
 _STRIPS = "SELECT doc_id, page, CAST(least(floor(x / 600 * 20), 19) AS BIGINT) AS strip, CAST(sum(length(text)) AS DOUBLE) AS n FROM layout_lines GROUP BY doc_id, page, CAST(least(floor(x / 600 * 20), 19) AS BIGINT)"
@@ -37,7 +37,7 @@ WITH marked AS (SELECT doc_id, line_no, text, size, is_monospace AS mono, y - la
 SELECT doc_id, {d.agg_join("concat(CASE WHEN mono AND NOT was THEN concat('```', chr(10)) ELSE '' END, CASE WHEN gap > greatest(1.5 * size, 20) THEN chr(10) ELSE '' END, CASE WHEN mono THEN '' WHEN size = 20 THEN '# ' WHEN size = 16 THEN '## ' ELSE '' END, text, CASE WHEN mono AND NOT next THEN concat(chr(10), '```') ELSE '' END)", 'chr(10)', 'line_no')} AS md FROM marked GROUP BY doc_id""")
 lists = operator("lay_lists", "List items with nesting by four spaces; three or more line ends become two.", lambda d: f"SELECT doc_id, line_no, CASE WHEN length(line) < 120 AND line_no % 4 > 0 THEN concat(repeat('    ', CAST(line_no % 4 - 1 AS INT)), '- ', line) ELSE line END AS line FROM doc_lines")
 _REGIONS = "SELECT doc_id, line_no, text, CASE line_no % 5 WHEN 0 THEN 'title' WHEN 1 THEN 'text' WHEN 2 THEN 'caption' WHEN 3 THEN 'formula' ELSE 'figure' END AS type, CASE WHEN line_no % 11 = 10 THEN NULL ELSE x END AS x1, CASE WHEN line_no % 11 = 10 THEN NULL ELSE y + line_no % 7 END AS y1, h FROM layout_lines"
-region_order = operator("lay_region_order", "Regions by rows of 20 points, then from the left; those without a box last.", f"SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN y1 IS NULL THEN 1 ELSE 0 END, floor(y1 / 20 + 0.5) * 20, x1, line_no) AS pos FROM ({_REGIONS}) r")
+region_order = operator("lay_region_order", "Regions by rows of 20 points, then from the left; those without a box last.", lambda d: f"SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN y1 IS NULL THEN 1 ELSE 0 END, {d.half_even('y1 / 20')} * 20, x1, line_no) AS pos FROM ({_REGIONS}) r")
 regions_to_md = operator("lay_regions_to_md", "Fragments by type, in order.", lambda d: f"SELECT doc_id, {d.agg_join("CASE type WHEN 'title' THEN concat('## ', text) WHEN 'caption' THEN concat('*', text, '*') WHEN 'formula' THEN concat('$$', text, '$$') WHEN 'figure' THEN '[figure]' ELSE text END", 'chr(10)', 'line_no')} AS md FROM ({_REGIONS}) r GROUP BY doc_id")
 line_height = operator("lay_line_height", "Mean height of text lines between 10 and 50, 14 where there are none.", "SELECT doc_id, round(coalesce(avg(CASE WHEN h > 10 AND h < 50 THEN h END), 14), 6) AS height, count(CASE WHEN h / 12 < 1.5 THEN 1 END) AS inline_formulas FROM layout_lines GROUP BY doc_id")
 image_triage = operator("lay_image_triage", "Images that look like formulas: low and wide.", "SELECT p_partkey AS image_id, p_size * 10 < 200 AND CAST(p_retailprice AS DOUBLE) / (p_size * 10) > 1.5 AND CAST(p_retailprice AS DOUBLE) / (p_size * 10) < 15 AS formula FROM part")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from lorekeep.plans.operator import operator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorekeep.operators.ranks import at_ranks
+from lorekeep.plans.dialect import DUCK
+from lorekeep.plans.operator import OPERATORS, Body, Operator, operator, text_of, view, with_views
 
 #: Price per million tokens, in and out; unknown models get the default.
 PRICES = {"deepseek-chat": (1.0, 2.0), "deepseek-v4-flash": (1.0, 2.0), "deepseek-reasoner": (4.0, 16.0)}
@@ -22,13 +27,32 @@ def _dist(x: str, src: str, prefix: str) -> str:
   FROM (SELECT {x}, row_number() OVER (ORDER BY {x}, id) AS rn, count(*) OVER () AS n FROM ({src}) s WHERE {x} IS NOT NULL) r"""
 
 
-def _dist_by_count(x: str, src: str, prefix: str) -> str:
-    """The same from counts of distinct values: rows meet per value, not in one task."""
-    return f"""WITH per_value AS (SELECT {x} AS v, count(*) AS c FROM ({src}) s WHERE {x} IS NOT NULL GROUP BY {x}),
-  placed AS (SELECT v, c, sum(c) OVER (ORDER BY v) AS upto, sum(c) OVER () AS n FROM per_value)
-  SELECT round(sum(v * c) / max(n), 6) AS {prefix}_mean,
-    round((max(CASE WHEN upto >= CAST(floor((n + 1) / 2) AS BIGINT) AND upto - c < CAST(floor((n + 1) / 2) AS BIGINT) THEN v END) + max(CASE WHEN upto >= CAST(floor(n / 2) AS BIGINT) + 1 AND upto - c < CAST(floor(n / 2) AS BIGINT) + 1 THEN v END)) / 2, 6) AS {prefix}_median,
-    round(max(CASE WHEN upto >= least(CAST(floor(n * 0.95) AS BIGINT), n - 1) + 1 AND upto - c < least(CAST(floor(n * 0.95) AS BIGINT), n - 1) + 1 THEN v END), 6) AS {prefix}_p95, CAST(max(n) AS BIGINT) AS n FROM placed"""
+class Distribution(Operator):
+    """Mean, median, P95 and count of a column, exact: ranks are found by counting in ranges."""
+
+    def __init__(self, key: str, doc: str, src: Body, x: str, prefix: str, apart: Body, also: str = "") -> None:
+        super().__init__(key, doc, src)
+        self.x, self.prefix, self.oracle_body, self.also = x, prefix, apart, also
+
+    def __call__(self, **frames: DataFrame) -> DataFrame:
+        d = super().__call__(**frames)
+        values = d.where(F.col(self.x).isNotNull()).select(F.col(self.x).cast("double").alias("v"))
+        more = [F.expr(self.also)] if self.also else []
+        s = d.agg(F.avg(self.x).alias("mean"), F.count(self.x).alias("n"), *more).first()
+        n = s["n"]
+        low, high, late = at_ranks(values, [(n + 1) // 2, n // 2 + 1, min(int(n * 0.95), n - 1) + 1]) if n else (None, None, None)
+        r6 = lambda v: None if v is None else v
+        row = (r6(s["mean"]), None if low is None else (low + high) / 2, late, n, *s[2:])
+        p = self.prefix
+        kind = f"{p}_mean double, {p}_median double, {p}_p95 double, n bigint" + (", " + self.also.split(" AS ")[-1] + " bigint" if self.also else "")
+        out = d.sparkSession.createDataFrame([row], kind)
+        return out.withColumns({c: F.round(c, 6) for c in out.columns[:3]})
+
+    def over(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self(**{x: view(spark, sf_dir, x) for x in self.inputs})
+
+    def oracle(self) -> str:
+        return with_views(text_of(self.oracle_body, DUCK))
 
 
 tool_summary = operator("agg_tool_summary", "Totals, success rate, retries and decisions of one audit log.", """
@@ -40,9 +64,10 @@ event_kind = operator("flt_event_kind", "Tool calls and decisions told apart, nu
 sample_guard = operator("flt_sample_guard", "Flags for too few calls (30) or traces (10), per tool.", """
 SELECT tool_name, count(*) AS calls, count(DISTINCT coalesce(trace_id, 'unknown')) AS traces, count(*) < 30 AS few_calls, count(DISTINCT coalesce(trace_id, 'unknown')) < 10 AS few_traces
 FROM tool_audit WHERE coalesce(type, '') <> 'decision' GROUP BY tool_name""")
-latency_dist = operator("agg_latency_dist", "Exact mean, median and P95 of call latency.", lambda d: _dist_by_count("latency_ms", f"{_CALLS}", "latency") if d.name == "spark" else _dist("latency_ms", f"SELECT *, event_id AS id FROM ({_CALLS})", "latency"))
+latency_dist = OPERATORS["agg_latency_dist"] = Distribution("agg_latency_dist", "Exact mean, median and P95 of call latency.", _CALLS, "latency_ms", "latency", _dist("latency_ms", f"SELECT *, event_id AS id FROM ({_CALLS})", "latency"))
 trace_e2e = operator("agg_trace_e2e", "End-to-end latency per trace: last minus first time, for traces with two or more.", lambda d: f"SELECT trace_id, round(e2e_ms, 3) AS e2e_ms, n FROM ({_TRACES(d)}) t WHERE n >= 2")
-trace_dist = operator("agg_trace_dist", "Distribution of end-to-end latencies, and traces of a single event.", lambda d: (lambda dist: f"SELECT * FROM ({dist}) a CROSS JOIN (SELECT CAST(count_if(n < 2) AS BIGINT) AS single_event_traces FROM ({_TRACES(d)}) t) b")(_dist_by_count("e2e_ms", f"SELECT e2e_ms FROM ({_TRACES(d)}) t WHERE n >= 2", "e2e") if d.name == "spark" else _dist("e2e_ms", f"SELECT e2e_ms, trace_id AS id FROM ({_TRACES(d)}) t WHERE n >= 2", "e2e")))
+trace_dist = OPERATORS["agg_trace_dist"] = Distribution("agg_trace_dist", "Distribution of end-to-end latencies, and traces of a single event.", lambda d: f"SELECT n, CASE WHEN n >= 2 THEN e2e_ms END AS e2e_ms FROM ({_TRACES(d)}) t", "e2e_ms", "e2e",
+    lambda d: f"SELECT * FROM ({_dist('e2e_ms', f'SELECT e2e_ms, trace_id AS id FROM ({_TRACES(d)}) t WHERE n >= 2', 'e2e')}) a CROSS JOIN (SELECT CAST(count_if(n < 2) AS BIGINT) AS single_event_traces FROM ({_TRACES(d)}) t) b", "count_if(n < 2) AS single_event_traces")
 by_tool = operator("agg_by_tool", "Calls, success rate and mean latency by tool.", """
 SELECT tool_name, count(*) AS calls, CAST(count_if(success) AS BIGINT) AS success_calls, round(CAST(count_if(success) AS DOUBLE) / count(*), 6) AS success_rate, round(avg(latency_ms), 6) AS latency_mean
 FROM tool_audit WHERE coalesce(type, '') <> 'decision' GROUP BY tool_name""")
@@ -71,14 +96,14 @@ SELECT dest, run_start, length, length >= 5 AS opens FROM (
     SELECT event_id, user_id % 50 AS dest, event_type IN ('error', 'click') AS failed, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id % 50, event_type IN ('error', 'click') ORDER BY ts, event_id) AS grp FROM events) x
   WHERE failed GROUP BY dest, grp) y""")
 retry_collapse = operator("agg_retry_collapse", "Attempts of one call become one row with its retry count and last outcome.", """
+SELECT call_id, count(*) - 1 AS retry_count, max_by(tool, attempt) AS tool, max_by(value, attempt) AS last_value, max_by(success, attempt) AS success FROM attempts GROUP BY call_id""",
+    apart="SELECT call_id, n - 1 AS retry_count, tool, value AS last_value, success FROM (SELECT *, count(*) OVER (PARTITION BY call_id) AS n, row_number() OVER (PARTITION BY call_id ORDER BY attempt DESC) AS rn FROM attempts) a WHERE rn = 1")
+operator("agg_retry_collapse", "Attempts of one call become one row with its retry count and last outcome.", """
 SELECT user_id, event_type AS tool, CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) - 1 AS retry_count, max_by(event_id, event_id) AS last_attempt, max_by(value, event_id) AS last_value FROM events GROUP BY user_id, event_type, CAST(ts AS DATE)""")
-lru_hits = operator("win_lru_hits", "LRU hits of each user's cache of two kinds by reuse distance: fewer than two others since the last use.", """
-WITH uses AS (SELECT user_id AS cache, event_type AS k, event_id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS before FROM events),
-  spans AS (SELECT u.cache, u.event_id, u.before, count(DISTINCT o.k) AS between_keys FROM uses u JOIN uses o ON o.cache = u.cache AND o.event_id > u.before AND o.event_id < u.event_id AND o.k <> u.k GROUP BY u.cache, u.event_id, u.before)
-SELECT u.cache, count(*) AS lookups, CAST(count_if(u.before IS NOT NULL AND coalesce(s.between_keys, 0) < 2) AS BIGINT) AS hits FROM uses u LEFT JOIN spans s ON s.event_id = u.event_id GROUP BY u.cache""")
 dashboard = operator("agg_dashboard", "Counts that a dashboard shows.", """
 SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'groups', count(*) FROM kb_groups UNION ALL SELECT 'users', count(*) FROM users UNION ALL SELECT 'searches', count(*) FROM qa_log""")
-fmt_pct = operator("fn_fmt_pct", "A share as a percentage with one decimal, N/A where there is none.", lambda d: f"""
+fmt_pct = operator("fn_fmt_pct", "A share as a percentage with one decimal, N/A where there is none.", lambda d: f"SELECT qid, config, coalesce({d.fmt('%.1f%%', 'context_recall * 100')}, 'N/A') AS recall FROM eval_scores WHERE context_recall IS NOT NULL UNION ALL SELECT qid, config, 'N/A' FROM eval_scores WHERE context_recall IS NULL")
+operator("fn_fmt_pct", "A share as a percentage with one decimal, N/A where there is none.", lambda d: f"""
 SELECT qid, config, coalesce(CAST(CAST(floor(context_recall * 100 + 0.5) AS BIGINT) AS STRING) || '%', 'N/A') AS recall FROM eval_scores""")
 try_ts = operator("fn_try_ts", "ISO times; what can't be read is null.", lambda d: f"""
 SELECT event_id, coalesce({d.micros("try_cast(CASE WHEN event_id % 10 = 0 THEN 'not a time' ELSE concat('2024-01-', CASE WHEN event_id % 28 < 9 THEN '0' ELSE '' END, CAST(event_id % 28 + 1 AS STRING), ' 10:00:00') END AS TIMESTAMP)")}, -1) AS us FROM events""")

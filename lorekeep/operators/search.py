@@ -116,7 +116,7 @@ def refresh_index(index: Index, docs: DataFrame, changed: DataFrame, cfg: Config
     documents as they are now. Only texts of changed documents are read into words."""
     base, ids = scratch(docs.sparkSession, "index"), changed.select("doc_id").distinct()
     fresh = docs.join(ids, "doc_id", "left_semi")
-    old = lambda df: df.join(ids, "doc_id", "left_anti")
+    old = lambda df: df.join(ids, "doc_id", "left_anti").select(*df.columns)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = old(index.postings).unionByName(_postings(fresh, cfg)).repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
     vecs = old(index.vectors).unionByName(vectors(fresh, "doc_id", "text", cfg))

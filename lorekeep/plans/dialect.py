@@ -13,6 +13,22 @@ class Spark:
     def rrep(self, x: str, pattern: str, to: str) -> str:
         return f"regexp_replace({x}, r'{pattern}', '{to}')"
 
+    def raw(self, text: str) -> str:
+        return f"r'{text}'"
+
+    def fits(self, x: str, pattern: str) -> str:
+        """rlike with a column of patterns."""
+        return f"({x} RLIKE {pattern})"
+
+    def found(self, x: str, pattern: str) -> str:
+        return f"regexp_extract({x}, {pattern}, 0)"
+
+    def half_even(self, x: str) -> str:
+        return f"bround({x})"
+
+    def fmt(self, pattern: str, x: str) -> str:
+        return f"format_string('{pattern}', {x})"
+
     def rlike(self, x: str, pattern: str) -> str:
         return f"({x} RLIKE r'{pattern}')"
 
@@ -99,6 +115,18 @@ class Spark:
 class Duck(Spark):
     name = "duck"
 
+    def raw(self, text: str) -> str:
+        return f"'{text}'"
+
+    def fits(self, x: str, pattern: str) -> str:
+        return f"regexp_matches({x}, {pattern})"
+
+    def half_even(self, x: str) -> str:
+        return f"round_even({x}, 0)"
+
+    def fmt(self, pattern: str, x: str) -> str:
+        return f"printf('{pattern}', {x})"
+
     def rrep(self, x: str, pattern: str, to: str) -> str:
         return f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
 

@@ -38,12 +38,15 @@ def run_sql(sql: str, frames: dict[str, DataFrame], spark: SparkSession | None =
     for x in names:
         text = re.sub(rf"\b(FROM|JOIN|,)(\s*){x}\b", rf"\1\2{{{x}}}", text)
     spark = spark or next(iter(frames.values())).sparkSession
+    if not names:
+        return spark.sql(sql)
     return spark.sql(text, **{x: frames[x] for x in names})
 
 
 class Operator:
-    def __init__(self, key: str, doc: str, body: Body) -> None:
-        self.key, self.__doc__, self.body = key, doc, body
+    def __init__(self, key: str, doc: str, body: Body, apart: str = "") -> None:
+        """apart: DuckDB text of the same rule written apart from `body`."""
+        self.key, self.__doc__, self.body, self.apart = key, doc, body, apart
 
     @property
     def inputs(self) -> list[str]:
@@ -60,11 +63,11 @@ class Operator:
         return run_sql(text_of(self.body, SPARK), {x: view(spark, sf_dir, x, found) for x in self.inputs}, spark)
 
     def oracle(self) -> str:
-        return with_views(text_of(self.body, DUCK))
+        return with_views(self.apart or text_of(self.body, DUCK))
 
 
-def operator(key: str, doc: str, body: Body) -> Operator:
-    OPERATORS[key] = made = Operator(key, doc, body)
+def operator(key: str, doc: str, body: Body, apart: str = "") -> Operator:
+    OPERATORS[key] = made = Operator(key, doc, body, apart)
     return made
 
 
@@ -93,4 +96,6 @@ def with_views(sql: str) -> str:
     add(sql)
     if not order:
         return sql
+    if sql.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(f"{x} AS MATERIALIZED ({text_of(VIEWS[x], DUCK)})" for x in order) + ",\n" + sql.removeprefix("WITH RECURSIVE ")
     return "WITH " + ",\n".join(f"{x} AS MATERIALIZED ({text_of(VIEWS[x], DUCK)})" for x in order) + f"\nSELECT * FROM ({sql})"

@@ -4,6 +4,13 @@ from __future__ import annotations
 
 from lorekeep.plans.operator import VIEWS
 
+#: Markers of exam papers as data: level, pattern, label (none: what the pattern found); the first that fits holds.
+_PART = r"Part\s+I{1,3}V?\b"
+MARKERS = [
+    (1, _PART + r"(?i:[a-z ]*writing)", "'Part I Writing'"), (1, _PART + r"(?i:[a-z ]*listen)", "'Part II Listening'"), (1, _PART + r"(?i:[a-z ]*read)", "'Part III Reading'"),
+    (1, _PART + r"(?i:[a-z ]*translat)", "'Part IV Translation'"), (1, _PART, "NULL"), (2, r"Section\s+[A-C]\b", "NULL"), (3, r"Passage\s+(One|Two|Three)\b", "NULL"),
+]
+
 VIEWS.update({
     "kb_docs": """SELECT doc_id, concat('kb/', source, '/', CAST(doc_id AS STRING), '.txt') AS file_path, source AS kb_group,
        CASE WHEN doc_id % 5 = 0 THEN 'public' ELSE 'internal' END AS visibility, md5(text) AS file_hash, lang, text FROM documents""",
@@ -20,6 +27,29 @@ VIEWS.update({
     "variants": "SELECT item_id AS base, item_id AS vid, 0 AS v FROM benchmark UNION ALL SELECT item_id, (item_id + 1) % 40, 1 FROM benchmark",
     "orders_given": "SELECT item_id AS qid, concat(CAST(item_id % 7 AS STRING), ',0,', CAST(item_id % 5 + 3 AS STRING), ',99') AS o FROM benchmark",
     "results": "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN doc_id END AS chunk_id, text FROM documents",
+    # texts of LaTeX, some of them with brackets that don't match
+    "latex_texts": """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '$x^{2}$' WHEN 1 THEN '$x^{2' WHEN 2 THEN '}{' WHEN 3 THEN concat('[', lang, '(', source, ')]{}') WHEN 4 THEN concat('(', lang, '[', source, ')]') ELSE text END AS t FROM documents""",
+    # tables as HTML, made of a customer's orders: row by row, or packed into one row of columns
+    "table_html": lambda d: f"""SELECT o_custkey AS tbl, CASE WHEN o_custkey % 3 = 0
+        THEN concat('<table><tr><td>', {d.agg_join("CAST(o_orderkey AS STRING)", "' '", 'o_orderkey')}, '</td><td><b>', {d.agg_join('o_orderstatus', "' '", 'o_orderkey')}, '</b></td></tr><tr><td></td><td> </td></tr></table>')
+        ELSE concat('<table><tr><th>order</th><th>status</th></tr>', {d.agg_join("concat('<tr><td>', CAST(o_orderkey AS STRING), '</td><td><i>', o_orderstatus, '</i> </td></tr>')", "''", 'o_orderkey')}, '</table>') END AS html FROM orders GROUP BY o_custkey""",
+    # timetables as HTML: a row for each order, in the column of a weekday, a short form beside the long one
+    "timetable_slots": """SELECT o_custkey AS person, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS slot, CAST(o_orderkey % 7 AS INT) AS day, concat('课程名', o_orderstatus) AS course, CAST(o_orderkey % 9 + 1 AS STRING) AS week FROM orders""",
+    "timetable_html": lambda d: f"""SELECT person, concat('<table id="timetable"><tr><td>x</td></tr>', {d.agg_join("concat('<tr><th>第', CAST(slot AS STRING), '节</th>', repeat('<td>&nbsp;</td>', day), '<td><div class=\"kbcontent1\">', course, ' 张伟</div><div class=\"kbcontent\">', course, '<br/>张伟', week, '-16周<br/>[1-2节]<br/>【A', week, '楼】</div></td></tr>')", "''", 'slot')}, '</table>') AS html FROM timetable_slots GROUP BY person""",
+    # answers with source lists, notes and a disclaimer around a document's text
+    "answers": """SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN concat(text, ' (来源：a.pdf，第3页)', chr(10), '> 📚 参考来源：', chr(10), '> - b.pdf', chr(10), '- c.pdf', chr(10), 'end')
+       WHEN 1 THEN concat('begin', chr(10), '> ⚠️ 由大模型直接生成。', chr(10), chr(10), chr(10), text) WHEN 2 THEN '（来源：x）' ELSE text END AS answer FROM documents""",
+    # exam papers: some lines are markers of parts, sections and passages
+    "exam_lines": """SELECT doc_id, line_no, CASE WHEN line_no % 15 = 0 THEN concat('Part ', CASE line_no % 4 WHEN 0 THEN 'I' WHEN 1 THEN 'II' WHEN 2 THEN 'III' ELSE 'IIIV' END, CASE line_no % 5 WHEN 0 THEN ' Writing' WHEN 1 THEN ' Listening' WHEN 2 THEN ' Reading' WHEN 3 THEN ' Translation' ELSE ' Other' END)
+       WHEN line_no % 6 = 1 THEN concat('Section ', CASE line_no % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END) WHEN line_no % 6 = 4 THEN concat('Passage ', CASE line_no % 2 WHEN 0 THEN 'One' ELSE 'Two' END) ELSE line END AS line FROM doc_lines""",
+    # markers as data: level, order of trial, pattern, and the label (none: what the pattern found)
+    "marker_rules": lambda d: "SELECT * FROM (VALUES " + ", ".join(f"({k}, {i}, {d.raw(p)}, {label})" for i, (k, p, label) in enumerate(MARKERS)) + ") AS t(kind, trial, pattern, label)",
+    # attempts of calls: up to three in a row belong to one call
+    "attempts": "SELECT CAST(floor(event_id / 3) AS BIGINT) AS call_id, event_id % 3 AS attempt, user_id, event_type AS tool, value, event_type <> 'error' AS success FROM events",
+    # a registry of tools, one for each part
+    "tool_registry": """SELECT p_partkey AS tool_id, concat('tool_', CAST(p_partkey AS STRING)) AS tool_name, p_name AS description, p_brand AS owner,
+       CASE p_size % 4 WHEN 0 THEN '[]' WHEN 1 THEN '["*"]' WHEN 2 THEN '["upload"]' ELSE '["search_group","view_audit"]' END AS required FROM part""",
+    "templates": "SELECT doc_id, source, lang, CASE doc_id % 3 WHEN 0 THEN 'search {source} in {lang} for {what}' WHEN 1 THEN '{lang}{lang} {' ELSE text END AS template FROM documents",
     "doc_lines": lambda d: d.explode("documents", "doc_id", d.split("text", "chr(10)"), "line_no", "line"),
     "md_lines": """SELECT doc_id, line_no, CASE WHEN line_no % 12 = 1 THEN concat('# ', substring(line, 1, 20)) WHEN line_no % 6 = 3 THEN concat('## ', substring(line, 1, 20))
        WHEN line_no % 5 = 4 THEN concat('### ', substring(line, 1, 20)) ELSE line END AS line FROM doc_lines""",
@@ -38,7 +68,10 @@ VIEWS.update({
        (conv_id * 7 + turn) % 9 AS retrieved_docs_count, CAST((conv_id * 131 + turn * 17) % 3000 AS DOUBLE) AS latency_ms,
        length(text) AS prompt_tokens, length(text) % 97 AS completion_tokens FROM conversations WHERE role = 'user'""",
     "memory": """SELECT vec_id AS mem_id, concat('u', CAST(vec_id % 10 AS STRING)) AS user_id, CASE vec_id % 3 WHEN 0 THEN 'profile' WHEN 1 THEN 'entity' ELSE 'conclusion' END AS mem_type,
-       concat('fact ', CAST(vec_id AS STRING)) AS content, CAST(5 + vec_id % 6 AS DOUBLE) / 10 AS confidence, vec_id % 400 AS age_days, embedding FROM embeddings""",
+       concat('fact ', CAST(vec_id AS STRING)) AS content, CAST(5 + vec_id % 6 AS DOUBLE) / 10 AS confidence, vec_id % 400 AS age_days, embedding FROM memory_vectors""",
+    # a user's vectors lie 1.2 and more apart in the driver tables: brought nearer, some memories are near-duplicates
+    "memory_vectors": lambda d: f"SELECT vec_id, {d.transform('embedding', 'x', 'CAST(x AS DOUBLE) / 8')} AS embedding FROM embeddings",
+    "memory_queries": "SELECT vec_id AS qid, concat('u', CAST(CAST(floor(vec_id / 50) AS BIGINT) % 10 AS STRING)) AS user_id, embedding FROM memory_vectors WHERE vec_id % 50 = 0",
     "reflection": """SELECT conv_id, turn, concat('u', CAST(conv_id % 10 AS STRING)) AS user_id, substring(text, 1, 60) AS query,
        CASE (conv_id + turn) % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'ask' ELSE 'weather' END AS selected_tool, (conv_id + turn) % 5 <> 0 AS success
        FROM conversations WHERE role = 'user'""",
