@@ -23,7 +23,7 @@ _TRACES = lambda d: f"""SELECT coalesce(trace_id, 'unknown') AS trace_id, CAST({
 
 def _dist(x: str, src: str, prefix: str) -> str:
     """Mean, median and the element of sorted values at min(floor(0.95 n), n - 1), by rank."""
-    return f"""SELECT round(avg({x}), 6) AS {prefix}_mean, round(median({x}), 6) AS {prefix}_median, round(max(CASE WHEN rn = least(CAST(floor(n * 0.95) AS BIGINT), n - 1) + 1 THEN {x} END), 6) AS {prefix}_p95, max(n) AS n
+    return f"""SELECT round(avg({x}), 3) AS {prefix}_mean, round(median({x}), 6) AS {prefix}_median, round(max(CASE WHEN rn = least(CAST(floor(n * 0.95) AS BIGINT), n - 1) + 1 THEN {x} END), 6) AS {prefix}_p95, max(n) AS n
   FROM (SELECT {x}, row_number() OVER (ORDER BY {x}, id) AS rn, count(*) OVER () AS n FROM ({src}) s WHERE {x} IS NOT NULL) r"""
 
 
@@ -41,12 +41,11 @@ class Distribution(Operator):
         s = d.agg(F.avg(self.x).alias("mean"), F.count(self.x).alias("n"), *more).first()
         n = s["n"]
         low, high, late = at_ranks(values, [(n + 1) // 2, n // 2 + 1, min(int(n * 0.95), n - 1) + 1]) if n else (None, None, None)
-        r6 = lambda v: None if v is None else v
-        row = (r6(s["mean"]), None if low is None else (low + high) / 2, late, n, *s[2:])
+        row = (s["mean"], None if low is None else (low + high) / 2, late, n, *s[2:])
         p = self.prefix
         kind = f"{p}_mean double, {p}_median double, {p}_p95 double, n bigint" + (", " + self.also.split(" AS ")[-1] + " bigint" if self.also else "")
         out = d.sparkSession.createDataFrame([row], kind)
-        return out.withColumns({c: F.round(c, 6) for c in out.columns[:3]})
+        return out.withColumns({c: F.round(c, 3 if c.endswith("_mean") else 6) for c in out.columns[:3]})
 
     def over(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return self(**{x: view(spark, sf_dir, x) for x in self.inputs})

@@ -25,6 +25,8 @@ PAIRS = r"(?=([\x{4E00}-\x{9FFF}]{2}))"
 CELLS = 32
 #: Questions whose vectors go to all tasks at once; more of them go in blocks of this size.
 QUESTION_BLOCK = 4096
+#: Places that the postings of one term are dealt to at most.
+SPREAD = 16
 
 
 @dataclass(frozen=True)
@@ -58,14 +60,11 @@ class Index:
     """postings (term, doc_id, tf, dl), terms (term, df), vectors (doc_id, v) and the totals."""
 
     postings: DataFrame
+    terms: DataFrame
     vectors: DataFrame
     documents: int
     length: float
 
-    @cached_property
-    def terms(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-
     def idf(self, cfg: Config) -> DataFrame:
         """(term, df, idf); terms in more than half of the documents get a share of the mean."""
         n = F.lit(float(self.documents))
@@ -75,14 +74,23 @@ class Index:
 
 
 def _postings(docs: DataFrame, cfg: Config) -> DataFrame:
-    d = docs.select("doc_id", tokens(F.col("text"), cfg.stop_words).alias("t"))
+    """Texts are dealt by document, so its words are counted where they are; one more shuffle deals
+    postings by term, those of a very common term to SPREAD places."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = docs.select("doc_id", "text").repartition(parts, "doc_id").select("doc_id", tokens(F.col("text"), cfg.stop_words).alias("t"))
     d = d.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return d.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    return d.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "dl", "tf")
+
+
+def _by_term(postings: DataFrame) -> DataFrame:
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return postings.repartition(parts, "term", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("term", "doc_id")
 
 
 def vectors(rows: DataFrame, key: str, text: str, cfg: Config) -> DataFrame:
     """(key, v): a hashed bag of words in CELLS signed cells; stands for an embedding."""
-    word = rows.select(key, F.explode(tokens(F.col(text), cfg.stop_words)).alias("t"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    word = rows.select(key, text).repartition(parts, key).select(key, F.explode(tokens(F.col(text), cfg.stop_words)).alias("t"))
     cell = (F.ascii("t") * 7 + F.length("t") * 13 + F.ascii(F.substring("t", 2, 1))) % CELLS
     word = word.select(key, cell.alias("cell"), F.when(F.length("t") % 2 == 0, 1.0).otherwise(-1.0).alias("w"))
     sums = word.groupBy(key).agg(*[F.sum(F.when(F.col("cell") == i, F.col("w")).otherwise(0.0)).alias(f"c{i}") for i in range(CELLS)])
@@ -97,18 +105,19 @@ def _kept(df: DataFrame, path: str) -> DataFrame:
 def build_index(docs: DataFrame, cfg: Config = Config(), with_vectors: bool = True) -> Index:
     """The index of documents (doc_id, text), written to the shared folder."""
     spark, base = docs.sparkSession, scratch(docs.sparkSession, "index")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = _kept(_postings(docs, cfg).repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id"), f"{base}/postings")
+    postings = _kept(_by_term(_postings(docs, cfg)), f"{base}/postings")
     empty = spark.createDataFrame([], "doc_id bigint, v array<double>")
     vecs = _kept(vectors(docs, "doc_id", "text", cfg), f"{base}/vectors") if with_vectors else empty
-    return _totalled(docs, postings, vecs)
+    return _totalled(docs, postings, vecs, base)
 
 
-def _totalled(docs: DataFrame, postings: DataFrame, vecs: DataFrame) -> Index:
+def _totalled(docs: DataFrame, postings: DataFrame, vecs: DataFrame, base: str) -> Index:
     n = docs.count()
-    some = postings.agg(F.sum("tf").alias("words"), F.count_distinct("doc_id").alias("docs")).first()
+    terms = _kept(postings.groupBy("term").agg(F.count("*").cast("double").alias("df")), f"{base}/terms")
+    own = postings.select("doc_id", "dl").distinct()  # one row for each document that has words
+    some = own.agg(F.sum("dl").alias("words"), F.count("*").alias("docs")).first()
     # a document without words counts as one of a single word
-    return Index(postings, vecs, n, ((some["words"] or 0) + n - some["docs"]) / max(1, n))
+    return Index(postings, terms, vecs, n, ((some["words"] or 0) + n - some["docs"]) / max(1, n))
 
 
 def refresh_index(index: Index, docs: DataFrame, changed: DataFrame, cfg: Config = Config()) -> Index:
@@ -117,10 +126,9 @@ def refresh_index(index: Index, docs: DataFrame, changed: DataFrame, cfg: Config
     base, ids = scratch(docs.sparkSession, "index"), changed.select("doc_id").distinct()
     fresh = docs.join(ids, "doc_id", "left_semi")
     old = lambda df: df.join(ids, "doc_id", "left_anti").select(*df.columns)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = old(index.postings).unionByName(_postings(fresh, cfg)).repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+    postings = _by_term(old(index.postings).unionByName(_postings(fresh, cfg)))
     vecs = old(index.vectors).unionByName(vectors(fresh, "doc_id", "text", cfg))
-    return _totalled(docs, _kept(postings, f"{base}/postings"), _kept(vecs, f"{base}/vectors"))
+    return _totalled(docs, _kept(postings, f"{base}/postings"), _kept(vecs, f"{base}/vectors"), base)
 
 
 def small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
