@@ -49,5 +49,3 @@ SELECT doc_id, coalesce(nullif(trim(BOTH chr(10) FROM trim(regexp_replace(regexp
   SELECT *, last(CASE WHEN opens THEN true WHEN NOT goes_on THEN false END, true) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS in_block FROM ({_LINES}) a) b
 WHERE NOT disclaimer AND NOT (opens OR (coalesce(in_block, false) AND goes_on)) GROUP BY doc_id""",
     apart="""SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN answer ELSE trim(regexp_replace(regexp_replace(CASE doc_id % 4 WHEN 0 THEN concat(text, chr(10), 'end') WHEN 1 THEN concat('begin', chr(10), chr(10), chr(10), text) ELSE text END, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', concat(chr(10), chr(10)), 'g'), concat(' ', chr(10))) END AS answer FROM answers""")
-operator("fn_clean_answer", "Answers without source lists, disclaimers and inline source notes; the original where nothing stays.", lambda d: f"""
-SELECT doc_id, coalesce(nullif(trim({d.rrep(d.rrep(d.rrep("concat(text, ' (来源：a.pdf，第3页)', chr(10), '> 📚 参考来源：', chr(10), '> - b.pdf')", '\\n*>?\\s*📚\\s*参考来源[：:][^\\n]*(\\n[ \\t]*(>|-)[^\\n]*)*', ''), '[（(]\\s*来源[：:][^）)]*[）)]', ''), '[ \\t]+\\n', ' ')}), ''), text) AS answer FROM documents""")

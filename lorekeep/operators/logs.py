@@ -97,13 +97,9 @@ SELECT dest, run_start, length, length >= 5 AS opens FROM (
 retry_collapse = operator("agg_retry_collapse", "Attempts of one call become one row with its retry count and last outcome.", """
 SELECT call_id, count(*) - 1 AS retry_count, max_by(tool, attempt) AS tool, max_by(value, attempt) AS last_value, max_by(success, attempt) AS success FROM attempts GROUP BY call_id""",
     apart="SELECT call_id, n - 1 AS retry_count, tool, value AS last_value, success FROM (SELECT *, count(*) OVER (PARTITION BY call_id) AS n, row_number() OVER (PARTITION BY call_id ORDER BY attempt DESC) AS rn FROM attempts) a WHERE rn = 1")
-operator("agg_retry_collapse", "Attempts of one call become one row with its retry count and last outcome.", """
-SELECT user_id, event_type AS tool, CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) - 1 AS retry_count, max_by(event_id, event_id) AS last_attempt, max_by(value, event_id) AS last_value FROM events GROUP BY user_id, event_type, CAST(ts AS DATE)""")
 dashboard = operator("agg_dashboard", "Counts that a dashboard shows.", """
 SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'groups', count(*) FROM kb_groups UNION ALL SELECT 'users', count(*) FROM users UNION ALL SELECT 'searches', count(*) FROM qa_log""")
 fmt_pct = operator("fn_fmt_pct", "A share as a percentage with one decimal, N/A where there is none.", lambda d: f"SELECT qid, config, coalesce({d.fmt('%.1f%%', 'context_recall * 100')}, 'N/A') AS recall FROM eval_scores WHERE context_recall IS NOT NULL UNION ALL SELECT qid, config, 'N/A' FROM eval_scores WHERE context_recall IS NULL")
-operator("fn_fmt_pct", "A share as a percentage with one decimal, N/A where there is none.", lambda d: f"""
-SELECT qid, config, coalesce(CAST(CAST(floor(context_recall * 100 + 0.5) AS BIGINT) AS STRING) || '%', 'N/A') AS recall FROM eval_scores""")
 try_ts = operator("fn_try_ts", "ISO times; what can't be read is null.", lambda d: f"""
 SELECT event_id, coalesce({d.micros("try_cast(CASE WHEN event_id % 10 = 0 THEN 'not a time' ELSE concat('2024-01-', CASE WHEN event_id % 28 < 9 THEN '0' ELSE '' END, CAST(event_id % 28 + 1 AS STRING), ' 10:00:00') END AS TIMESTAMP)")}, -1) AS us FROM events""")
 report_agent = operator("rpt_agent", "Markdown table of the by-tool aggregates.", lambda d: f"""

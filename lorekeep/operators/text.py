@@ -66,16 +66,12 @@ SELECT event_id, CASE WHEN event_type IS NULL THEN 'missing event_type' WHEN try
 template_fill = operator("fn_template_fill", "Names in braces are filled in from a map of slots; unknown ones stay.",
     "SELECT doc_id, aggregate(map_entries(map('source', source, 'lang', lang)), template, (t, e) -> replace(t, concat('{', e.key, '}'), e.value)) AS t FROM templates",
     apart="SELECT doc_id, replace(replace(template, '{source}', source), '{lang}', lang) AS t FROM templates")
-operator("fn_template_fill", "Names in braces are filled in; unknown ones stay.", "SELECT doc_id, replace(replace('search {source} in {lang} for {what}', '{source}', source), '{lang}', lang) AS t FROM documents")
 format_registry = operator("fn_format_registry", "Tools of the registry as lines of a prompt: name, description and what they ask for.", lambda d: f"SELECT tool_id, concat('- ', tool_name, ': ', description, CASE WHEN required = '[]' THEN '' ELSE concat(' (', {d.join(d.json_list('required'), chr(39) + ', ' + chr(39))}, ')') END) AS line FROM tool_registry",
     apart="""SELECT tool_id, concat('- ', tool_name, ': ', description, CASE required WHEN '[]' THEN '' WHEN '["*"]' THEN ' (*)' WHEN '["upload"]' THEN ' (upload)' ELSE ' (search_group, view_audit)' END) AS line FROM tool_registry""")
-operator("fn_format_registry", "Registry rows as lines of a prompt.", lambda d: f"SELECT {d.agg_join("concat('- ', role_name, ': ', permissions)", 'chr(10)', 'role_name')} AS t FROM roles")
 dictionary = operator("join_dictionary", "Translation by dictionary, the original where there is none.", "SELECT n.n_nationkey AS id, coalesce(t.zh, n.n_name) AS name FROM nation n LEFT JOIN (VALUES ('NATION_1', '中国'), ('NATION_2', '法国'), ('NATION_3', '德国'), ('ATLANTIS', '无')) AS t(en, zh) ON n.n_name = t.en",
     apart="SELECT n_nationkey AS id, CASE n_name WHEN 'NATION_1' THEN '中国' WHEN 'NATION_2' THEN '法国' WHEN 'NATION_3' THEN '德国' ELSE n_name END AS name FROM nation")
-operator("join_dictionary", "Translation by dictionary, the original where there is none.", "SELECT n.n_nationkey AS id, coalesce(t.zh, n.n_name) AS name FROM nation n LEFT JOIN (VALUES ('CHINA', '中国'), ('FRANCE', '法国'), ('GERMANY', '德国'), ('JAPAN', '日本')) AS t(en, zh) ON n.n_name = t.en")
 clean = operator("txt_clean", "Spaces collapsed, line ends unified, ends trimmed.", lambda d: f"SELECT doc_id, trim({d.rrep(d.rrep('text', '\\r\\n?', ' '), '[ \\t]+', ' ')}) AS t FROM documents")
 is_formula = operator("txt_is_formula", "Lines of three characters and more with more than 15 % math symbols or a strong one.", lambda d: f"SELECT doc_id, line_no, length(line) >= {FORMULA_LEAST} AND (CAST(length({d.rrep('line', f'[^{any_of(MATH)}]', '')}) AS DOUBLE) / greatest(length(line), 1) > {FORMULA_SHARE} OR {d.rlike('line', f'[{any_of(STRONG)}]')}) AS formula FROM doc_lines")
-operator("txt_is_formula", "Lines with more than 15 % math symbols or a strong one.", lambda d: f"SELECT doc_id, line_no, CAST(length({d.rrep('line', f'[^{MATH}]', '')}) AS DOUBLE) / greatest(length(line), 1) > {FORMULA_SHARE} OR {d.rlike('line', f'[{STRONG}]')} AS formula FROM doc_lines")
 #: Brackets are folded over a stack of the closing ones that are due; '!' stands for a fault.
 latex_ok = operator("txt_latex_ok", "Two characters or more, an even number of dollars, brackets that close in order.", """
 SELECT doc_id, length(t) >= 2 AND length(regexp_replace(t, r'[^$]', '')) % 2 = 0 AND aggregate(regexp_extract_all(t, r'[{}\\[\\]()]', 0), '',
@@ -83,17 +79,10 @@ SELECT doc_id, length(t) >= 2 AND length(regexp_replace(t, r'[^$]', '')) % 2 = 0
     apart=r"""WITH RECURSIVE strip AS (SELECT doc_id, t, regexp_replace(t, '[^{}\[\]()]', '', 'g') AS s, 0 AS k FROM latex_texts
   UNION ALL SELECT doc_id, t, regexp_replace(s, '\{\}|\[\]|\(\)', '', 'g'), k + 1 FROM strip WHERE regexp_matches(s, '\{\}|\[\]|\(\)'))
 SELECT doc_id, length(t) >= 2 AND len(string_split(t, '$')) % 2 = 1 AND s = '' AS ok FROM strip QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1""")
-operator("txt_latex_ok", "An even number of dollars and balanced brackets.", lambda d: f"""
-SELECT doc_id, dollars % 2 = 0 AND opened = closed AS ok FROM (SELECT doc_id, length({d.rrep('t', '[^$]', '')}) AS dollars, length({d.rrep('t', '[^{]', '')}) AS opened, length({d.rrep('t', '[^}]', '')}) AS closed
-FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '$x^{{2}}$' WHEN 1 THEN '$x^{{2' ELSE text END AS t FROM documents) x) y""")
 quality_gate = operator("txt_quality_gate", "First failing test of a text layer: odd characters, runs of three and more of them, mean length of sentences, newlines.", lambda d: f"""
 SELECT doc_id, CASE WHEN garbage > {GARBAGE} THEN 'garbage' WHEN repeated > {REPEATED_GARBAGE} THEN 'repeated' WHEN sentence < {LEAST_SENTENCE} THEN 'short' WHEN newlines > {MOST_NEWLINES} THEN 'sparse' ELSE 'ok' END AS verdict FROM (
   SELECT doc_id, CAST(length({d.rrep('text', '[\\p{L}\\p{N}\\s.,;:!?|-]', '')}) AS DOUBLE) / greatest(length(text), 1) AS garbage, CAST({d.size(d.rall('text', '[\\x{3000}\\x{FFFD}]{3,}|[\\x{00}-\\x{08}]{3,}'))} AS DOUBLE) / greatest(length(text), 1) AS repeated,
     CAST(length({d.rrep('text', '[。！？!?\\n]', '')}) AS DOUBLE) / nullif({d.size(d.rall('text', '[^。！？!?\\n]*[^。！？!?\\s][^。！？!?\\n]*'))}, 0) AS sentence, CAST(length({d.rrep('text', '[^\\n]', '')}) AS DOUBLE) / greatest(length(text), 1) AS newlines FROM documents) q""")
-operator("txt_quality_gate", "First failing test of a text layer: garbage, repeated garbage, short sentences, newlines.", lambda d: f"""
-SELECT doc_id, CASE WHEN garbage > 0.02 THEN 'garbage' WHEN repeated > 0.05 THEN 'repeated' WHEN sentence < 5 THEN 'short' WHEN newlines > 0.4 THEN 'sparse' ELSE 'ok' END AS verdict FROM (
-  SELECT doc_id, CAST(length({d.rrep('text', '[\\p{L}\\p{N}\\s.,;:!?|-]', '')}) AS DOUBLE) / greatest(length(text), 1) AS garbage, CAST(length(text) - length({d.rrep('text', '%%%|&&&|###', '')}) AS DOUBLE) / greatest(length(text), 1) AS repeated,
-    CAST(length(text) AS DOUBLE) / greatest({d.size(d.rall('text', '[.!?]'))}, 1) AS sentence, CAST(length({d.rrep('text', '[^\\n]', '')}) AS DOUBLE) / greatest(length(text), 1) AS newlines FROM documents) q""")
 html_table = operator("txt_html_table_md", "Tables in HTML as pipe tables; a single row that packs whole columns is taken apart.", """
 SELECT tbl, array_join(transform(rows, (r, i) -> concat('| ', array_join(r, ' | '), ' |', CASE WHEN i = 0 THEN concat(chr(10), '|', repeat(' --- |', size(r))) ELSE '' END)), chr(10)) AS md FROM (
   SELECT tbl, CASE WHEN size(cells) > 1 AND size(full) = 1 THEN transform(sequence(0, array_max(transform(packed, c -> size(c))) - 1), i -> transform(packed, c -> coalesce(try_element_at(c, i + 1), ''))) ELSE cells END AS rows FROM (
@@ -103,7 +92,6 @@ SELECT tbl, array_join(transform(rows, (r, i) -> concat('| ', array_join(r, ' |
     apart="""SELECT o_custkey AS tbl, CASE WHEN o_custkey % 3 = 0 THEN concat(string_agg(concat('| ', o_orderkey, ' | ', o_orderstatus, ' |', CASE WHEN rn = 1 THEN concat(chr(10), '| --- | --- |') ELSE '' END), chr(10) ORDER BY o_orderkey))
   ELSE concat('| order | status |', chr(10), '| --- | --- |', chr(10), string_agg(concat('| ', o_orderkey, ' | ', o_orderstatus, ' |'), chr(10) ORDER BY o_orderkey)) END AS md
 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) o GROUP BY o_custkey""")
-operator("txt_html_table_md", "Cells of HTML headings and paragraphs as table rows.", lambda d: f"SELECT page_id, pos, concat('| ', trim({d.rrep('cell', '<[^>]+>', '')}), ' |') AS row FROM ({d.explode('pages', 'page_id', d.rall('html', '<h[1-3][^>]*>[^<]*</h[1-3]>'), 'pos', 'cell')}) c")
 cells_md = operator("txt_cells_to_md", "Cells by row and column as a pipe table.", lambda d: f"""
 SELECT o_custkey AS tbl, {d.agg_join("concat('| ', CAST(o_orderkey AS STRING), ' | ', o_orderstatus, ' |')", 'chr(10)', 'o_orderkey')} AS md FROM orders GROUP BY o_custkey""")
 schedule_rows = operator("txt_schedule_rows", "A timetable in HTML as rows: day, period, course, teacher, weeks, slot, room; of one cell's entries the longest.", """
@@ -115,8 +103,6 @@ WITH rows AS (SELECT person, regexp_extract(r, r'(?s)<th[^>]*>(.*?)</th>', 1) AS
 SELECT person, concat(element_at(array('周一', '周二', '周三', '周四', '周五', '周六', '周日'), col + 1), ' ', period) AS place, info FROM (
   SELECT *, row_number() OVER (PARTITION BY person, period, col ORDER BY length(info) DESC, info) AS rn FROM (SELECT person, period, col, concat_ws(' | ', course, nullif(teacher, ''), concat(nullif(weeks, ''), '周'), nullif(slot, ''), nullif(room, '')) AS info FROM parsed) y) z WHERE rn = 1""",
     apart="""SELECT person, concat(['周一', '周二', '周三', '周四', '周五', '周六', '周日'][day + 1], ' 第', slot, '节') AS place, concat(course, ' | 张伟 | ', week, '-16周 | 1-2节 | A', week, '楼') AS info FROM timetable_slots""")
-operator("txt_schedule_rows", "Rows of a timetable in HTML: tag, level and text.", lambda d: f"SELECT page_id, pos, {d.rext('cell', '<(h[1-3])', 1)} AS level, {d.rext('cell', '>([^<]*)<', 1)} AS t FROM ({d.explode('pages', 'page_id', d.rall('html', '<h[1-3][^>]*>[^<]*</h[1-3]>'), 'pos', 'cell')}) c")
 keep_longest = operator("win_keep_longest", "The longest text of each slot.", "SELECT conv_id, role, turn FROM (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY length(text) DESC, turn) AS rn FROM conversations) r WHERE rn = 1")
 skill_check = operator("udf_skill_check", "Registered skills whose definition is complete: a name, a description, an owner and a list of permissions.", lambda d: f"SELECT tool_id, length(trim(tool_name)) > 0 AND length(trim(description)) > 0 AND length(trim(owner)) > 0 AND {d.size(d.json_list('required'))} > 0 AS complete FROM tool_registry",
     apart="SELECT tool_id, required <> '[]' AND tool_name <> '' AND trim(description) <> '' AND trim(owner) <> '' AS complete FROM tool_registry")
-operator("udf_skill_check", "Skills whose definition is complete.", lambda d: f"SELECT role_name, {d.size(d.json_list('permissions'))} > 0 AND length(role_name) > 8 AS complete FROM roles")

@@ -67,6 +67,8 @@ class Operator:
 
 
 def operator(key: str, doc: str, body: Body, apart: str = "") -> Operator:
+    if key in OPERATORS:
+        raise ValueError(f"{key} is there already")
     OPERATORS[key] = made = Operator(key, doc, body, apart)
     return made
 
