@@ -102,26 +102,53 @@ def generate(df: DataFrame, prompt: str, out: str, factory: Callable[[], Callabl
 
 
 def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: list[str] = SEPARATORS) -> list[tuple[int, str]]:
-    """(start, chunk) of pieces of at most `size`: cut at the coarsest separator that serves, pieces
-    filled up from the left, each after the first starting up to `overlap` characters earlier."""
-    cuts = [0]
-    begin = 0
-    while len(text) - begin > size:
-        window = text[begin : begin + size]
-        end = size
-        for s in separators:
-            at = window.rfind(s) if s else size
-            if s and at > size // 2:
-                end = at + len(s)
-                break
-        cuts.append(begin + end)
-        begin += end
-    cuts.append(len(text))
-    out = []
-    for a, b in zip(cuts, cuts[1:]):
-        start = max(0, a - min(overlap, size - (b - a))) if a else 0
-        if text[start:b].strip():
-            out.append((start, text[start:b]))
+    """(start, chunk) of chunks of at most `size` characters, without white space around them.
+
+    A stretch is cut before each place of the first separator that it holds. Runs of pieces shorter
+    than `size` fill chunks; where a chunk is full, the next one starts with the last of its pieces
+    that make no more than `overlap`. A longer piece ends the run and is cut by the separators that
+    follow. The empty separator cuts anywhere."""
+    out: list[tuple[int, str]] = []
+
+    def emit(a: int, b: int) -> None:
+        chunk = text[a:b].strip()
+        if chunk:
+            out.append((text.index(chunk, a), chunk))
+
+    def fill(run: list[int]) -> None:  # where the pieces of a run begin, and its end
+        first = 0
+        for k in range(len(run) - 1):
+            if run[k + 1] - run[first] > size:
+                emit(run[first], run[k])
+                while first < k and (run[k] - run[first] > overlap or run[k + 1] - run[first] > size):
+                    first += 1
+        if len(run) > 1:
+            emit(run[first], run[-1])
+
+    def cut(a: int, b: int, seps: list[str]) -> None:
+        at = next((i for i, s in enumerate(seps) if not s or text.find(s, a, b) >= 0), None)
+        if at is None:
+            emit(a, b)
+        elif not seps[at]:
+            while b - a > size:
+                emit(a, a + size)
+                a += size - overlap
+            emit(a, b)
+        else:
+            sep, run, begin = seps[at], [a], a
+            while begin < b:
+                end = text.find(sep, begin + len(sep) if text.startswith(sep, begin) else begin, b)
+                end = b if end < 0 else end
+                if end - begin < size:
+                    run.append(end)
+                else:
+                    fill(run)
+                    cut(begin, end, seps[at + 1 :])
+                    run = [end]
+                begin = end
+            fill(run)
+
+    cut(0, len(text), separators)
     return out
 
 
@@ -155,7 +182,7 @@ def chk_recursive_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def udtf_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The splitter as a table function for SQL users."""
+    """The splitter as a table function, joined laterally; nothing is left in the session."""
     from pyspark.sql.functions import udtf
 
     class Split:
@@ -163,9 +190,9 @@ def udtf_split(spark: SparkSession, sf_dir: str) -> DataFrame:
             for a, c in split_text(text or ""):
                 yield a, len(c)
 
-    spark.udtf.register("lorekeep_split", udtf(Split, returnType="start_index int, n int"))
-    view(spark, sf_dir, "documents").createOrReplaceTempView("lorekeep_documents")
-    return spark.sql("SELECT d.doc_id, s.start_index, s.n FROM lorekeep_documents d, LATERAL lorekeep_split(d.text) s")
+    pieces = udtf(Split, returnType="start_index int, n int")
+    d = view(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.lateralJoin(pieces(F.col("text").outer())).select("doc_id", "start_index", "n")
 
 
 QUERIES = {f.__name__: f for f in (udf_embed, udf_pair_score, udf_generate, chk_recursive_split, udtf_split)}

@@ -72,9 +72,12 @@ VIEWS.update({
     # a user's vectors lie 1.2 and more apart in the driver tables: brought nearer, some memories are near-duplicates
     "memory_vectors": lambda d: f"SELECT vec_id, {d.transform('embedding', 'x', 'CAST(x AS DOUBLE) / 8')} AS embedding FROM embeddings",
     "memory_queries": "SELECT vec_id AS qid, concat('u', CAST(CAST(floor(vec_id / 50) AS BIGINT) % 10 AS STRING)) AS user_id, embedding FROM memory_vectors WHERE vec_id % 50 = 0",
-    "reflection": """SELECT conv_id, turn, concat('u', CAST(conv_id % 10 AS STRING)) AS user_id, substring(text, 1, 60) AS query,
+    "reflection": """SELECT conv_id, turn, concat('u', CAST(conv_id % 10 AS STRING)) AS user_id, text AS query,
        CASE (conv_id + turn) % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'ask' ELSE 'weather' END AS selected_tool, (conv_id + turn) % 5 <> 0 AS success
        FROM conversations WHERE role = 'user'""",
+    "skills": """SELECT * FROM (VALUES ('search', 'find the text in the documents and show where it is', 0.1E0), ('compare', 'compare this with that and say what differs', 0.2E0), ('weather', 'weather of the day for a place', 0.2E0)) AS t(skill, description, least)""",
+    "skill_words": """SELECT * FROM (VALUES ('search', 'trigger', 'The'), ('search', 'trigger', 'tha'), ('search', 'exclude', 'zzzz'), ('compare', 'trigger', 'and'), ('compare', 'trigger', 'with'), ('compare', 'exclude', 'ering'),
+       ('compare', 'exclude', 'whon'), ('weather', 'trigger', 'of'), ('weather', 'trigger', 'on'), ('weather', 'trigger', 'day'), ('weather', 'exclude', 'for')) AS t(skill, kind, word)""",
     "eval_scores": """SELECT doc_id AS qid, lang AS category, 'baseline' AS config, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE CAST((doc_id * 37) % 101 AS DOUBLE) / 100 END AS context_recall,
        CAST((doc_id * 53) % 101 AS DOUBLE) / 100 AS context_precision, CAST((doc_id * 71) % 101 AS DOUBLE) / 100 AS faithfulness, CAST((doc_id * 89) % 101 AS DOUBLE) / 100 AS answer_relevancy FROM documents
        UNION ALL SELECT doc_id, lang, 'optimized', CASE WHEN doc_id % 19 = 0 THEN NULL ELSE CAST(50 + (doc_id * 37) % 51 AS DOUBLE) / 100 END,

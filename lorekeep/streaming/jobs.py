@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lorekeep.functions.hooks import split
 from lorekeep.plans.operator import view
-from lorekeep.sources.files import AUDIT, VersionedTable, append_json, scratch
+from lorekeep.sources.files import AUDIT, append_json, scratch
 
 #: Bucket capacity and refill a second, failures that open, cooldown seconds, cache seconds, entries kept.
 CAPACITY, REFILL, FAILURES, COOLDOWN, TTL, KEEP, USES = 3.0, 1.0 / 3600, 5, 30, 600, 50, 3
@@ -150,13 +151,34 @@ def token_totals(stream: DataFrame) -> DataFrame:
     return stream.groupBy("session_id", "model").agg(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), F.count("*").alias("calls"))
 
 
-def ingest(files: DataFrame, base: VersionedTable, state: str) -> None:
-    """New files (path, text) become chunks of the base, a version per batch that has any."""
+#: What ingest keeps: the chunks of a file, and one row without a chunk that names the file and its hash.
+CHUNKS = "path string, file_hash string, start_index int, chunk string, batch bigint"
 
-    def add(batch: DataFrame, _: int) -> None:
-        chunks = batch.select("path", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 450).cast("int")), lambda i: F.substr("text", i * 450 + 1, F.lit(500)))).alias("k", "chunk")).where(F.length(F.trim("chunk")) >= 10)
-        if not chunks.isEmpty():
-            base.write(base.read().unionByName(chunks) if base.versions() else chunks)
+
+def ingested(spark: SparkSession, base: str, before: int | None = None) -> DataFrame:
+    """Each path's rows of its newest batch (of those before `before`)."""
+    rows = spark.read.schema(CHUNKS).parquet(base)
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    newest = rows.where("chunk IS NULL").groupBy("path").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["path", "batch"], "left_semi").select("path", "file_hash", "start_index", "chunk")
+
+
+def ingest(files: DataFrame, base: str, state: str, least: int = 10) -> None:
+    """Files (path, text) become chunks under `base`, a folder per batch.
+
+    A file whose text is known is skipped; a changed one takes the place of its earlier chunks. Only
+    new rows are written, and a batch that runs again overwrites its own folder alone. Of several
+    texts of a path in one batch the greatest counts; a null text is empty; rows without a path go."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        spark.createDataFrame([], CHUNKS).drop("batch").write.mode("ignore").parquet(f"{base}/batch=-1")
+        found = batch.where("path IS NOT NULL").groupBy("path").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).withColumn("file_hash", F.md5("text"))
+        known = ingested(spark, base, number).where("chunk IS NULL").select("path", "file_hash")
+        new = found.join(known, ["path", "file_hash"], "left_anti")
+        named = new.select("path", "file_hash", F.lit(None).cast("int").alias("start_index"), F.lit(None).cast("string").alias("chunk"))
+        chunks = split(new).where(F.length("chunk") >= least)
+        named.unionByName(chunks).write.mode("overwrite").parquet(f"{base}/batch={number}")
 
     files.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
@@ -220,10 +242,10 @@ def str_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def str_kb_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = VersionedTable(spark, scratch(spark, "ingest"))
+    base = scratch(spark, "ingest")
     files = replay(spark, view(spark, sf_dir, "kb_docs").select(F.col("file_path").alias("path"), "text"), "files")
     ingest(files, base, scratch(spark, "ingest-state"))
-    return base.read().groupBy("path").agg(F.count("*").alias("chunks"))
+    return ingested(spark, base).groupBy("path").agg(F.count("chunk").alias("chunks"))
 
 
 QUERIES = {f.__name__: f for f in (str_audit_source, str_tool_metrics, str_trace_session, str_token_bucket, str_circuit_breaker, str_ttl_cache, str_fifo_state, str_tool_pref, str_token_totals, str_kb_ingest)}

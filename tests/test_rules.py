@@ -7,7 +7,7 @@ import pytest
 from lorekeep.functions.hooks import FAILED, generate, pair_score, split_text
 from lorekeep.operators import access, logs, retrieval, text
 from lorekeep.sources.files import AUDIT, VersionedTable, bad_lines, check_model, json_lines, scratch
-from lorekeep.streaming.jobs import circuit_breaker, finish, replay, token_bucket, ttl_cache
+from lorekeep.streaming.jobs import circuit_breaker, finish, ingest, ingested, replay, token_bucket, ttl_cache
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -91,11 +91,36 @@ def test_cache_fills_again_after_its_time(spark):
 
 
 def test_splitter_covers_the_text():
-    t = ("一句话。" * 100 + "\n\n" + "word " * 300).strip()
+    t = ("一句话。" * 100 + "\n\n" + "word " * 300 + "x" * 1700).strip()
     chunks = split_text(t)
-    assert all(len(c) <= 500 and t[a : a + len(c)] == c for a, c in chunks)
+    assert all(len(c) <= 500 and t[a : a + len(c)] == c == c.strip() for a, c in chunks)
     assert chunks[0][0] == 0 and chunks[-1][0] + len(chunks[-1][1]) == len(t)
-    assert all(b <= a + len(c) for (a, c), (b, _) in zip(chunks, chunks[1:]))
+    assert all(not t[a + len(c) : b].strip() for (a, c), (b, _) in zip(chunks, chunks[1:]))
+    assert split_text("") == split_text(" \n ") == []
+
+
+@pytest.mark.parametrize("text,size,overlap,chunks", [
+    ("aa bb cc dd", 5, 2, [(0, "aa bb"), (6, "cc"), (9, "dd")]),
+    ("aa bb cc dd", 8, 3, [(0, "aa bb cc"), (6, "cc dd")]),
+    ("one\n\ntwo two\nthree", 9, 3, [(0, "one"), (5, "two two"), (13, "three")]),
+    ("abcdefgh", 4, 1, [(0, "abcd"), (3, "defg"), (6, "gh")]),
+    ("a\n\nbbbbbbbbb c", 6, 0, [(0, "a"), (3, "bbbbb"), (8, "bbbb"), (13, "c")]),
+])
+def test_splitter_goes_down_the_separators(text, size, overlap, chunks):
+    assert split_text(text, size, overlap, ["\n\n", "\n", " ", ""]) == chunks
+
+
+def test_ingest_replaces_what_changed(spark):
+    base, state, path = scratch(spark, "base"), scratch(spark, "state"), scratch(spark, "in")
+    first = [("a", "alpha text one"), ("b", "beta text that stays"), ("c", "gone soon, so it is"), (None, "no path at all")]
+    for rows in (first, [("a", "alpha text two"), ("b", "beta text that stays"), ("c", None), ("d", "short")]):
+        spark.createDataFrame(rows, "path string, text string").coalesce(1).write.mode("append").parquet(path)
+        ingest(spark.readStream.schema("path string, text string").parquet(path), base, state)
+    got = ingested(spark, base)
+    assert sorted(tuple(r) for r in got.where("chunk IS NOT NULL").select("path", "chunk").collect()) == [("a", "alpha text two"), ("b", "beta text that stays")]
+    assert sorted(r[0] for r in got.where("chunk IS NULL").select("path").collect()) == ["a", "b", "c", "d"]
+    ingest(spark.readStream.schema("path string, text string").parquet(path), base, scratch(spark, "again"))  # all batches once more
+    assert ingested(spark, base).where("chunk IS NOT NULL").count() == 2
 
 
 def test_scorer_marks_only_the_pair_that_fails(spark):
