@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -64,9 +66,14 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+#: Paragraphs end here.
+_GAP = re.compile("\n\n")
+
+
 def weak_parts(text: str, base: list[Span]) -> list[Span]:
     """Parts that count only together; strings inside base spans are reported already."""
-    inside = lambda a, b: any(s < b and a < e for s, _, e in base)
+    starts, furthest = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    inside = lambda a, b: (k := bisect_left(starts, b)) > 0 and furthest[k - 1] > a
     secrets = [(m.start(), SECRET, m.end()) for m in _SECRET.finditer(text) if random_looking(m[0]) and not inside(m.start(), m.end())]
     secrets += [x for x in base if x[1] in SECRETS]
     if not secrets:
@@ -86,7 +93,8 @@ def _scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for text in some:
                 b = base_spans(text)
                 base.append(b)
-                weak.append([(text.count("\n\n", 0, s), s, k, e) for s, k, e in weak_parts(text, b)])
+                gaps = [m.end() for m in _GAP.finditer(text)]
+                weak.append([(bisect_right(gaps, s), s, k, e) for s, k, e in weak_parts(text, b)])
         as_rows = lambda rows, names: [[dict(zip(names, x)) for x in r] for r in rows]
         yield pa.StructArray.from_arrays([pa.array(as_rows(base, ["start", "kind", "end"]), pa.list_(span)), pa.array(as_rows(weak, ["scope", "start", "kind", "end"]), pa.list_(part))], names=["base", "weak"])
 
@@ -98,7 +106,9 @@ def find_secrets(docs: DataFrame, keys: list[str], text: str = "text") -> DataFr
     """One row per row of `docs`: the `keys` columns, base spans and all spans, as arrays of
     (start, kind, end) in order."""
     d = docs.select(*keys, arrow_udf(_scan, _SCANNED)(F.col(text)).alias("__lk_s"), F.monotonically_increasing_id().alias("__lk_row"))
-    d = d.select(*keys, "__lk_row", F.col("__lk_s.base").alias("__lk_base"), F.explode_outer("__lk_s.weak").alias("__lk_p"))
+    d = d.select(*keys, "__lk_row", F.col("__lk_s.base").alias("__lk_base"), F.posexplode_outer("__lk_s.weak").alias("__lk_at", "__lk_p"))
+    # base spans go with a text's first part alone: with each part, a text's parts times its spans would move
+    d = d.withColumn("__lk_base", F.when(F.coalesce("__lk_at", F.lit(0)) == 0, F.col("__lk_base")))
     kind, start, end = (F.col(f"__lk_p.{x}") for x in ("kind", "start", "end"))
     secret = kind.isin(*SECRETS)
     scope = Window.partitionBy("__lk_row", "__lk_p.scope")
@@ -114,8 +124,8 @@ def find_secrets(docs: DataFrame, keys: list[str], text: str = "text") -> DataFr
     beside = last(pair, first, after).isNotNull() | (last(pair, first, so_far) >= start - WINDOW)
     linked = ((kind == SECRET) & pair) | (kind.isin(IDENTIFIER, ENDPOINT) & beside)
     d = d.withColumn("__lk_add", F.when(linked, F.struct("__lk_p.start", "__lk_p.kind", "__lk_p.end")))
-    d = d.groupBy("__lk_row").agg(*[F.first(k).alias(k) for k in keys], F.first("__lk_base").alias("base"), F.collect_list("__lk_add").alias("__lk_more"))
-    return d.select(*keys, "base", F.array_sort(F.array_union("base", "__lk_more")).alias("spans"))
+    d = d.groupBy("__lk_row").agg(*[F.first(k).alias(k) for k in keys], F.first("__lk_base", ignorenulls=True).alias("base"), F.collect_list("__lk_add").alias("__lk_more"))
+    return d.select(*keys, "base", F.array_sort(F.concat("base", "__lk_more")).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
