@@ -3,16 +3,17 @@
 Two lines are near when one edit (a character put in, taken out or replaced) turns one into the
 other after trimming and lower-casing. A line goes when an earlier line of the corpus is equal or
 near; earlier is by doc_id, then the text's hash, then the line's number. Lines shorter than
-`MIN_CHARS` are compared for nothing and stay.
+`min_chars` (24: closing marks, list items and headings of clean texts repeat too) are compared for
+nothing and stay.
 
 All variants with one character deleted would be as many rows as the corpus has characters, so the
 neighbourhood is built where the edit can be. Cut both lines of a near pair at the same places:
 the edit lies in one segment and the rest of the lines is equal. Keys of "the line without this
 segment" (two halves first, then eight parts of the half, and so on while a segment is longer than
 `LONG`) find lines that share all but one short segment; only there are variants with one deleted
-character emitted as hashed keys. This loses no pair, and the work on a line follows its length. Variants that replace at the same place are all near one another, so each is compared with
-the earliest only; a shorter line and the longer ones around it form a star. Nothing lists all
-pairs of a group. Candidates are verified by edit distance on whole lines.
+character emitted as hashed keys. This loses no pair, and the work on a line follows its length. Variants
+that replace at the same place are all near one another, so each is compared with the earliest only;
+a shorter line and the longer ones around it form a star. Nothing lists all pairs of a group. Candidates are verified by edit distance on whole lines.
 
 Equal lines are aggregated before any of this. A line that holds more than a thousandth of all
 lines of that length is joined by broadcast (at most a thousand such lines exist), all others by shuffle.
@@ -43,10 +44,10 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Every line of MIN_CHARS or more: its document's key, number, normal form and hashes."""
+def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """Every line of `min_chars` or more: its document's key, number, normal form and hashes."""
     d = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    d = d.select("__lk_id", "__lk_th", "no", normalised(F.col("raw")).alias("line")).where(F.length("line") >= MIN_CHARS)
+    d = d.select("__lk_id", "__lk_th", "no", normalised(F.col("raw")).alias("line")).where(F.length("line") >= min_chars)
     return d.select(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2"), F.struct("__lk_id", "__lk_th", "no").alias("pos"), "line")
 
 
@@ -107,9 +108,9 @@ def near_pairs(occurrences: DataFrame) -> DataFrame:
     return cut(pairs.where(F.levenshtein("late", "early", 1) >= 0).select("h1", "h2").distinct())
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(__lk_id, __lk_th, dropped): the numbers, from 0, of the lines that go, by document."""
-    occurrences = _lines(docs)
+    occurrences = _lines(docs, min_chars)
     hashes = written(occurrences.select("h1", "h2", "pos"), "lines")
     near = near_pairs(occurrences)
     total = hashes.count()
@@ -123,18 +124,23 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return by_hot.unionByName(rest).groupBy("pos.__lk_id", "pos.__lk_th").agg(F.array_sort(F.collect_set("pos.no")).alias("dropped"))
 
 
-def _with_dropped(docs: DataFrame) -> DataFrame:
+def _with_dropped(docs: DataFrame, min_chars: int) -> DataFrame:
     """`docs` with keys and the array of dropped line numbers (null: none)."""
-    found = dropped_lines(docs).withColumnsRenamed({"__lk_id": "__lk_i2", "__lk_th": "__lk_t2", "dropped": "__lk_dropped"})
+    found = dropped_lines(docs, min_chars).withColumnsRenamed({"__lk_id": "__lk_i2", "__lk_th": "__lk_t2", "dropped": "__lk_dropped"})
     keyed = docs.select("*", *row_key())
     return keyed.join(found, F.col("__lk_id").eqNullSafe(F.col("__lk_i2")) & (F.col("__lk_th") == F.col("__lk_t2")), "left")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def _without(lines: Column, dropped: Column) -> Column:
+    """The lines but those of the numbers in `dropped` (in order), as the stretches between them."""
+    between = lambda x: F.zip_with(F.concat(F.array(F.lit(-1)), dropped), F.concat(dropped, F.array(F.size(x))), lambda a, b: F.slice(x, a + 2, b - a - 1))
+    return F.get(F.transform(F.array(lines), lambda x: F.flatten(between(x))), 0)  # the lines as a variable: split once
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without the lines that go; documents that lose all their words go too."""
-    d = _with_dropped(docs)
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__lk_dropped", i))
-    new = F.when(F.col("__lk_dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    d = _with_dropped(docs, min_chars)
+    new = F.when(F.col("__lk_dropped").isNull(), F.col("text")).otherwise(F.array_join(_without(F.split("text", "\n"), F.col("__lk_dropped")), "\n"))
     d = d.withColumn("__lk_new", new).where(F.col("__lk_dropped").isNull() | F.col("__lk_new").rlike(r"[^\x20\x09-\x0D]"))
     swap = {"text": F.col("__lk_new")}
     if "n_chars" in docs.columns:
