@@ -9,11 +9,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts are handed to the per-task helpers in slices of about this many characters.
 SLICE_CHARS = 2_000_000
+#: Runs of a group in a range (`positions`) that are broadcast; more are joined by shuffle.
+RUNS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """A frame marked for broadcast if it has been counted and holds no more than `most` rows, else
+    as it is, so that joins shuffle it. Hand over what is written or checkpointed: it is read twice."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def positions(rows: DataFrame, group: list[str], order: list[str | Column], pos: str = "pos", size: str = "size") -> DataFrame:
+    """`rows` with their place from 0 in their group, and the group's size (`group` holds no nulls).
+
+    Rows are dealt to tasks by ranges of group and order, and by a row's own number where those are
+    equal, so that no group and no run of ties lies in one task. Only the counts of a group in each
+    range are summed up; they tell where each range begins. Hand over written rows: they are sampled
+    for the ranges and then read again."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("__lk_tie", F.monotonically_increasing_id())
+    keys = [*group, *order, "__lk_tie"]
+    dealt = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("__lk_tie")
+    dealt = cut(dealt.withColumn("__lk_no", F.monotonically_increasing_id()))
+    part = F.shiftright("__lk_no", 33).alias("__lk_part")
+    runs = dealt.groupBy(*group, part).agg(F.min("__lk_no").alias("__lk_first"), F.count("*").alias("__lk_n"))
+    own = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("__lk_n").over(own.orderBy("__lk_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = cut(runs.select(*group, "__lk_part", (before - F.col("__lk_first")).alias("__lk_shift"), F.sum("__lk_n").over(own).alias(size)))
+    dealt = dealt.select("*", part).join(bounded(runs, RUNS), [*group, "__lk_part"])
+    return dealt.withColumn(pos, F.col("__lk_no") + F.col("__lk_shift")).drop("__lk_no", "__lk_part", "__lk_shift")
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """What names a row: its id and its text. Equal rows have equal keys and equal fates."""
     return [F.col(doc_id).alias("__lk_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__lk_th")]
