@@ -153,16 +153,18 @@ each AS MATERIALIZED (
 kinds AS MATERIALIZED (SELECT x, array_to_string(x, ' ') AS k, len(x) AS n, len(list_distinct(x)) AS different FROM (SELECT DISTINCT x FROM each)),
 sizes AS (SELECT DISTINCT n FROM kinds),
 tokens AS MATERIALIZED (SELECT r, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM dw),
+stretches AS MATERIALIZED (SELECT r, p, list(word) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS x FROM tokens),
+tried AS MATERIALIZED (SELECT r, p, n, array_to_string(x[:n], ' ') AS k FROM stretches CROSS JOIN sizes),
 exact AS MATERIALIZED (
-  SELECT t.r, t.p, k.n, k.k FROM tokens t JOIN dw USING (r) CROSS JOIN sizes s JOIN kinds k ON k.n = s.n AND k.k = array_to_string(dw.w[t.p:t.p + s.n - 1], ' ')),
+  SELECT t.r, t.p, t.n, t.k FROM tried t JOIN kinds k ON k.n = t.n AND k.k = t.k),
 hits AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + n - 1)) AS q FROM exact) GROUP BY r),
 named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM exact JOIN each ON array_to_string(each.x, ' ') = exact.k) GROUP BY r),
 counts AS (SELECT word, count(*) AS c FROM tokens GROUP BY word),
 terms AS (SELECT k, word, min(o) AS o FROM (SELECT k, generate_subscripts(x, 1) - 1 AS o, unnest(x) AS word FROM kinds) GROUP BY k, word),
 placed AS MATERIALIZED (SELECT k, word, o, coalesce(c, 0) AS c, row_number() OVER (PARTITION BY k ORDER BY coalesce(c, 0), word) AS place FROM terms LEFT JOIN counts USING (word)),
 seeds AS MATERIALIZED (SELECT a.k, a.word AS w0, a.o AS o0, b.word AS w1, b.o AS o1 FROM placed a JOIN placed b ON a.k = b.k AND a.place = 1 AND b.place = 2 WHERE a.c > 0),
-near AS (
-  SELECT DISTINCT a.r, a.p - s.o0 AS p, s.k FROM seeds s JOIN tokens a ON a.word = s.w0 JOIN tokens b ON b.r = a.r AND b.word = s.w1 AND abs((b.p - s.o1) - (a.p - s.o0)) <= 3),
+firsts AS MATERIALIZED (SELECT a.r, a.p - s.o0 AS p, s.k, s.w1, s.o1 FROM seeds s JOIN tokens a ON a.word = s.w0),
+near AS MATERIALIZED (SELECT DISTINCT f.r, f.p, f.k FROM firsts f JOIN tokens b ON b.r = f.r AND b.word = f.w1 WHERE abs(b.p - f.o1 - f.p) <= 3),
 apart AS (
   SELECT n.r, count(*) AS n_near FROM near n JOIN kinds k ON k.k = n.k JOIN dw ON dw.r = n.r LEFT JOIN exact e ON e.r = n.r AND e.p = n.p AND e.k = n.k
   WHERE e.k IS NULL AND len(list_intersect(list_distinct(k.x), dw.w[greatest(n.p - 3, 1):n.p + k.n + 2])) >= 0.8 * k.different GROUP BY n.r)
