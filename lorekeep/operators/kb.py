@@ -7,7 +7,6 @@ from lorekeep.plans.operator import operator
 #: Default group and visibility, snapshots kept.
 GROUP, VISIBILITY, SNAPSHOTS = "default", "internal", 10
 
-_ACTIONS = "SELECT n.doc_id, n.file_path, n.kb_group, n.visibility, n.file_hash, CASE WHEN o.file_path IS NULL THEN 'insert' WHEN o.file_hash = n.file_hash THEN 'skip' ELSE 'update' END AS action FROM kb_docs_new n LEFT JOIN kb_docs o ON n.file_path = o.file_path"
 _REPAIR = """SELECT coalesce(s.file_path, k.file_path) AS file_path, coalesce(s.n, 0) AS store_chunks, coalesce(k.n, 0) AS catalog_chunks,
   CASE WHEN k.file_path IS NULL THEN 'added' WHEN s.file_path IS NULL THEN 'removed' WHEN s.n <> k.n THEN 'fixed' ELSE 'same' END AS state
 FROM (SELECT file_path, CAST(sum(n_chunks) AS BIGINT) AS n FROM kb_store_counts GROUP BY file_path) s FULL OUTER JOIN (SELECT file_path, CAST(2 AS BIGINT) AS n FROM kb_docs) k ON s.file_path = k.file_path"""
@@ -29,14 +28,8 @@ anti_stale.body = lambda d: "SELECT k.file_path FROM kb_docs k LEFT ANTI JOIN kb
 semi_names = operator("join_semi_names", "Rows picked by a list of names, in the list's order.", "SELECT l.pos, n.n_nationkey, n.n_name FROM nation n JOIN (VALUES (0, 'NATION_7'), (1, 'NATION_3'), (2, 'NOWHERE'), (3, 'NATION_12')) AS l(pos, name) ON n.n_name = l.name")
 set_except = operator("set_except", "Paths of the catalog that an incoming batch doesn't have.", "SELECT file_path FROM kb_docs EXCEPT SELECT file_path FROM kb_docs_new")
 set_union_all = operator("set_union_all", "Two lists of files, one after the other.", "SELECT file_path, 0 AS src FROM kb_docs UNION ALL SELECT file_path, 1 FROM kb_docs_new")
-add = operator("mnt_add", "Skip, update or insert, by path and hash.", _ACTIONS)
-remove = operator("mnt_remove", "What stays and what is backed up when files go.", "SELECT k.file_path, CASE WHEN r.p IS NULL THEN 'kept' ELSE 'backup' END AS part FROM kb_docs k LEFT JOIN (SELECT DISTINCT file_path AS p FROM kb_docs_new WHERE doc_id % 2 = 0) r ON k.file_path = r.p")
-update = operator("mnt_update", "New rows, old rows that the batch doesn't replace, permissions carried over.", f"""
-SELECT n.file_path, n.file_hash, coalesce(o.kb_group, n.kb_group) AS kb_group, coalesce(o.visibility, n.visibility) AS visibility FROM ({_ACTIONS}) n LEFT JOIN kb_docs o ON n.file_path = o.file_path
-UNION ALL SELECT o.file_path, o.file_hash, o.kb_group, o.visibility FROM kb_docs o LEFT JOIN kb_docs_new n ON o.file_path = n.file_path WHERE n.file_path IS NULL""")
 repair = operator("mnt_repair", "The catalog after repair: the store's counts.", f"SELECT file_path, store_chunks AS chunks FROM ({_REPAIR}) r WHERE state <> 'removed'")
 migrate = operator("mnt_migrate", "Missing path, hash and time filled in; how many were.", "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE file_path END, concat('unknown/', CAST(doc_id AS STRING))) AS file_path, coalesce(CASE WHEN doc_id % 4 = 0 THEN NULL ELSE file_hash END, md5(text)) AS file_hash, doc_id % 3 = 0 OR doc_id % 4 = 0 AS changed FROM kb_docs")
-update_perm = operator("mnt_update_perm", "Permissions of listed documents changed, others kept.", "SELECT k.file_path, coalesce(u.g, k.kb_group) AS kb_group, coalesce(u.v, k.visibility) AS visibility FROM kb_docs k LEFT JOIN (SELECT DISTINCT file_path AS p, 'src0' AS g, CAST(NULL AS STRING) AS v FROM kb_docs_new WHERE doc_id % 5 = 0) u ON k.file_path = u.p")
 fill_perm = operator("mnt_fill_perm", "Missing permissions get the defaults.", f"SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE kb_group END, '{GROUP}') AS kb_group, coalesce(CASE WHEN doc_id % 4 = 0 THEN NULL ELSE visibility END, '{VISIBILITY}') AS visibility FROM kb_docs")
 retention = operator("win_retention", "Snapshots beyond the newest ten expire.", f"SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) r WHERE rn > {SNAPSHOTS}")
 asof_backup = operator("win_asof_backup", "The backup at a time: the latest not after it, else the newest.", """
@@ -45,4 +38,6 @@ WITH points AS (SELECT user_id AS k, event_id AS t, event_id AS backup, CAST(NUL
   placed AS (SELECT request, max(backup) OVER (PARTITION BY k ORDER BY t, coalesce(request, -1) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, max(backup) OVER (PARTITION BY k) AS newest FROM points)
 SELECT request, coalesce(upto, newest) AS backup FROM placed WHERE request IS NOT NULL AND newest IS NOT NULL""")
 stop_on_error = operator("win_stop_on_error", "Files before the first failure of each group, and the counts.", """
+SELECT k.kb_group, CAST(count_if(f.first IS NULL OR k.file_path < f.first) AS BIGINT) AS done, count(*) AS files
+FROM kb_docs k LEFT JOIN (SELECT kb_group, min(file_path) AS first FROM kb_docs WHERE doc_id % 37 = 5 GROUP BY kb_group) f ON k.kb_group = f.kb_group GROUP BY k.kb_group""", apart="""
 SELECT kb_group, CAST(count_if(broken = 0) AS BIGINT) AS done, count(*) AS files FROM (SELECT kb_group, max(CASE WHEN doc_id % 37 = 5 THEN 1 ELSE 0 END) OVER (PARTITION BY kb_group ORDER BY file_path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS broken FROM kb_docs) r GROUP BY kb_group""")

@@ -137,13 +137,12 @@ flt_permission_bm25 = searched("flt_permission_bm25", "Matches that permissions
 
 
 class Stats(Operator):
-    def __call__(self, **frames: DataFrame) -> DataFrame:
-        from pyspark.sql import functions as F
+    """Counted from the words of the texts: no index is written."""
 
-        from lorekeep.operators.search import build_index
+    def __call__(self, **frames: DataFrame) -> DataFrame:
+        from lorekeep.operators.search import term_statistics
 
-        index = build_index(frames["documents"], with_vectors=False)
-        return index.idf(Config()).select("term", F.col("df").cast("bigint").alias("df"), F.round("idf", 6).alias("idf"))
+        return term_statistics(frames["documents"])
 
     def over(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return self(documents=view(spark, sf_dir, "documents"))
@@ -201,7 +200,5 @@ SELECT doc_id, concat(file_path, ': ', substring(text, 1, 300)) AS snippet, {d.r
 ablation = searched("ablation_grid", "Named configurations over the same questions: keyword, vector, hybrid.",
     "SELECT 'keyword' AS config, qid, doc_id, rk FROM kw WHERE rk <= 5 UNION ALL SELECT 'vector', qid, doc_id, rk FROM vec WHERE rk <= 5 UNION ALL SELECT 'hybrid', qid, doc_id, rk FROM hyb WHERE rk <= 5")
 recall = searched("eval_recall_at_k", "Share of planted passages whose document is among the first ten.", "SELECT count(*) AS planted, count(k.doc_id) AS found FROM planted r LEFT JOIN kw_raw k ON r.qid = k.qid AND r.doc_id = k.doc_id")
-signature = operator("agg_signature", "Signature of a corpus: count and an order-free sum over all rows' hashes.", lambda d: f"""
-SELECT count(*) AS n, CAST(sum({d.hex32('h', 1)}) AS BIGINT) AS s1, CAST(sum({d.hex32('h', 9)}) AS BIGINT) AS s2 FROM (SELECT md5(concat_ws('|', CAST(doc_id AS STRING), kb_group, visibility, substring(text, 1, 64))) AS h FROM kb_docs) x""")
 rerank_key = searched("fn_rerank_key", "Key of a rerank call: the question and its candidates' prefixes in order.", lambda d: f"""
 SELECT q.qid, md5(concat(max(q.query), '|', {d.agg_join('substring(t.text, 1, 80)', chr(39) + '|' + chr(39), 'h.rk')})) AS k FROM hyb h JOIN documents t ON h.doc_id = t.doc_id JOIN questions q ON h.qid = q.qid GROUP BY q.qid""".strip())

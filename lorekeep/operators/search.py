@@ -131,6 +131,17 @@ def refresh_index(index: Index, docs: DataFrame, changed: DataFrame, cfg: Config
     return _totalled(docs, _kept(postings, f"{base}/postings"), _kept(vecs, f"{base}/vectors"), base)
 
 
+def term_statistics(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(term, df, idf) of all terms: a document's different words are found where its text is, so one
+    shuffle of partial counts is all."""
+    terms = docs.select(F.explode(F.array_distinct(tokens(F.col("text"), cfg.stop_words))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = F.broadcast(docs.agg(F.count("*").cast("double").alias("n")))  # one row
+    raw = terms.crossJoin(n).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).drop("n")
+    mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))  # one row
+    idf = F.when(F.col("raw") < 0, cfg.epsilon * F.col("mean")).otherwise(F.col("raw"))
+    return raw.crossJoin(mean).select("term", "df", F.round(idf, 6).alias("idf"))
+
+
 def small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     """Broadcast only up to a number of rows; joined by shuffle beyond it."""
     return F.broadcast(df) if rows <= most else df

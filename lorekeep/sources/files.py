@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep.plans.operator import view
+from lorekeep.sources.store import VersionedTable
 
 AUDIT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.StringType()), T.StructField("tool_name", T.StringType()), T.StructField("latency_ms", T.DoubleType()), T.StructField("success", T.BooleanType())])
 
@@ -59,54 +60,6 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-class VersionedTable:
-    """Versions of a table as Parquet directories; the newest complete one counts.
-
-    A version is complete when Spark's commit marker is in it, so readers never see half a write. One
-    writer at a time."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root, jvm
-
-    def versions(self) -> list[int]:
-        fs, root, jvm = self._fs()
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
-
-    def write(self, df: DataFrame) -> int:
-        """A new version; earlier ones stay until they expire."""
-        v = max(self.versions(), default=0) + 1
-        df.write.parquet(f"{self.path}/v={v}")
-        return v
-
-    def read(self, version: int | None = None) -> DataFrame:
-        v = version or max(self.versions())
-        return self.spark.read.parquet(f"{self.path}/v={v}")
-
-    def rollback(self, version: int) -> int:
-        """An earlier version's rows become the newest version."""
-        return self.write(self.read(version))
-
-    def clear(self) -> int:
-        """An empty version; what was there stays as a version."""
-        return self.write(self.read().limit(0))
-
-    def expire(self, keep: int = 10) -> list[int]:
-        """Remove all versions but the newest `keep`."""
-        fs, _, jvm = self._fs()
-        old = self.versions()[:-keep]
-        for v in old:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}"), True)
-        return old
-
-
 def check_model(catalog: DataFrame, model: str, dim: int) -> None:
     """Appending vectors of another model or length is an error."""
     other = catalog.where((F.col("embedding_model") != model) | (F.col("embedding_dim") != dim)).limit(1).collect()
@@ -164,9 +117,9 @@ def src_wholetext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(F.sum(F.length(F.regexp_replace("text", "\n", ""))).alias("chars"))
 
 
-def _base(spark: SparkSession, sf_dir: str, name: str) -> tuple[VersionedTable, DataFrame]:
+def _base(spark: SparkSession, sf_dir: str, name: str, key: str = "chunk_id") -> tuple[VersionedTable, DataFrame]:
     chunks = view(spark, sf_dir, "chunk_vectors").select("chunk_id", "file_path", "kb_group", "visibility")
-    return VersionedTable(spark, scratch(spark, name)), chunks
+    return VersionedTable(spark, scratch(spark, name), key), chunks
 
 
 def kb_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,11 +130,13 @@ def kb_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kb_meta_io(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog written, changed as a new version, and read."""
-    t, chunks = _base(spark, sf_dir, "meta")
-    t.write(chunks.where("chunk_id % 2 = 0").groupBy("file_path").agg(F.count("*").alias("chunks")))
-    t.write(chunks.groupBy("file_path").agg(F.count("*").alias("chunks")))
-    return t.read()
+    """The catalog written, changed in two versions (counts put right, files taken out), and read."""
+    t, chunks = _base(spark, sf_dir, "meta", "file_path")
+    counts = chunks.groupBy("file_path").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("first"))
+    t.write(counts.withColumn("chunks", F.col("chunks") * F.when(F.col("first") % 4 == 0, 7).otherwise(1)))
+    t.upsert(counts.where("first % 4 = 0"))
+    t.delete(counts.where("first % 10 = 3"))
+    return t.read().select("file_path", "chunks")
 
 
 def mnt_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +152,7 @@ def mnt_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first version is the newest again after a bad one."""
     t, chunks = _base(spark, sf_dir, "rollback")
     t.write(chunks)
-    t.write(chunks.where("chunk_id % 10 = 0"))
+    t.delete(chunks.where("chunk_id % 10 <> 0"))
     t.rollback(1)
     return t.read().select("chunk_id", "file_path")
 
@@ -210,27 +165,26 @@ def mnt_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read(1).select("chunk_id").join(t.read().select("chunk_id"), "chunk_id", "left_anti")
 
 
-def mnt_model_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors are taken in only if the catalog holds vectors of their length."""
-    chunks = view(spark, sf_dir, "chunk_vectors")
-    catalog = chunks.select(F.lit("hashing").alias("embedding_model"), F.size("embedding").alias("embedding_dim")).distinct()
-    check_model(catalog, "hashing", 64)
-    return catalog
+def refused(catalog: DataFrame, batches: DataFrame) -> DataFrame:
+    """Which batches (batch, embedding_model, embedding_dim) a base with this catalog takes in."""
+    held = catalog.select(F.col("embedding_model").alias("m"), F.col("embedding_dim").alias("d")).distinct()
+    same = (F.col("embedding_model") == F.col("m")) & (F.col("embedding_dim") == F.col("d"))
+    known = batches.join(held, F.lit(True), "left").groupBy("batch", "embedding_model", "embedding_dim")  # a base holds vectors of one model
+    return known.agg(F.coalesce(F.every(F.coalesce(same, F.col("m").isNull())), F.lit(True)).alias("taken"))
 
 
-def mnt_index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings of changed documents recomputed, others kept: postings counted by document."""
-    old, new = view(spark, sf_dir, "kb_docs"), view(spark, sf_dir, "kb_docs")
-    new = new.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" refreshed"))).otherwise(F.col("text"))).withColumn("file_hash", F.md5("text"))
-    count = lambda d: d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("term"))
-    changed = new.join(old.select("doc_id", F.col("file_hash").alias("was")), "doc_id").where("file_hash <> was")
-    kept = count(old.join(changed.select("doc_id"), "doc_id", "left_anti"))
-    return kept.unionByName(count(changed)).groupBy("doc_id").agg(F.count("*").alias("terms"))
+def mnt_model_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of vectors, one for each label and model, against what the base holds."""
+    vectors = view(spark, sf_dir, "embeddings")
+    catalog = vectors.select(F.lit("hashing").alias("embedding_model"), F.size("embedding").alias("embedding_dim"))
+    batch = vectors.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
+    given = batch.select(F.col("label").alias("batch"), F.when(F.col("label") % 3 == 0, "other").otherwise("hashing").alias("embedding_model"), F.when(F.col("label") % 4 == 1, F.col("dim") * 2).otherwise(F.col("dim")).alias("embedding_dim"))
+    return refused(catalog, given)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (src_jsonl, snk_jsonl, src_json_array, src_dir_scan, src_wholetext, kb_rebuild, kb_meta_io, mnt_snapshot, mnt_rollback, mnt_clear, mnt_model_check, mnt_index_refresh)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (src_jsonl, snk_jsonl, src_json_array, src_dir_scan, src_wholetext, kb_rebuild, kb_meta_io, mnt_snapshot, mnt_rollback, mnt_clear, mnt_model_check)}
 
-_CHUNKS = "SELECT d.doc_id AS chunk_id, concat('kb/', d.source, '/', CAST(d.doc_id AS VARCHAR), '.txt') AS file_path, d.source AS kb_group, CASE WHEN d.doc_id % 5 = 0 THEN 'public' ELSE 'internal' END AS visibility FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id"
+_CHUNKS = "SELECT d.doc_id AS chunk_id, concat('kb/', d.source, '/', CAST(d.doc_id AS VARCHAR), '.txt') AS file_path, d.source AS kb_group, CASE WHEN d.doc_id % 5 = 0 THEN 'public' ELSE 'internal' END AS visibility FROM documents d"
 ORACLE: dict[str, str] = {
     "src_jsonl": "SELECT event_id, event_type AS tool_name, event_type <> 'error' AS success FROM events WHERE event_id % 9 <> 0 AND event_id % 100 <> 1",
     "snk_jsonl": "SELECT event_type AS tool_name, count(*) AS n FROM events WHERE event_id % 9 <> 0 GROUP BY event_type",
@@ -238,10 +192,9 @@ ORACLE: dict[str, str] = {
     "src_dir_scan": "SELECT source, sum(length(text)) > 0 AS filled FROM documents GROUP BY source",
     "src_wholetext": "SELECT source, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source",
     "kb_rebuild": _CHUNKS,
-    "kb_meta_io": f"SELECT file_path, count(*) AS chunks FROM ({_CHUNKS}) GROUP BY file_path",
+    "kb_meta_io": f"SELECT file_path, count(*) AS chunks FROM ({_CHUNKS}) WHERE chunk_id % 10 <> 3 GROUP BY file_path",
     "mnt_snapshot": f"SELECT CAST(v AS INT) AS version, count(*) AS chunks FROM (SELECT CASE k WHEN 3 THEN 2 ELSE 3 END AS v FROM ({_CHUNKS}), (SELECT unnest([3, 5]) AS k) WHERE chunk_id % k = 0) GROUP BY v",
     "mnt_rollback": f"SELECT chunk_id, file_path FROM ({_CHUNKS})",
     "mnt_clear": f"SELECT chunk_id FROM ({_CHUNKS})",
-    "mnt_model_check": "SELECT DISTINCT 'hashing' AS embedding_model, CAST(len(embedding) AS INT) AS embedding_dim FROM embeddings",
-    "mnt_index_refresh": r"SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(CASE WHEN doc_id % 7 = 0 THEN concat(text, ' refreshed') ELSE text END), '[\p{L}\p{N}_]+', 0))) AS BIGINT) AS terms FROM documents",
+    "mnt_model_check": "SELECT DISTINCT label AS batch, CASE WHEN label % 3 = 0 THEN 'other' ELSE 'hashing' END AS embedding_model, CAST(len(embedding) * CASE WHEN label % 4 = 1 THEN 2 ELSE 1 END AS INT) AS embedding_dim, label % 3 <> 0 AND label % 4 <> 1 AS taken FROM embeddings",
 }

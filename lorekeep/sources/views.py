@@ -17,10 +17,13 @@ VIEWS.update({
     "kb_docs_new": """SELECT doc_id, file_path, kb_group, visibility, CASE WHEN doc_id % 7 = 0 THEN md5(concat(text, 'v2')) ELSE file_hash END AS file_hash
        FROM kb_docs WHERE doc_id % 3 = 0
        UNION ALL SELECT doc_id + 1000000, concat('new/', CAST(doc_id AS STRING), '.txt'), kb_group, visibility, md5(concat(text, 'new')) FROM kb_docs WHERE doc_id % 50 = 1""",
+    # a later state of the base: texts and permissions edited, documents taken out and put in
+    "kb_docs_later": """SELECT doc_id, file_path, CASE WHEN doc_id % 13 = 1 THEN 'moved' ELSE kb_group END AS kb_group, visibility, CASE WHEN doc_id % 7 = 0 THEN concat(text, ' Refreshed it_1') ELSE text END AS text FROM kb_docs WHERE doc_id % 11 <> 3
+       UNION ALL SELECT doc_id + 2000000, concat('later/', CAST(doc_id AS STRING), '.txt'), kb_group, visibility, concat('New words. ', text) FROM kb_docs WHERE doc_id % 50 = 1""",
     "kb_store_counts": """SELECT file_path, CASE WHEN doc_id % 11 = 0 THEN 3 ELSE 2 END AS n_chunks FROM kb_docs WHERE doc_id % 13 <> 0
        UNION ALL SELECT concat('orphan/', CAST(doc_id AS STRING), '.txt'), 1 FROM kb_docs WHERE doc_id % 101 = 0""",
     "chunk_vectors": """SELECT d.doc_id AS chunk_id, d.file_path, d.kb_group, d.visibility, d.text AS content, e.embedding, e.label
-       FROM kb_docs d JOIN embeddings e ON e.vec_id = d.doc_id""",
+       FROM kb_docs d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
     "query_vectors": "SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 50 = 0",
     "questions": """SELECT item_id AS qid, text AS query, CASE item_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'public_only' ELSE 'groups' END AS perm_mode,
        concat('src', CAST(item_id % 20 AS STRING)) AS perm_group FROM benchmark""",
