@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.operators.ranks import at_ranks
-from lorekeep.plans.dialect import DUCK
-from lorekeep.plans.operator import OPERATORS, Body, Operator, operator, text_of, view, with_views
+from lorekeep.operators.ranks import distribution
+from lorekeep.plans.operator import coded, operator
 
 #: Price per million tokens, in and out; unknown models get the default.
 PRICES = {"deepseek-chat": (1.0, 2.0), "deepseek-v4-flash": (1.0, 2.0), "deepseek-reasoner": (4.0, 16.0)}
@@ -27,33 +26,6 @@ def _dist(x: str, src: str, prefix: str) -> str:
   FROM (SELECT {x}, row_number() OVER (ORDER BY {x}, id) AS rn, count(*) OVER () AS n FROM ({src}) s WHERE {x} IS NOT NULL) r"""
 
 
-class Distribution(Operator):
-    """Mean, median, P95 and count of a column, exact: ranks are found by counting in ranges."""
-
-    def __init__(self, key: str, doc: str, src: Body, x: str, prefix: str, apart: Body, also: str = "") -> None:
-        super().__init__(key, doc, src)
-        self.x, self.prefix, self.oracle_body, self.also = x, prefix, apart, also
-
-    def __call__(self, **frames: DataFrame) -> DataFrame:
-        d = super().__call__(**frames)
-        values = d.where(F.col(self.x).isNotNull()).select(F.col(self.x).cast("double").alias("v"))
-        more = [F.expr(self.also)] if self.also else []
-        s = d.agg(F.avg(self.x).alias("mean"), F.count(self.x).alias("n"), *more).first()
-        n = s["n"]
-        low, high, late = at_ranks(values, [(n + 1) // 2, n // 2 + 1, min(int(n * 0.95), n - 1) + 1]) if n else (None, None, None)
-        row = (s["mean"], None if low is None else (low + high) / 2, late, n, *s[2:])
-        p = self.prefix
-        kind = f"{p}_mean double, {p}_median double, {p}_p95 double, n bigint" + (", " + self.also.split(" AS ")[-1] + " bigint" if self.also else "")
-        out = d.sparkSession.createDataFrame([row], kind)
-        return out.withColumns({c: F.round(c, 3 if c.endswith("_mean") else 6) for c in out.columns[:3]})
-
-    def over(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self(**{x: view(spark, sf_dir, x) for x in self.inputs})
-
-    def oracle(self) -> str:
-        return with_views(text_of(self.oracle_body, DUCK))
-
-
 tool_summary = operator("agg_tool_summary", "Totals, success rate, retries and decisions of one audit log.", """
 SELECT CAST(count_if(coalesce(type, '') <> 'decision') AS BIGINT) AS total_calls, CAST(count_if(coalesce(type, '') <> 'decision' AND success) AS BIGINT) AS success_calls,
   round(CAST(count_if(coalesce(type, '') <> 'decision' AND success) AS DOUBLE) / count_if(coalesce(type, '') <> 'decision'), 6) AS success_rate,
@@ -63,10 +35,37 @@ event_kind = operator("flt_event_kind", "Tool calls and decisions told apart, nu
 sample_guard = operator("flt_sample_guard", "Flags for too few calls (30) or traces (10), per tool.", """
 SELECT tool_name, count(*) AS calls, count(DISTINCT coalesce(trace_id, 'unknown')) AS traces, count(*) < 30 AS few_calls, count(DISTINCT coalesce(trace_id, 'unknown')) < 10 AS few_traces
 FROM tool_audit WHERE coalesce(type, '') <> 'decision' GROUP BY tool_name""")
-latency_dist = OPERATORS["agg_latency_dist"] = Distribution("agg_latency_dist", "Exact mean, median and P95 of call latency.", _CALLS, "latency_ms", "latency", _dist("latency_ms", f"SELECT *, event_id AS id FROM ({_CALLS})", "latency"))
+
+
+def _shown(d: DataFrame, p: str, *more: str) -> DataFrame:
+    return d.select(*more, F.round("mean", 3).alias(f"{p}_mean"), F.round("median", 6).alias(f"{p}_median"), F.round("p95", 6).alias(f"{p}_p95"), "n")
+
+
+@coded("agg_latency_dist", "Exact mean, median and P95 of call latency.", ["tool_audit"], _dist("latency_ms", f"SELECT *, event_id AS id FROM ({_CALLS})", "latency"))
+def latency_dist(tool_audit: DataFrame) -> DataFrame:
+    return _shown(distribution(tool_audit.where("coalesce(type, '') <> 'decision'").select(F.col("latency_ms").alias("v")), []), "latency")
+
+
+@coded("agg_latency_by_tool", "The same for each tool and for all of them, in three scans.", ["tool_audit"], f"""
+SELECT tool, round(avg(v), 3) AS latency_mean, round(median(v), 6) AS latency_median, round(max(CASE WHEN rn = least(CAST(floor(n * 0.95) AS BIGINT), n - 1) + 1 THEN v END), 6) AS latency_p95, count(v) AS n
+FROM (SELECT tool, v, row_number() OVER (PARTITION BY tool ORDER BY v NULLS LAST) AS rn, count(v) OVER (PARTITION BY tool) AS n FROM (SELECT tool_name AS tool, latency_ms AS v FROM ({_CALLS}) a UNION ALL SELECT 'all tools', latency_ms FROM ({_CALLS}) b) c) e GROUP BY tool""")
+def latency_by_tool(tool_audit: DataFrame) -> DataFrame:
+    calls = tool_audit.where("coalesce(type, '') <> 'decision'").select(F.explode(F.array("tool_name", F.lit("all tools"))).alias("tool"), F.col("latency_ms").alias("v"))
+    return _shown(distribution(calls, ["tool"]), "latency", "tool")
+
+
 trace_e2e = operator("agg_trace_e2e", "End-to-end latency per trace: last minus first time, for traces with two or more.", lambda d: f"SELECT trace_id, round(e2e_ms, 3) AS e2e_ms, n FROM ({_TRACES(d)}) t WHERE n >= 2")
-trace_dist = OPERATORS["agg_trace_dist"] = Distribution("agg_trace_dist", "Distribution of end-to-end latencies, and traces of a single event.", lambda d: f"SELECT n, CASE WHEN n >= 2 THEN e2e_ms END AS e2e_ms FROM ({_TRACES(d)}) t", "e2e_ms", "e2e",
-    lambda d: f"SELECT * FROM ({_dist('e2e_ms', f'SELECT e2e_ms, trace_id AS id FROM ({_TRACES(d)}) t WHERE n >= 2', 'e2e')}) a CROSS JOIN (SELECT CAST(count_if(n < 2) AS BIGINT) AS single_event_traces FROM ({_TRACES(d)}) t) b", "count_if(n < 2) AS single_event_traces")
+
+
+@coded("agg_trace_dist", "Distribution of end-to-end latencies, and traces of a single event.", ["tool_audit"],
+    lambda d: f"SELECT * FROM ({_dist('e2e_ms', f'SELECT e2e_ms, trace_id AS id FROM ({_TRACES(d)}) t WHERE n >= 2', 'e2e')}) a CROSS JOIN (SELECT CAST(count_if(n < 2) AS BIGINT) AS single_event_traces FROM ({_TRACES(d)}) t) b")
+def trace_dist(tool_audit: DataFrame) -> DataFrame:
+    at = F.unix_micros("ts")
+    traces = tool_audit.groupBy(F.coalesce("trace_id", F.lit("unknown")).alias("trace_id")).agg(((F.max(at) - F.min(at)).cast("double") / 1000).alias("e2e_ms"), F.count("ts").alias("n"))
+    single = F.broadcast(traces.agg(F.count_if(F.col("n") < 2).alias("single_event_traces")))  # one row
+    return _shown(distribution(traces.where("n >= 2").select(F.col("e2e_ms").alias("v")), []), "e2e").crossJoin(single)
+
+
 by_tool = operator("agg_by_tool", "Calls, success rate and mean latency by tool.", """
 SELECT tool_name, count(*) AS calls, CAST(count_if(success) AS BIGINT) AS success_calls, round(CAST(count_if(success) AS DOUBLE) / count(*), 6) AS success_rate, round(avg(latency_ms), 6) AS latency_mean
 FROM tool_audit WHERE coalesce(type, '') <> 'decision' GROUP BY tool_name""")

@@ -6,10 +6,12 @@ the SQL of the lists here is DuckDB's, written apart from it."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorekeep.operators.access import VISIBLE
+from lorekeep.operators.knn import nearest
 from lorekeep.operators.search import Config, Search
-from lorekeep.plans.operator import OPERATORS, Operator, operator, run_sql, uses, view, with_views
+from lorekeep.plans.operator import OPERATORS, Operator, coded, operator, run_sql, uses, view, with_views
 from lorekeep.plans.dialect import DUCK, SPARK
 
 #: Fixed values of BM25Okapi: k1, b, epsilon.
@@ -153,14 +155,35 @@ OPERATORS["agg_bm25_stats"] = bm25_stats = Stats("agg_bm25_stats", "Document fre
 _KNN = lambda d, measure, k, order: f"""SELECT qid, vec_id, rk FROM (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY round(m, 6) {order}, vec_id) AS rk FROM (
   SELECT q.qid, e.vec_id, {measure} AS m FROM query_vectors q CROSS JOIN embeddings e WHERE q.qid <> e.vec_id) x) r WHERE rk <= {k}"""
 _COS = lambda d, a, b: f"{d.dot(a, b)} / nullif(sqrt({d.dot(a, a)}) * sqrt({d.dot(b, b)}), 0)"
-knn_l2 = operator("join_knn_l2", "Exact nearest vectors by squared distance; the query side is the small one.", lambda d: _KNN(d, d.l2sq("q.embedding", "e.embedding"), 10, "ASC"))
-knn_cosine = operator("join_knn_cosine", "Exact nearest vectors by cosine, zero norms left out.", lambda d: _KNN(d, _COS(d, "q.embedding", "e.embedding"), 10, "DESC"))
-topk_vector = operator("topk_vector", "Nearest visible chunks: permissions are applied below the ranking.", lambda d: f"""
+
+
+@coded("join_knn_l2", "Exact nearest vectors by squared distance, cells of pivots pruned by the triangle inequality.", ["query_vectors", "embeddings"], lambda d: _KNN(d, d.l2sq("q.embedding", "e.embedding"), 10, "ASC"))
+def knn_l2(query_vectors: DataFrame, embeddings: DataFrame) -> DataFrame:
+    return nearest(query_vectors, embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10).found.select("qid", F.col("id").alias("vec_id"), "rk")
+
+
+@coded("join_knn_cosine", "Exact nearest vectors by cosine, zero norms left out; the same pruning on unit vectors.", ["query_vectors", "embeddings"], lambda d: _KNN(d, _COS(d, "q.embedding", "e.embedding"), 10, "DESC"))
+def knn_cosine(query_vectors: DataFrame, embeddings: DataFrame) -> DataFrame:
+    return nearest(query_vectors, embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10, cosine=True).found.select("qid", F.col("id").alias("vec_id"), "rk")
+
+
+@coded("topk_vector", "Nearest visible chunks: permissions are applied below the ranking.", ["query_vectors", "chunk_vectors"], lambda d: f"""
 SELECT qid, chunk_id, rk FROM (SELECT q.qid, c.chunk_id, row_number() OVER (PARTITION BY q.qid ORDER BY round({d.l2sq('q.embedding', 'c.embedding')}, 6), c.chunk_id) AS rk
-  FROM query_vectors q CROSS JOIN chunk_vectors c WHERE c.visibility = 'public' OR c.kb_group = concat('src', CAST(q.qid % 20 AS STRING))) r WHERE rk <= 8""")
-topk_tools = operator("topk_tools", "The five tools (centroids of labels here) nearest to each query.", lambda d: f"""
+  FROM query_vectors q CROSS JOIN chunk_vectors c WHERE c.embedding IS NOT NULL AND (c.visibility = 'public' OR c.kb_group = q.perm_group)) r WHERE rk <= 8""")
+def topk_vector(query_vectors: DataFrame, chunk_vectors: DataFrame) -> DataFrame:
+    rows = chunk_vectors.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"), "visibility", "kb_group")
+    visible = (F.col("visibility") == "public") | (F.col("kb_group") == F.col("perm_group"))
+    return nearest(query_vectors, rows, 8, allowed=visible, own=True).found.select("qid", F.col("id").alias("chunk_id"), "rk")
+
+
+@coded("topk_tools", "The five tools nearest to each query by cosine; a tool's vector is the centroid of its label.", ["query_vectors", "tool_vectors"], lambda d: f"""
 SELECT qid, label, rk FROM (SELECT q.qid, t.label, row_number() OVER (PARTITION BY q.qid ORDER BY round({_COS(d, 'q.embedding', 't.embedding')}, 6) DESC, t.label) AS rk
-  FROM query_vectors q CROSS JOIN (SELECT label, max_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) t) r WHERE rk <= 5""")
+  FROM query_vectors q CROSS JOIN tool_vectors t) r WHERE rk <= 5""")
+def topk_tools(query_vectors: DataFrame, tool_vectors: DataFrame) -> DataFrame:
+    rows = tool_vectors.select(F.col("label").alias("id"), F.col("embedding").alias("vector"))
+    return nearest(query_vectors, rows, 5, cosine=True, own=True).found.select("qid", F.col("id").alias("label"), "rk")
+
+
 rrf_fuse = searched("rrf_fuse", "Weighted reciprocal-rank fusion of two channels.", f"SELECT qid, doc_id, rk, round(rrf, 8) AS rrf FROM hyb WHERE rk <= {CHANNEL}")
 hybrid_search = searched("hybrid_search", "Both channels under permissions, fused; the flagship query.", f"SELECT h.qid, h.doc_id, h.rk, round(h.rrf, 8) AS rrf, substring(c.text, 1, 80) AS preview FROM hyb h JOIN kb_docs c ON h.doc_id = c.doc_id WHERE h.rk <= {CHANNEL}")
 multi_variant = searched("multi_variant_search", "A question and its variant searched apart under the question's permissions, then merged by first sight.", f"""

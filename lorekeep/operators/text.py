@@ -27,7 +27,7 @@ bigrams = operator("fn_bigrams", "Distinct character pairs of trimmed lower-case
 _PAIR = lambda d: f"(SELECT a.conv_id, a.turn, {grams(d, 'lower(a.query)')} AS ga, {grams(d, 'lower(b.query)')} AS gb FROM reflection a JOIN reflection b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2 WHERE length(a.query) > 1 AND length(b.query) > 1)"
 ngram_sets = operator("set_ngram", "Sizes of intersection and union of two texts' pairs.", lambda d: f"SELECT conv_id, turn, {d.size(d.intersect('ga', 'gb'))} AS common, {d.size(d.union('ga', 'gb'))} AS whole FROM {_PAIR(d)} p")
 jaccard = operator("fn_jaccard", "Jaccard similarity of neighbouring questions.", lambda d: f"SELECT conv_id, turn, round(CAST({d.size(d.intersect('ga', 'gb'))} AS DOUBLE) / {d.size(d.union('ga', 'gb'))}, 6) AS similarity FROM {_PAIR(d)} p")
-cosine = operator("fn_cosine", "Cosine of each vector with its label's last, null for zero norms.", lambda d: f"SELECT e.vec_id, round({d.dot('e.embedding', 't.embedding')} / nullif(sqrt({d.dot('e.embedding', 'e.embedding')}) * sqrt({d.dot('t.embedding', 't.embedding')}), 0), 6) AS cosine FROM embeddings e JOIN (SELECT label, max_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) t ON e.label = t.label")
+cosine = operator("fn_cosine", "Cosine of each vector with its label's centroid, null for zero norms.", lambda d: f"SELECT e.vec_id, round({d.dot('e.embedding', 't.embedding')} / nullif(sqrt({d.dot('e.embedding', 'e.embedding')}) * sqrt({d.dot('t.embedding', 't.embedding')}), 0), 6) AS cosine FROM embeddings e JOIN tool_vectors t ON e.label = t.label")
 relevance = operator("fn_relevance", "Distance to relevance.", "SELECT event_id, round(1.0E0 / (1 + greatest(value - 5, 0)), 6) AS relevance FROM events")
 is_chinese = operator("fn_is_chinese", "Whether a text is Chinese: by its share of CJK characters, code aside.", lambda d: f"""
 SELECT doc_id, CASE WHEN cn > 0.3 THEN true WHEN words > 5 AND code > 0.1 AND cn < 0.1 THEN false ELSE cn > 0.1 END AS chinese FROM (

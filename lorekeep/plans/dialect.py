@@ -101,6 +101,9 @@ class Spark:
     def collect(self, x: str) -> str:
         return f"collect_list({x})"
 
+    def collect_in_order(self, x: str, order: str) -> str:
+        return f"transform(array_sort(collect_list(struct({order}, {x}))), s -> s.{x})"
+
     def json(self, x: str, path: str) -> str:
         return f"get_json_object({x}, '$.{path}')"
 
@@ -202,6 +205,9 @@ class Duck(Spark):
     def collect(self, x: str) -> str:
         return f"list({x})"
 
+    def collect_in_order(self, x: str, order: str) -> str:
+        return f"list({x} ORDER BY {order})"
+
     def json(self, x: str, path: str) -> str:
         return f"json_extract_string({x}, '$.{path}')"
 

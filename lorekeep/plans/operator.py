@@ -73,6 +73,45 @@ def operator(key: str, doc: str, body: Body, apart: str = "") -> Operator:
     return made
 
 
+class Coded(Operator):
+    """An operator written in DataFrame code: `run(**frames)` over the named tables. The DuckDB text
+    is written apart from it."""
+
+    def __init__(self, key: str, doc: str, run: Callable[..., DataFrame], reads: list[str], apart: Body) -> None:
+        super().__init__(key, doc, "")
+        self.run, self.reads, self.other = run, reads, apart
+
+    @property
+    def inputs(self) -> list[str]:
+        return self.reads
+
+    def __call__(self, **frames: DataFrame) -> DataFrame:
+        missing = [x for x in self.reads if x not in frames]
+        if missing:
+            raise TypeError(f"{self.key} needs {', '.join(missing)}")
+        return self.run(**{x: frames[x] for x in self.reads})
+
+    def over(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        found: dict[str, DataFrame] = {}
+        return self(**{x: view(spark, sf_dir, x, found) for x in self.reads})
+
+    def oracle(self) -> str:
+        return with_views(text_of(self.other, DUCK))
+
+
+def coded(key: str, doc: str, reads: list[str], apart: Body) -> Callable[[Callable[..., DataFrame]], Coded]:
+    """Registers the decorated function of DataFrames as an operator."""
+
+    def put(run: Callable[..., DataFrame]) -> Coded:
+        if key in OPERATORS:
+            raise ValueError(f"{key} is there already")
+        made = Coded(key, doc, run, reads, apart)
+        OPERATORS[key] = made
+        return made
+
+    return put
+
+
 def view(spark: SparkSession, sf_dir: str, name: str, found: dict[str, DataFrame] | None = None) -> DataFrame:
     """A driver table, or a view of them that has the shape of one of the library's tables."""
     found = {} if found is None else found

@@ -24,7 +24,9 @@ VIEWS.update({
        UNION ALL SELECT concat('orphan/', CAST(doc_id AS STRING), '.txt'), 1 FROM kb_docs WHERE doc_id % 101 = 0""",
     "chunk_vectors": """SELECT d.doc_id AS chunk_id, d.file_path, d.kb_group, d.visibility, d.text AS content, e.embedding, e.label
        FROM kb_docs d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
-    "query_vectors": "SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 50 = 0",
+    "query_vectors": "SELECT vec_id AS qid, embedding, concat('src', CAST(vec_id % 20 AS STRING)) AS perm_group FROM embeddings WHERE vec_id % 50 = 0",
+    # a tool for each label, with the mean of its vectors
+    "tool_vectors": lambda d: f"SELECT label, {d.collect_in_order('x', 'pos')} AS embedding FROM (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM ({d.explode('embeddings', 'label', 'embedding', 'pos', 'x')}) e GROUP BY label, pos) m GROUP BY label",
     "questions": """SELECT item_id AS qid, text AS query, CASE item_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'public_only' ELSE 'groups' END AS perm_mode,
        concat('src', CAST(item_id % 20 AS STRING)) AS perm_group FROM benchmark""",
     "variants": "SELECT item_id AS base, item_id AS vid, 0 AS v FROM benchmark UNION ALL SELECT item_id, (item_id + 1) % 40, 1 FROM benchmark",
