@@ -1,11 +1,11 @@
-"""Layout rows and regions to Markdown: lines, columns, headings, headers and footers, tables."""
+"""Layout rows and regions: lines, headers and footers, styles, lists. Pages as a whole are in `pages`."""
 
 from __future__ import annotations
 
 from lorekeep.plans.operator import operator
 
-#: Band for headers and footers, repeats that make one, chars per page of a scan, sizes that merge.
-BAND, REPEATS, SCAN, MERGE = 0.05, 3, 50, 1.0
+#: Band for headers and footers, repeats that make one, chars per page of a scan.
+BAND, REPEATS, SCAN = 0.05, 3, 50
 
 _CLEANED = lambda d: f"SELECT doc_id, page, line_no, y, text, trim({d.rrep('text', '(第\\s*[0-9]+\\s*页|[0-9]+)', '')}) AS cleaned, y < 800 * {BAND} OR y > 800 * (1 - {BAND}) AS in_band FROM layout_lines"
 _REPEATED = lambda d: f"SELECT r.doc_id, r.cleaned, r.n FROM (SELECT doc_id, cleaned, count(*) AS n FROM ({_CLEANED(d)}) c WHERE in_band AND cleaned <> '' GROUP BY doc_id, cleaned) r JOIN (SELECT doc_id, count(DISTINCT page) AS pages FROM layout_lines GROUP BY doc_id) p ON r.doc_id = p.doc_id WHERE p.pages >= {REPEATS} AND r.n >= least({REPEATS}, p.pages)"
@@ -17,24 +17,8 @@ scan_route = operator("lay_scan_route", "Documents with fewer than 50 characters
 header_footer = operator("lay_header_footer", "Lines in the bands that repeat three times, in documents of three pages and more.", lambda d: f"SELECT doc_id, cleaned, n FROM ({_REPEATED(d)}) r")
 drop_header_footer = operator("lay_drop_header_footer", "Lines without repeated headers, footers and bare page numbers.", lambda d: f"""
 SELECT c.doc_id, c.line_no FROM ({_CLEANED(d)}) c LEFT JOIN ({_REPEATED(d)}) r ON c.doc_id = r.doc_id AND c.cleaned = r.cleaned AND c.in_band WHERE r.n IS NULL AND NOT {d.rlike('trim(c.text)', '^[0-9]+$')}""")
-_STRIPS = "SELECT doc_id, page, CAST(least(floor(x / 600 * 20), 19) AS BIGINT) AS strip, CAST(sum(length(text)) AS DOUBLE) AS n FROM layout_lines GROUP BY doc_id, page, CAST(least(floor(x / 600 * 20), 19) AS BIGINT)"
-columns = operator("lay_columns", "Strips smoothed over three neighbours; peaks hold 30 % of the largest; two peaks apart make two columns.", f"""
-WITH strips AS ({_STRIPS}), smooth AS (SELECT s.doc_id, s.page, s.strip, sum(o.n) / 3 AS v FROM strips s JOIN strips o ON s.doc_id = o.doc_id AND s.page = o.page AND o.strip BETWEEN s.strip - 1 AND s.strip + 1 GROUP BY s.doc_id, s.page, s.strip),
-  peaks AS (SELECT doc_id, page, strip, v >= 0.3 * max(v) OVER (PARTITION BY doc_id, page) AS peak FROM smooth),
-  gaps AS (SELECT doc_id, page, strip, strip - lag(strip) OVER (PARTITION BY doc_id, page ORDER BY strip) AS gap FROM peaks WHERE peak)
-SELECT doc_id, page, CAST(1 + count(CASE WHEN gap >= 2 THEN 1 END) AS BIGINT) AS n_columns FROM gaps GROUP BY doc_id, page""")
-reading_order = operator("lay_reading_order", "Left column by y, then the right one.", "SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY page, CASE WHEN x < 300 THEN 0 ELSE 1 END, y, line_no) AS pos FROM layout_lines")
-_BINS = f"""SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC) AS lv FROM (
-  SELECT doc_id, size, lag(size) OVER (PARTITION BY doc_id ORDER BY size DESC) AS larger FROM (SELECT DISTINCT doc_id, size FROM layout_lines) s) g WHERE larger IS NULL OR larger - size >= {MERGE}"""
-heading_bins = operator("lay_heading_bins", "Distinct sizes from the largest, merged under one point; the first three are headings.", f"SELECT doc_id, size, lv FROM ({_BINS}) b WHERE lv <= 3")
-range_heading = operator("join_range_heading", "Level of a line by the range of its size; bold goes one level up.", f"""
-SELECT doc_id, line_no, lv FROM (SELECT l.doc_id, l.line_no, greatest(b.lv - CASE WHEN l.is_bold THEN 1 ELSE 0 END, 1) AS lv, row_number() OVER (PARTITION BY l.doc_id, l.line_no ORDER BY b.lv) AS rn
-FROM layout_lines l JOIN ({_BINS}) b ON l.doc_id = b.doc_id AND l.size > b.size - 0.5 AND l.size <= b.size + 2 WHERE b.lv <= 3) r WHERE rn = 1""")
 para_headings = operator("lay_para_headings", "Style names to levels; later first-level headings go down to the second.", """
 SELECT doc_id, line_no, CASE WHEN lv = 1 AND n > 1 THEN 2 ELSE lv END AS lv FROM (SELECT l.doc_id, l.line_no, s.lv, row_number() OVER (PARTITION BY l.doc_id, s.lv ORDER BY l.line_no) AS n FROM layout_lines l JOIN (VALUES (20, 1), (16, 2)) AS s(size, lv) ON l.size = s.size) x""")
-lines_to_md = operator("lay_lines_to_md", "Heading marks, paragraph breaks at wide gaps, fences around mono runs.", lambda d: f"""
-WITH marked AS (SELECT doc_id, line_no, text, size, is_monospace AS mono, y - lag(y + h) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS gap, coalesce(lag(is_monospace) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS was, coalesce(lead(is_monospace) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS next FROM layout_lines)
-SELECT doc_id, {d.agg_join("concat(CASE WHEN mono AND NOT was THEN concat('```', chr(10)) ELSE '' END, CASE WHEN gap > greatest(1.5 * size, 20) THEN chr(10) ELSE '' END, CASE WHEN mono THEN '' WHEN size = 20 THEN '# ' WHEN size = 16 THEN '## ' ELSE '' END, text, CASE WHEN mono AND NOT next THEN concat(chr(10), '```') ELSE '' END)", 'chr(10)', 'line_no')} AS md FROM marked GROUP BY doc_id""")
 lists = operator("lay_lists", "List items with nesting by four spaces; three or more line ends become two.", lambda d: f"SELECT doc_id, line_no, CASE WHEN length(line) < 120 AND line_no % 4 > 0 THEN concat(repeat('    ', CAST(line_no % 4 - 1 AS INT)), '- ', line) ELSE line END AS line FROM doc_lines")
 _REGIONS = "SELECT doc_id, line_no, text, CASE line_no % 5 WHEN 0 THEN 'title' WHEN 1 THEN 'text' WHEN 2 THEN 'caption' WHEN 3 THEN 'formula' ELSE 'figure' END AS type, CASE WHEN line_no % 11 = 10 THEN NULL ELSE x END AS x1, CASE WHEN line_no % 11 = 10 THEN NULL ELSE y + line_no % 7 END AS y1, h FROM layout_lines"
 region_order = operator("lay_region_order", "Regions by rows of 20 points, then from the left; those without a box last.", lambda d: f"SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN y1 IS NULL THEN 1 ELSE 0 END, {d.half_even('y1 / 20')} * 20, x1, line_no) AS pos FROM ({_REGIONS}) r")

@@ -58,10 +58,13 @@ VIEWS.update({
     "doc_lines": lambda d: d.explode("documents", "doc_id", d.split("text", "chr(10)"), "line_no", "line"),
     "md_lines": """SELECT doc_id, line_no, CASE WHEN line_no % 12 = 1 THEN concat('# ', substring(line, 1, 20)) WHEN line_no % 6 = 3 THEN concat('## ', substring(line, 1, 20))
        WHEN line_no % 5 = 4 THEN concat('### ', substring(line, 1, 20)) ELSE line END AS line FROM doc_lines""",
-    "layout_lines": """SELECT doc_id, CAST(floor(line_no / 40) AS INT) AS page, line_no, line AS text, CAST(40 + (line_no % 2) * 300 AS DOUBLE) AS x,
-       CAST((line_no % 40) * 20 AS DOUBLE) AS y, CAST(200 AS DOUBLE) AS w, CAST(12 AS DOUBLE) AS h,
-       CAST(CASE WHEN line_no % 40 = 0 THEN 20 WHEN line_no % 10 = 0 THEN 16 ELSE 12 END AS DOUBLE) AS size,
-       line_no % 20 = 0 AS is_bold, line_no % 9 >= 7 AS is_monospace FROM doc_lines""",
+    # pages of 40 lines: two columns, one, three in turn; sizes that merge and sizes that don't; formulas
+    "layout_lines": """SELECT doc_id, page, line_no, CASE WHEN line_no % 23 = 5 THEN '∑ x = y + 1' WHEN line_no % 29 = 3 THEN ' ' ELSE line END AS text,
+       CAST(40 + CASE page % 3 WHEN 0 THEN (line_no % 2) * 300 WHEN 1 THEN (line_no % 4) * 5 ELSE (line_no % 3) * 190 END AS DOUBLE) AS x,
+       CAST((line_no % 40) * 20 AS DOUBLE) AS y, CAST(CASE page % 3 WHEN 0 THEN 200 WHEN 1 THEN 500 ELSE 150 END AS DOUBLE) AS w, CAST(12 AS DOUBLE) AS h,
+       CAST(CASE WHEN line_no % 40 = 0 THEN 20 WHEN line_no % 40 = 20 THEN 19.5 WHEN line_no % 40 = 30 THEN 18.9 WHEN line_no % 10 = 0 THEN 16 ELSE 12 END AS DOUBLE) AS size,
+       line_no % 20 = 0 AS is_bold, line_no % 9 >= 7 AS is_monospace FROM (SELECT doc_id, line_no, line, CAST(floor(line_no / 40) AS INT) AS page FROM doc_lines) l""",
+    "page_sizes": "SELECT doc_id, page, CAST(600 AS DOUBLE) AS width, CAST(800 AS DOUBLE) AS height FROM layout_lines GROUP BY doc_id, page",
     "tool_audit": """SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN event_id % 50 = 0 THEN NULL ELSE concat('t', CAST(user_id AS STRING), '-', CAST(event_id % 7 AS STRING)) END AS trace_id,
        CASE WHEN event_id % 9 = 0 THEN 'decision' END AS type, CASE WHEN event_id % 9 <> 0 THEN event_type END AS tool_name,
        CASE WHEN event_id % 9 <> 0 AND event_id % 31 <> 0 THEN value END AS latency_ms, CASE WHEN event_id % 9 <> 0 THEN event_type <> 'error' END AS success,
