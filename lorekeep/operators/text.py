@@ -51,18 +51,6 @@ basename = operator("fn_basename", "Last part of a path, unknown where there is
 region_key = operator("fn_region_key", "Cache key of a region: source, page, rounded box.", "SELECT doc_id, line_no, substring(md5(concat_ws('|', CAST(doc_id AS STRING), CAST(page AS STRING), CAST(CAST(x AS INT) AS STRING), CAST(CAST(y AS INT) AS STRING))), 1, 16) AS k FROM layout_lines")
 decay = operator("fn_decay", "1 until 90 days, then down to 0.3.", "SELECT mem_id, round(CASE WHEN age_days <= 90 THEN 1.0E0 ELSE greatest(0.3E0, 1 - (age_days - 90) / 180.0E0) END, 6) AS decay FROM memory")
 json_format = operator("fn_json_format", "A record as text, with defaults for missing fields.", lambda d: f"SELECT event_id, concat('k=', coalesce({d.json('props', 'k')}, '?'), ' v=', coalesce({d.json('props', 'v')}, '?')) AS t FROM events")
-#: Replies of a model are made from documents: fenced JSON, bare JSON, broken JSON, skills, thoughts.
-_REPLIES = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN concat('Sure.', chr(10), '```json', chr(10), '{"action": "call_tool", "mode": "serial", "tool": "', source, '"}', chr(10), '```') WHEN 1 THEN concat('text {"action": "answer", "mode": "odd", "tool": "', lang, '"} tail')
-  WHEN 2 THEN 'no json here' WHEN 3 THEN concat('SKILL: ', source, chr(10), 'CONFIDENCE: 0.9') WHEN 4 THEN 'SKILL: none' ELSE concat('Thought: look it up', chr(10), 'Action: ', source) END AS raw FROM documents"""
-parse_decision = operator("fn_parse_decision", "Fenced JSON, else the outermost braces; actions checked, modes set right.", lambda d: f"""
-SELECT doc_id, CASE WHEN action IN ('call_tool', 'answer', 'clarify') THEN action ELSE 'invalid' END AS action, CASE WHEN mode IN ('serial', 'parallel') THEN mode ELSE 'serial' END AS mode, coalesce(tool, '') AS tool
-FROM (SELECT doc_id, {d.json('j', 'action')} AS action, {d.json('j', 'mode')} AS mode, {d.json('j', 'tool')} AS tool FROM (SELECT doc_id, CASE WHEN {d.rlike('raw', '[{][^{}]*[}]')} THEN {d.rext('raw', '([{][^{}]*[}])', 1)} ELSE '{{}}' END AS j FROM ({_REPLIES}) r) x) y""")
-parse_skill = operator("fn_parse_skill", "Skill name and confidence (0.7 where none is given).", lambda d: f"SELECT doc_id, CASE WHEN {d.rext('raw', 'SKILL: (\\w+)', 1)} IN ('', 'none') THEN NULL ELSE {d.rext('raw', 'SKILL: (\\w+)', 1)} END AS skill, coalesce(CAST(nullif({d.rext('raw', 'CONFIDENCE: ([0-9.]+)', 1)}, '') AS DOUBLE), 0.7E0) AS confidence FROM ({_REPLIES}) r")
-parse_react = operator("fn_parse_react", "Thought and action, or a final answer.", lambda d: f"SELECT doc_id, CASE WHEN {d.rlike('raw', 'Action: ')} THEN 'act' WHEN {d.rlike('raw', 'Thought: ')} THEN 'think' ELSE 'answer' END AS kind, {d.rext('raw', 'Action: (\\w+)', 1)} AS action FROM ({_REPLIES}) r")
-parse_memory = operator("fn_parse_memory", "Items of a JSON array in prose; those without content go.", lambda d: f"""
-SELECT doc_id, pos, {d.json('item', 'content')} AS content, coalesce({d.json('item', 'mem_type')}, 'conclusion') AS mem_type FROM ({d.explode("(SELECT doc_id, concat('Here: [{\"content\": \"', source, '\", \"mem_type\": \"profile\"}, {\"mem_type\": \"entity\"}, {\"content\": \"', lang, '\"}] done') AS raw FROM documents) x", 'doc_id', d.rall('raw', '[{][^{}]*[}]'), 'pos', 'item')}) i WHERE {d.json('item', 'content')} IS NOT NULL""")
-validate_args = operator("fn_validate_args", "First violation of a call's slots: missing, type, enum.", """
-SELECT event_id, CASE WHEN event_type IS NULL THEN 'missing event_type' WHEN try_cast(CASE WHEN event_id % 13 = 0 THEN 'x' ELSE CAST(user_id AS STRING) END AS BIGINT) IS NULL THEN 'user_id is no integer' WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'event_type is not allowed' ELSE 'ok' END AS verdict FROM events""")
 template_fill = operator("fn_template_fill", "Names in braces are filled in from a map of slots; unknown ones stay.",
     "SELECT doc_id, aggregate(map_entries(map('source', source, 'lang', lang)), template, (t, e) -> replace(t, concat('{', e.key, '}'), e.value)) AS t FROM templates",
     apart="SELECT doc_id, replace(replace(template, '{source}', source), '{lang}', lang) AS t FROM templates")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.plans.operator import OPERATORS
 
-for _name in ("lorekeep.sources.views", "lorekeep.operators.logs", "lorekeep.operators.evals", "lorekeep.operators.access", "lorekeep.operators.retrieval", "lorekeep.operators.chunking", "lorekeep.operators.text", "lorekeep.operators.layout", "lorekeep.operators.pages", "lorekeep.operators.kb", "lorekeep.operators.memory", "lorekeep.operators.signature"):
+for _name in ("lorekeep.sources.views", "lorekeep.operators.logs", "lorekeep.operators.evals", "lorekeep.operators.access", "lorekeep.operators.retrieval", "lorekeep.operators.chunking", "lorekeep.operators.text", "lorekeep.operators.replies", "lorekeep.operators.layout", "lorekeep.operators.pages", "lorekeep.operators.kb", "lorekeep.operators.memory", "lorekeep.operators.signature"):
     importlib.import_module(_name)
 
 from lorekeep.functions import hooks  # noqa: E402

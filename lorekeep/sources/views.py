@@ -55,6 +55,18 @@ VIEWS.update({
     "tool_registry": """SELECT p_partkey AS tool_id, concat('tool_', CAST(p_partkey AS STRING)) AS tool_name, p_name AS description, p_brand AS owner,
        CASE p_size % 4 WHEN 0 THEN '[]' WHEN 1 THEN '["*"]' WHEN 2 THEN '["upload"]' ELSE '["search_group","view_audit"]' END AS required FROM part""",
     "templates": "SELECT doc_id, source, lang, CASE doc_id % 3 WHEN 0 THEN 'search {source} in {lang} for {what}' WHEN 1 THEN '{lang}{lang} {' ELSE text END AS template FROM documents",
+    # replies of a model: fenced and bare JSON, nested and escaped, broken, skills, thoughts, memories
+    "replies": """SELECT doc_id, CASE doc_id % 14
+       WHEN 0 THEN concat('Sure {x}.', chr(10), '```json', chr(10), '{"action":"call_tools","execution_mode":"parallel","tools":[{"tool_name":"', source, '","arguments":{"q":"a } b","deep":{"n":[1,{"k":2}]}},"reason":"r"},{"no_name":1}]}', chr(10), '``` done }')
+       WHEN 1 THEN concat('text {"action":"direct_answer","response":"say ', chr(92), '"', lang, chr(92), '" {ok}"} tail') WHEN 2 THEN 'no json here' WHEN 3 THEN concat('SKILL: ', source, chr(10), 'CONFIDENCE: 0.9', chr(10), 'ARGS: {"city": "', lang, '"}')
+       WHEN 4 THEN 'SKILL: none' WHEN 5 THEN concat('Thought: look it up', chr(10), 'Action: ', source) WHEN 6 THEN concat('{"action":"call_tools","execution_mode":"odd","tools":[{"tool_name":"a"},{"tool_name":"', lang, '","arguments":{"x":[]}}]}')
+       WHEN 7 THEN concat('{"action":"answer","response":"', source, '"}') WHEN 8 THEN '{"action":"direct_answer"} and more }' WHEN 9 THEN '' WHEN 10 THEN '{"action":"call_tools","tools":"none"}'
+       WHEN 11 THEN concat('Here: [{"content":"', source, '","mem_type":"profile","about":{"tags":["x]","y"]}},{"mem_type":"entity"},{"content":"', lang, '","confidence":0.5},7] done') WHEN 12 THEN concat('[{"content":"', source, '"}') ELSE text END AS raw FROM documents""",
+    # calls of tools with arguments as JSON, and the slots of each tool
+    "calls": """SELECT event_id AS call_id, event_type AS tool, concat('{"user_id":', CASE event_id % 13 WHEN 0 THEN '"x"' WHEN 1 THEN 'null' WHEN 2 THEN '1.5' ELSE CAST(user_id AS STRING) END, CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN ',"kind":"other"' WHEN 2 THEN ',"kind":5' ELSE ',"kind":"a"' END,
+       CASE event_id % 5 WHEN 0 THEN ',"note":""' WHEN 1 THEN ',"note":[1]' WHEN 2 THEN ',"more":{"k":1},"extra":2' ELSE '' END, '}') AS args FROM events""",
+    "slots": """SELECT * FROM (VALUES ('click', 'user_id', 0, 'number', true, CAST(NULL AS STRING)), ('click', 'kind', 1, 'string', true, '["a","b"]'), ('click', 'note', 2, 'string', false, CAST(NULL AS STRING)),
+       ('view', 'kind', 0, 'string', false, '["a","other"]'), ('view', 'user_id', 1, 'number', true, CAST(NULL AS STRING)), ('purchase', 'note', 0, 'string', true, CAST(NULL AS STRING)), ('purchase', 'kind', 1, 'any', false, '["a",5]')) AS t(tool, slot, pos, type, required, allowed)""",
     "doc_lines": lambda d: d.explode("documents", "doc_id", d.split("text", "chr(10)"), "line_no", "line"),
     "md_lines": """SELECT doc_id, line_no, CASE WHEN line_no % 12 = 1 THEN concat('# ', substring(line, 1, 20)) WHEN line_no % 6 = 3 THEN concat('## ', substring(line, 1, 20))
        WHEN line_no % 5 = 4 THEN concat('### ', substring(line, 1, 20)) ELSE line END AS line FROM doc_lines""",
