@@ -2,9 +2,8 @@
 
 Two lines are near when one edit (a character put in, taken out or replaced) turns one into the
 other after trimming and lower-casing. A line goes when an earlier line of the corpus is equal or
-near; earlier is by doc_id, then the text's hash, then the line's number. Lines shorter than
-`min_chars` (24: closing marks, list items and headings of clean texts repeat too) are compared for
-nothing and stay.
+near; earlier is by doc_id, then the text's hash, then the line's number. Blank lines stay; all
+others are compared, however short (`min_chars` leaves shorter ones alone for callers who want that).
 
 All variants with one character deleted would be as many rows as the corpus has characters, so the
 neighbourhood is built where the edit can be. Cut both lines of a near pair at the same places:
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import cut, row_key, table, written
 
-MIN_CHARS = 24
+MIN_CHARS = 1
 HOT_SHARE = 1000
 #: Parts of a half line, and of longer segments, in which an edit is looked for.
 PARTS = 8
@@ -157,21 +156,23 @@ def op5_near_lines(spark, sf_dir: str) -> DataFrame:
     return d.select(F.col("__lk_id").alias("doc_id"), "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"))
 
 
-#: Lines, exact repeats and near repeats by brute force over lines that share a half.
+#: Lines, exact repeats and near repeats by brute force over lines that share a half (one edit in characters; levenshtein() counts bytes).
 ORACLE = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(l, 1) - 1 AS no, lower(trim(unnest(l), ' ')) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-long AS (SELECT * FROM lines WHERE length(line) >= 24),
-uniq AS (SELECT line, min(struct_pack(d := doc_id, n := no)) AS pos, length(line) AS n FROM long GROUP BY line),
+written AS (SELECT * FROM lines WHERE length(line) >= 1),
+uniq AS (SELECT line, min(struct_pack(d := doc_id, n := no)) AS pos, length(line) AS n FROM written GROUP BY line),
 keys AS (
   SELECT line, pos, n, m, side, CASE WHEN side = 0 THEN left(line, m // 2) ELSE right(line, m - m // 2) END AS k
   FROM uniq, (SELECT unnest([0, 1]) AS side), LATERAL (SELECT unnest([n, n - 1]) AS m)),
 near AS (
   SELECT DISTINCT a.line FROM keys a JOIN keys b ON a.m = b.m AND a.side = b.side AND a.k = b.k AND a.line <> b.line AND b.pos < a.pos
-  WHERE levenshtein(a.line, b.line) <= 1),
+  WHERE CASE WHEN a.n = b.n THEN len(list_filter(generate_series(1, a.n), lambda i: substring(a.line, i, 1) <> substring(b.line, i, 1))) = 1
+    WHEN a.n = b.n + 1 THEN len(list_filter(generate_series(1, a.n), lambda i: concat(left(a.line, i - 1), substring(a.line, i + 1)) = b.line)) > 0
+    WHEN b.n = a.n + 1 THEN len(list_filter(generate_series(1, b.n), lambda i: concat(left(b.line, i - 1), substring(b.line, i + 1)) = a.line)) > 0 ELSE false END),
 gone AS (
-  SELECT l.doc_id, l.no FROM long l JOIN uniq u ON l.line = u.line
+  SELECT l.doc_id, l.no FROM written l JOIN uniq u ON l.line = u.line
   WHERE struct_pack(d := l.doc_id, n := l.no) <> u.pos OR l.line IN (SELECT line FROM near))
 SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, count(g.no)::BIGINT AS n_dropped,
        coalesce(string_agg(g.no::VARCHAR, ',' ORDER BY g.no), '') AS dropped
