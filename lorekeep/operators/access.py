@@ -40,11 +40,21 @@ tool_undeclared = operator("flt_tool_undeclared", "Registered tools that declare
 perm_union = operator("set_perm_union", "Union of the permission sets of a nation's users.", lambda d: f"""
 SELECT nation, {d.agg_join('perm', "','", 'perm')} AS permissions FROM (SELECT DISTINCT nation, perm FROM ({d.explode('(SELECT c.c_nationkey AS nation, p.permissions FROM customer c JOIN roles p ON c.c_mktsegment = p.role_name) x', 'nation', d.json_list('permissions'), 'pos', 'perm')}) e) u GROUP BY nation""")
 members_change = operator("set_members", "A batch of changes to memberships: insert or ignore, then remove.", """
-WITH changed AS (SELECT group_id, user_id FROM kb_group_members UNION SELECT c_nationkey, c_custkey FROM customer WHERE c_custkey % 8 = 3)
-SELECT c.group_id, c.user_id FROM changed c LEFT JOIN (SELECT c_nationkey AS g, c_custkey AS u FROM customer WHERE c_custkey % 10 = 1) r ON c.group_id = r.g AND c.user_id = r.u WHERE r.u IS NULL""")
+SELECT c.group_id, c.user_id FROM (SELECT group_id, user_id FROM kb_group_members UNION SELECT group_id, user_id FROM membership_changes WHERE change = 'add') c
+LEFT JOIN (SELECT DISTINCT group_id AS g, user_id AS u FROM membership_changes WHERE change = 'remove') r ON c.group_id = r.g AND c.user_id = r.u WHERE r.u IS NULL""",
+    apart="(SELECT group_id, user_id FROM kb_group_members UNION SELECT group_id, user_id FROM membership_changes WHERE change = 'add') EXCEPT SELECT group_id, user_id FROM membership_changes WHERE change = 'remove'")
 replace_groups = operator("set_replace_groups", "All memberships of the listed users are replaced.", """
-SELECT m.group_id, m.user_id FROM kb_group_members m LEFT JOIN (SELECT c_custkey AS u FROM customer WHERE c_custkey % 9 = 0) l ON m.user_id = l.u WHERE l.u IS NULL
-UNION ALL SELECT CAST((c_nationkey + 1) % 25 AS INT), c_custkey FROM customer WHERE c_custkey % 9 = 0""")
-access_crud = operator("mnt_access_crud", "Users after a batch: partial updates, deletes that cascade, protected rows.", """
-SELECT u.user_id, CASE WHEN u.user_id % 20 = 3 THEN concat(u.username, '-renamed') ELSE u.username END AS username, coalesce(r.role_name, 'none') AS role_name
-FROM users u LEFT JOIN user_roles r ON u.user_id = r.user_id WHERE u.user_id % 15 <> 4 OR u.user_id < 10""")
+SELECT m.group_id, m.user_id FROM kb_group_members m LEFT JOIN (SELECT DISTINCT user_id AS u FROM new_memberships) l ON m.user_id = l.u WHERE l.u IS NULL
+UNION ALL SELECT DISTINCT group_id, user_id FROM new_memberships""",
+    apart="SELECT group_id, user_id FROM kb_group_members WHERE user_id NOT IN (SELECT user_id FROM new_memberships) UNION ALL SELECT DISTINCT group_id, user_id FROM new_memberships")
+#: Users named in `protected_users` can't be deleted or renamed; a new name that another user has is refused, as is a new user of a name that is taken.
+access_crud = operator("mnt_access_crud", "Users after a batch of changes: partial updates, unique names on insert and rename, deletes that cascade to roles, protected rows.", """
+WITH taken AS (SELECT username FROM users), deletes AS (SELECT c.user_id FROM user_changes c LEFT ANTI JOIN protected_users p ON c.user_id = p.user_id WHERE c.change = 'delete'),
+  renames AS (SELECT user_id, min(username) AS username FROM (SELECT c.user_id, c.username, count(*) OVER (PARTITION BY c.username) AS n FROM user_changes c LEFT ANTI JOIN protected_users p ON c.user_id = p.user_id WHERE c.change = 'rename') x WHERE n = 1 AND username NOT IN (SELECT username FROM taken) GROUP BY user_id),
+  inserts AS (SELECT user_id, username FROM (SELECT user_id, username, row_number() OVER (PARTITION BY username ORDER BY user_id) AS n FROM user_changes WHERE change = 'insert') x WHERE n = 1 AND username NOT IN (SELECT username FROM taken))
+SELECT u.user_id, coalesce(n.username, u.username) AS username, coalesce(r.role_name, 'none') AS role_name FROM users u LEFT ANTI JOIN deletes d ON u.user_id = d.user_id LEFT JOIN renames n ON u.user_id = n.user_id LEFT JOIN user_roles r ON u.user_id = r.user_id
+UNION ALL SELECT user_id, username, 'none' FROM inserts""",
+    apart="""WITH open AS (SELECT * FROM user_changes WHERE user_id NOT IN (SELECT user_id FROM protected_users)),
+  renames AS (SELECT user_id, min(username) AS username FROM open o WHERE change = 'rename' AND NOT EXISTS (SELECT 1 FROM users u WHERE u.username = o.username) AND (SELECT count(*) FROM open x WHERE x.change = 'rename' AND x.username = o.username) = 1 GROUP BY user_id)
+SELECT u.user_id, coalesce(n.username, u.username) AS username, coalesce(r.role_name, 'none') AS role_name FROM users u LEFT JOIN renames n USING (user_id) LEFT JOIN user_roles r ON u.user_id = r.user_id WHERE u.user_id NOT IN (SELECT user_id FROM open WHERE change = 'delete')
+UNION ALL SELECT min(user_id), username, 'none' FROM user_changes c WHERE change = 'insert' AND username NOT IN (SELECT username FROM users) GROUP BY username""")

@@ -14,8 +14,8 @@ def sections(d) -> str:
     """CTE sec: one row per section (doc_id, sid, h1, h2, h3, content). A header resets the levels below it."""
     return f"""hl AS (SELECT doc_id, line_no, line, CASE WHEN {d.rlike('line', '^### ')} THEN 3 WHEN {d.rlike('line', '^## ')} THEN 2 WHEN {d.rlike('line', '^# ')} THEN 1 ELSE 0 END AS lv FROM md_lines),
   ids AS (SELECT *, sum(CASE WHEN lv > 0 THEN 1 ELSE 0 END) OVER ({_BY}) AS sid, sum(CASE WHEN lv = 1 THEN 1 ELSE 0 END) OVER ({_BY}) AS n1, sum(CASE WHEN lv IN (1, 2) THEN 1 ELSE 0 END) OVER ({_BY}) AS n2 FROM hl),
-  heads AS (SELECT doc_id, line_no, line, lv, sid, max(CASE WHEN lv = 1 THEN substring(line, 3, 200) END) OVER (PARTITION BY doc_id, n1) AS h1,
-    max(CASE WHEN lv = 2 THEN substring(line, 4, 200) END) OVER (PARTITION BY doc_id, n2) AS h2, max(CASE WHEN lv = 3 THEN substring(line, 5, 200) END) OVER (PARTITION BY doc_id, sid) AS h3 FROM ids),
+  heads AS (SELECT doc_id, line_no, line, lv, sid, max(CASE WHEN lv = 1 THEN substring(line, 3) END) OVER (PARTITION BY doc_id, n1) AS h1,
+    max(CASE WHEN lv = 2 THEN substring(line, 4) END) OVER (PARTITION BY doc_id, n2) AS h2, max(CASE WHEN lv = 3 THEN substring(line, 5) END) OVER (PARTITION BY doc_id, sid) AS h3 FROM ids),
   sec AS (SELECT doc_id, CAST(sid AS BIGINT) AS sid, max(h1) AS h1, max(CASE WHEN lv = 1 THEN NULL ELSE h2 END) AS h2, max(h3) AS h3, {d.agg_join("CASE WHEN lv = 0 THEN line END", 'chr(10)', 'line_no')} AS content FROM heads GROUP BY doc_id, sid)"""
 
 
@@ -49,4 +49,4 @@ SELECT doc_id, line_no, concat_ws(' > ', p, s, q) AS path FROM (SELECT doc_id, l
   FROM (SELECT e.doc_id, e.line_no, m.kind, m.label FROM exam_lines e LEFT JOIN ({_MARKERS(d)}) m ON e.doc_id = m.doc_id AND e.line_no = m.line_no) l) x""")
 route_by_ext = operator("src_route_by_ext", "Loader by extension; others are rejected.", lambda d: f"""
 SELECT file_path, CASE WHEN {d.rlike('lower(file_path)', '[.](txt|md)$')} THEN 'text' WHEN {d.rlike('lower(file_path)', '[.]pdf$')} THEN 'pdf' WHEN {d.rlike('lower(file_path)', '[.]docx$')} THEN 'docx' ELSE 'rejected' END AS route
-FROM (SELECT concat(substring(file_path, 1, length(file_path) - 3), CASE doc_id % 5 WHEN 0 THEN 'PDF' WHEN 1 THEN 'docx' WHEN 2 THEN 'exe' WHEN 3 THEN 'md' ELSE 'txt' END) AS file_path FROM kb_docs) f""")
+FROM incoming_paths f""")

@@ -34,14 +34,22 @@ ctx_precision = operator("eval_ctx_precision", "Mean precision at the ranks of r
 SELECT qid, round(coalesce(sum(CASE WHEN relevant = 1 THEN hits / ctx_rank END) / nullif(sum(relevant), 0), 0), 6) AS context_precision
 FROM (SELECT qid, ctx_rank, relevant, CAST(sum(relevant) OVER (PARTITION BY qid ORDER BY ctx_rank) AS DOUBLE) AS hits FROM verdicts) v GROUP BY qid""")
 ctx_recall = operator("eval_ctx_recall", "Share of claims of the reference answer that contexts support.", "SELECT qid, round(CAST(sum(relevant) AS DOUBLE) / count(*), 6) AS context_recall FROM verdicts GROUP BY qid")
-faithfulness = operator("eval_faithfulness", "Share of an answer's claims that contexts support.", "SELECT qid, round(CAST(count_if(relevant = 1 AND ctx_rank <= 10) AS DOUBLE) / nullif(count_if(ctx_rank <= 10), 0), 6) AS faithfulness FROM verdicts GROUP BY qid")
+faithfulness = operator("eval_faithfulness", "Share of an answer's claims that contexts support.", "SELECT qid, round(avg(CAST(supported AS DOUBLE)), 6) AS faithfulness FROM claims GROUP BY qid", apart="SELECT qid, round(CAST(sum(supported) AS DOUBLE) / count(*), 6) AS faithfulness FROM claims GROUP BY qid")
 relevancy = operator("eval_relevancy", "Mean cosine of generated questions to the question.", lambda d: f"""
 SELECT q.qid, round(avg({d.dot('q.embedding', 'c.embedding')} / (sqrt({d.dot('q.embedding', 'q.embedding')}) * sqrt({d.dot('c.embedding', 'c.embedding')}))), 6) AS answer_relevancy
 FROM query_vectors q JOIN chunk_vectors c ON c.label = q.qid % 10 AND c.chunk_id <> q.qid GROUP BY q.qid""")
-report_eval = operator("rpt_eval", "Markdown table of category means.", lambda d: f"""
-SELECT concat('| config | category | recall |', chr(10), {d.agg_join("concat('| ', config, ' | ', category, ' | ', CAST(CAST(floor(m * 1000) AS BIGINT) AS STRING), ' |')", 'chr(10)', 'config, category')}) AS report
-FROM (SELECT config, category, avg(context_recall) AS m FROM eval_scores GROUP BY config, category) t""")
-#: An answer is read line by line. A line that opens a list of sources starts a block that goes on over lines of
+_PCT = lambda d, x: f"coalesce({d.fmt('%.1f%%', f'({x}) * 100')}, 'N/A')" if d.name == "spark" else f"CASE WHEN {x} IS NULL THEN 'N/A' ELSE printf('%.1f%%', ({x}) * 100) END"
+report_eval = operator("rpt_eval", "The evaluation as Markdown: means of both configurations with their change, means by category, the worst questions.", lambda d: f"""
+WITH m AS (SELECT metric, avg(CASE WHEN config = 'baseline' THEN score END) AS b, avg(CASE WHEN config = 'optimized' THEN score END) AS o FROM eval_long GROUP BY metric),
+  c AS (SELECT category, {', '.join(f'avg({x}) AS {x}' for x in METRICS)} FROM eval_scores WHERE config = 'optimized' GROUP BY category),
+  w AS (SELECT qid, worst, row_number() OVER (ORDER BY worst, qid) AS n FROM (SELECT qid, least(coalesce(context_recall, 1.0), context_precision, faithfulness, answer_relevancy) AS worst FROM eval_scores WHERE config = 'optimized') x WHERE worst < 0.5 ORDER BY worst, qid LIMIT 3),
+  lines AS (SELECT 0 AS part, '' AS k, '# Evaluation' AS line UNION ALL SELECT 1, '', concat('| metric | baseline | optimized | change |', chr(10), '| --- | --- | --- | --- |')
+    UNION ALL SELECT 2, metric, concat('| ', metric, ' | ', {_PCT(d, 'b')}, ' | ', {_PCT(d, 'o')}, ' | ', CASE WHEN o - b > 0.001 THEN 'up' WHEN o - b < -0.001 THEN 'down' ELSE 'flat' END, ' |') FROM m
+    UNION ALL SELECT 3, '', concat(chr(10), '| category |', {" ".join(f"' {x} |'," for x in METRICS)} chr(10), '| --- | --- | --- | --- | --- |')
+    UNION ALL SELECT 4, category, concat('| ', category, ' | ', {", ' | ', ".join(_PCT(d, x) for x in METRICS)}, ' |') FROM c
+    UNION ALL SELECT 5, '', concat(chr(10), 'Worst questions') UNION ALL SELECT 6, CAST(n AS STRING), concat('- ', CAST(qid AS STRING), ': ', {_PCT(d, 'worst')}) FROM w)
+SELECT {d.agg_join('line', 'chr(10)', 'part, k')} AS report FROM lines""")
+#: Fixed values in the patterns below: how a list of sources, a note of a source and a disclaimer begin. An answer is read line by line. A line that opens a list of sources starts a block that goes on over lines of
 #: quotes and dashes; lines of a block and disclaimers go, then notes of sources inside lines, then spare blanks.
 _LINES = """SELECT doc_id, text, answer, no, line, line RLIKE r'^[>]?[ \\t]*📚[ \\t]*参考来源[：:]' AS opens, line RLIKE r'^[ \\t]*[>-]' AS goes_on, line RLIKE r'^[>]?[ \\t]*⚠️' AS disclaimer FROM answers LATERAL VIEW posexplode(split(answer, chr(10))) l AS no, line"""
 clean_answer = operator("fn_clean_answer", "Answers without source lists, disclaimers and inline source notes; the original where nothing stays.", f"""

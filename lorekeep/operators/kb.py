@@ -15,9 +15,10 @@ scan = operator("kb_scan", "All chunks with their metadata.", "SELECT chunk_id,
 lookup = operator("kb_lookup", "Chunks of a file by its path.", "SELECT chunk_id, file_path, kb_group FROM chunk_vectors WHERE kb_group = 'src5' AND visibility = 'public'")
 listing = operator("kb_list", "One row per document with its shown hash and defaults.", f"SELECT file_path, substring(file_hash, 1, 12) AS hash, coalesce(kb_group, '{GROUP}') AS kb_group, coalesce(visibility, '{VISIBILITY}') AS visibility, CAST(floor(length(text) / 500) + 1 AS BIGINT) AS chunks FROM kb_docs")
 chunks_by_source = operator("agg_chunks_by_source", "Chunks per file; the catalog rebuilt.", "SELECT coalesce(file_path, 'unknown') AS file_path, count(*) AS chunks FROM chunk_vectors GROUP BY coalesce(file_path, 'unknown')")
-status = operator("agg_kb_status", "Whether there is a base, its documents and chunks.", "SELECT count(*) > 0 AS ready, count(*) AS documents, CAST(sum(floor(length(text) / 500) + 1) AS BIGINT) AS chunks, 64 AS dim FROM kb_docs")
+status = operator("agg_kb_status", "Whether there is a base, its documents and chunks.", lambda d: f"SELECT count(*) > 0 AS ready, count(*) AS documents, CAST(sum(floor(length(content) / 500) + 1) AS BIGINT) AS chunks, max({d.size('embedding')}) AS dim FROM chunk_vectors WHERE content IS NOT NULL")
 distinct_files = operator("agg_distinct_files", "Distinct files and texts.", "SELECT count(DISTINCT file_path) AS files, count(DISTINCT md5(text)) AS texts FROM kb_docs")
-missing_perm = operator("agg_missing_perm", "Chunks without group or visibility, per file.", "SELECT file_path, CAST(count_if(chunk_id % 3 = 0) AS BIGINT) AS no_group, CAST(count_if(chunk_id % 4 = 0) AS BIGINT) AS no_visibility FROM chunk_vectors GROUP BY file_path")
+missing_perm = operator("agg_missing_perm", "Chunks without group or visibility, per file.", "SELECT file_path, CAST(count_if(kb_group IS NULL) AS BIGINT) AS no_group, CAST(count_if(visibility IS NULL) AS BIGINT) AS no_visibility FROM unstamped_chunks GROUP BY file_path HAVING count_if(kb_group IS NULL OR visibility IS NULL) > 0",
+    apart="SELECT file_path, count(*) - count(kb_group) AS no_group, count(*) - count(visibility) AS no_visibility FROM unstamped_chunks GROUP BY file_path HAVING count(*) > least(count(kb_group), count(visibility))")
 lookup_fallback = operator("flt_lookup_fallback", "By path, by base name only where no path matches.", lambda d: f"""
 WITH asked AS (SELECT doc_id AS rid, CASE WHEN doc_id % 2 = 0 THEN file_path ELSE concat('moved/', CAST(doc_id AS STRING), '.txt') END AS p FROM kb_docs),
   named AS (SELECT file_path, {d.rext('file_path', '[^/]+$')} AS name FROM kb_docs), exact AS (SELECT a.rid, n.file_path FROM asked a JOIN named n ON a.p = n.file_path)
@@ -29,8 +30,8 @@ semi_names = operator("join_semi_names", "Rows picked by a list of names, in the
 set_except = operator("set_except", "Paths of the catalog that an incoming batch doesn't have.", "SELECT file_path FROM kb_docs EXCEPT SELECT file_path FROM kb_docs_new")
 set_union_all = operator("set_union_all", "Two lists of files, one after the other.", "SELECT file_path, 0 AS src FROM kb_docs UNION ALL SELECT file_path, 1 FROM kb_docs_new")
 repair = operator("mnt_repair", "The catalog after repair: the store's counts.", f"SELECT file_path, store_chunks AS chunks FROM ({_REPAIR}) r WHERE state <> 'removed'")
-migrate = operator("mnt_migrate", "Missing path, hash and time filled in; how many were.", "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE file_path END, concat('unknown/', CAST(doc_id AS STRING))) AS file_path, coalesce(CASE WHEN doc_id % 4 = 0 THEN NULL ELSE file_hash END, md5(text)) AS file_hash, doc_id % 3 = 0 OR doc_id % 4 = 0 AS changed FROM kb_docs")
-fill_perm = operator("mnt_fill_perm", "Missing permissions get the defaults.", f"SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE kb_group END, '{GROUP}') AS kb_group, coalesce(CASE WHEN doc_id % 4 = 0 THEN NULL ELSE visibility END, '{VISIBILITY}') AS visibility FROM kb_docs")
+migrate = operator("mnt_migrate", "Missing path, hash and time filled in; how many were.", "SELECT doc_id, coalesce(file_path, concat('unknown/', CAST(doc_id AS STRING))) AS file_path, coalesce(file_hash, md5(text)) AS file_hash, file_path IS NULL OR file_hash IS NULL AS changed FROM old_docs")
+fill_perm = operator("mnt_fill_perm", "Missing permissions get the defaults.", f"SELECT chunk_id, coalesce(kb_group, '{GROUP}') AS kb_group, coalesce(visibility, '{VISIBILITY}') AS visibility FROM unstamped_chunks")
 retention = operator("win_retention", "Snapshots beyond the newest ten expire.", f"SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) r WHERE rn > {SNAPSHOTS}")
 asof_backup = operator("win_asof_backup", "The backup at a time: the latest not after it, else the newest.", """
 

@@ -17,11 +17,12 @@ scan_route = operator("lay_scan_route", "Documents with fewer than 50 characters
 header_footer = operator("lay_header_footer", "Lines in the bands that repeat three times, in documents of three pages and more.", lambda d: f"SELECT doc_id, cleaned, n FROM ({_REPEATED(d)}) r")
 drop_header_footer = operator("lay_drop_header_footer", "Lines without repeated headers, footers and bare page numbers.", lambda d: f"""
 SELECT c.doc_id, c.line_no FROM ({_CLEANED(d)}) c LEFT JOIN ({_REPEATED(d)}) r ON c.doc_id = r.doc_id AND c.cleaned = r.cleaned AND c.in_band WHERE r.n IS NULL AND NOT {d.rlike('trim(c.text)', '^[0-9]+$')}""")
-para_headings = operator("lay_para_headings", "Style names to levels; later first-level headings go down to the second.", """
-SELECT doc_id, line_no, CASE WHEN lv = 1 AND n > 1 THEN 2 ELSE lv END AS lv FROM (SELECT l.doc_id, l.line_no, s.lv, row_number() OVER (PARTITION BY l.doc_id, s.lv ORDER BY l.line_no) AS n FROM layout_lines l JOIN (VALUES (20, 1), (16, 2)) AS s(size, lv) ON l.size = s.size) x""")
-lists = operator("lay_lists", "List items with nesting by four spaces; three or more line ends become two.", lambda d: f"SELECT doc_id, line_no, CASE WHEN length(line) < 120 AND line_no % 4 > 0 THEN concat(repeat('    ', CAST(line_no % 4 - 1 AS INT)), '- ', line) ELSE line END AS line FROM doc_lines")
-_REGIONS = "SELECT doc_id, line_no, text, CASE line_no % 5 WHEN 0 THEN 'title' WHEN 1 THEN 'text' WHEN 2 THEN 'caption' WHEN 3 THEN 'formula' ELSE 'figure' END AS type, CASE WHEN line_no % 11 = 10 THEN NULL ELSE x END AS x1, CASE WHEN line_no % 11 = 10 THEN NULL ELSE y + line_no % 7 END AS y1, h FROM layout_lines"
-region_order = operator("lay_region_order", "Regions by rows of 20 points, then from the left; those without a box last.", lambda d: f"SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN y1 IS NULL THEN 1 ELSE 0 END, {d.half_even('y1 / 20')} * 20, x1, line_no) AS pos FROM ({_REGIONS}) r")
-regions_to_md = operator("lay_regions_to_md", "Fragments by type, in order.", lambda d: f"SELECT doc_id, {d.agg_join("CASE type WHEN 'title' THEN concat('## ', text) WHEN 'caption' THEN concat('*', text, '*') WHEN 'formula' THEN concat('$$', text, '$$') WHEN 'figure' THEN '[figure]' ELSE text END", 'chr(10)', 'line_no')} AS md FROM ({_REGIONS}) r GROUP BY doc_id")
+para_headings = operator("lay_para_headings", "Style names to levels by a table of styles; first-level headings after the first go down to the second.", """
+SELECT doc_id, para_no, CAST(CASE WHEN lv = 1 AND n > 1 THEN 2 ELSE lv END AS INT) AS lv FROM (SELECT p.doc_id, p.para_no, s.lv, row_number() OVER (PARTITION BY p.doc_id, s.lv ORDER BY p.para_no) AS n FROM paragraphs p JOIN style_levels s ON p.style = s.style) x""",
+    apart="SELECT p.doc_id, p.para_no, CAST(CASE WHEN s.lv = 1 AND EXISTS (SELECT 1 FROM paragraphs o JOIN style_levels t ON o.style = t.style WHERE t.lv = 1 AND o.doc_id = p.doc_id AND o.para_no < p.para_no) THEN 2 ELSE s.lv END AS INT) AS lv FROM paragraphs p JOIN style_levels s ON p.style = s.style")
+lists = operator("lay_lists", "Numbered paragraphs under 120 characters as list items, nested by four spaces a level.", "SELECT doc_id, para_no, CASE WHEN length(text) < 120 AND list_level IS NOT NULL THEN concat(repeat('    ', list_level), '- ', text) ELSE text END AS line FROM paragraphs",
+    apart="SELECT doc_id, para_no, CASE WHEN list_level IS NULL OR length(text) > 119 THEN text ELSE lpad('', 4 * list_level, ' ') || '- ' || text END AS line FROM paragraphs")
+region_order = operator("lay_region_order", "Regions by rows of 20 points, then from the left; those without a box last.", lambda d: f"SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN y1 IS NULL THEN 1 ELSE 0 END, {d.half_even('y1 / 20')} * 20, x1, line_no) AS pos FROM regions r")
+regions_to_md = operator("lay_regions_to_md", "Fragments by type, in order.", lambda d: f"SELECT doc_id, {d.agg_join("CASE type WHEN 'title' THEN concat('## ', text) WHEN 'caption' THEN concat('*', text, '*') WHEN 'formula' THEN concat('$$', text, '$$') WHEN 'figure' THEN '[figure]' ELSE text END", 'chr(10)', 'line_no')} AS md FROM regions r GROUP BY doc_id")
 line_height = operator("lay_line_height", "Mean height of text lines between 10 and 50, 14 where there are none.", "SELECT doc_id, round(coalesce(avg(CASE WHEN h > 10 AND h < 50 THEN h END), 14), 6) AS height, count(CASE WHEN h / 12 < 1.5 THEN 1 END) AS inline_formulas FROM layout_lines GROUP BY doc_id")
 image_triage = operator("lay_image_triage", "Images that look like formulas: low and wide.", "SELECT p_partkey AS image_id, p_size * 10 < 200 AND CAST(p_retailprice AS DOUBLE) / (p_size * 10) > 1.5 AND CAST(p_retailprice AS DOUBLE) / (p_size * 10) < 15 AS formula FROM part")

@@ -83,24 +83,24 @@ SELECT event_id, session_id, CAST(cum - coalesce({d.last("CASE WHEN call_site =
 FROM (SELECT *, sum(prompt_tokens + completion_tokens) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM token_log) c""")
 recent_calls = operator("topk_recent_calls", "The newest 50 calls.", "SELECT event_id, session_id, model FROM token_log ORDER BY ts DESC, event_id DESC LIMIT 50")
 audit_tail = operator("topk_audit", "Newest audit rows first, 100.", "SELECT event_id, tool_name, trace_id FROM tool_audit ORDER BY ts DESC, event_id DESC LIMIT 100")
-stage_breakdown = operator("agg_stage_breakdown", "Cold and hot means by stage, saving and ratio.", """
-SELECT event_type AS stage, round(avg(CASE WHEN event_id % 2 = 0 THEN value END), 6) AS cold, round(avg(CASE WHEN event_id % 2 = 1 THEN value END), 6) AS hot,
-  round(avg(CASE WHEN event_id % 2 = 0 THEN value END) - avg(CASE WHEN event_id % 2 = 1 THEN value END), 6) AS saved, round(avg(CASE WHEN event_id % 2 = 0 THEN value END) / avg(CASE WHEN event_id % 2 = 1 THEN value END), 6) AS ratio
-FROM events GROUP BY event_type""")
+stage_breakdown = operator("agg_stage_breakdown", "Means of the variants cold and hot by stage, saving and ratio.", """
+SELECT stage, round(cold, 6) AS cold, round(hot, 6) AS hot, round(cold - hot, 6) AS saved, round(cold / nullif(hot, 0), 6) AS ratio
+FROM (SELECT stage, avg(CASE WHEN variant = 'cold' THEN ms END) AS cold, avg(CASE WHEN variant = 'hot' THEN ms END) AS hot FROM stage_timings GROUP BY stage) s""",
+    apart="SELECT c.stage, round(c.m, 6) AS cold, round(h.m, 6) AS hot, round(c.m - h.m, 6) AS saved, round(c.m / h.m, 6) AS ratio FROM (SELECT stage, avg(ms) AS m FROM stage_timings WHERE variant = 'cold' GROUP BY stage) c JOIN (SELECT stage, avg(ms) AS m FROM stage_timings WHERE variant = 'hot' GROUP BY stage) h ON c.stage = h.stage")
 serial_parallel = operator("agg_serial_parallel", "Serial (sum) and parallel (max) cost of a trace's calls.", "SELECT coalesce(trace_id, 'unknown') AS trace_id, round(sum(latency_ms), 4) AS serial_ms, round(max(latency_ms), 6) AS parallel_ms FROM tool_audit WHERE latency_ms IS NOT NULL GROUP BY coalesce(trace_id, 'unknown')")
 failure_runs = operator("win_failure_runs", "Runs of consecutive failures per destination; five or more open the breaker.", """
 SELECT dest, run_start, length, length >= 5 AS opens FROM (
-  SELECT dest, min(event_id) AS run_start, count(*) AS length FROM (
-    SELECT event_id, user_id % 50 AS dest, event_type IN ('error', 'click') AS failed, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id % 50, event_type IN ('error', 'click') ORDER BY ts, event_id) AS grp FROM events) x
-  WHERE failed GROUP BY dest, grp) y""")
+  SELECT dest, min_by(call_id, pos) AS run_start, count(*) AS length FROM (SELECT call_id, dest, failed, row_number() OVER (PARTITION BY dest ORDER BY ts, call_id) AS pos, row_number() OVER (PARTITION BY dest, failed ORDER BY ts, call_id) AS nth FROM destination_calls) x
+  WHERE failed GROUP BY dest, pos - nth) y""",
+    apart="""WITH placed AS (SELECT *, count(*) FILTER (NOT failed) OVER (PARTITION BY dest ORDER BY ts, call_id) AS well FROM destination_calls)
+SELECT dest, arg_min(call_id, (ts, call_id)) AS run_start, count(*) AS length, count(*) >= 5 AS opens FROM placed WHERE failed GROUP BY dest, well""")
 retry_collapse = operator("agg_retry_collapse", "Attempts of one call become one row with its retry count and last outcome.", """
 SELECT call_id, count(*) - 1 AS retry_count, max_by(tool, attempt) AS tool, max_by(value, attempt) AS last_value, max_by(success, attempt) AS success FROM attempts GROUP BY call_id""",
     apart="SELECT call_id, n - 1 AS retry_count, tool, value AS last_value, success FROM (SELECT *, count(*) OVER (PARTITION BY call_id) AS n, row_number() OVER (PARTITION BY call_id ORDER BY attempt DESC) AS rn FROM attempts) a WHERE rn = 1")
 dashboard = operator("agg_dashboard", "Counts that a dashboard shows.", """
 SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'groups', count(*) FROM kb_groups UNION ALL SELECT 'users', count(*) FROM users UNION ALL SELECT 'searches', count(*) FROM qa_log""")
 fmt_pct = operator("fn_fmt_pct", "A share as a percentage with one decimal, N/A where there is none.", lambda d: f"SELECT qid, config, coalesce({d.fmt('%.1f%%', 'context_recall * 100')}, 'N/A') AS recall FROM eval_scores WHERE context_recall IS NOT NULL UNION ALL SELECT qid, config, 'N/A' FROM eval_scores WHERE context_recall IS NULL")
-try_ts = operator("fn_try_ts", "ISO times; what can't be read is null.", lambda d: f"""
-SELECT event_id, coalesce({d.micros("try_cast(CASE WHEN event_id % 10 = 0 THEN 'not a time' ELSE concat('2024-01-', CASE WHEN event_id % 28 < 9 THEN '0' ELSE '' END, CAST(event_id % 28 + 1 AS STRING), ' 10:00:00') END AS TIMESTAMP)")}, -1) AS us FROM events""")
+try_ts = operator("fn_try_ts", "ISO times; what can't be read is null.", lambda d: f"SELECT event_id, coalesce({d.micros('try_cast(t AS TIMESTAMP)')}, -1) AS us FROM raw_times")
 report_agent = operator("rpt_agent", "Markdown table of the by-tool aggregates.", lambda d: f"""
 SELECT concat('| tool | calls | ok |', chr(10), '| --- | --- | --- |', chr(10), {d.agg_join("concat('| ', tool_name, ' | ', CAST(calls AS STRING), ' | ', CAST(ok AS STRING), ' |')", 'chr(10)', 'tool_name')}) AS report
 FROM (SELECT tool_name, count(*) AS calls, count_if(success) AS ok FROM tool_audit WHERE coalesce(type, '') <> 'decision' GROUP BY tool_name) t""")

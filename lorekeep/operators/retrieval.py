@@ -199,7 +199,7 @@ no_context = searched("flt_no_context", "Questions that neither channel answers.
 topk_rerank = searched("topk_rerank", "16 candidates scored, five kept.", f"SELECT qid, doc_id, rk FROM rer WHERE rk <= {RERANKED}")
 rerank_rank = searched("win_rerank_rank", "Score and rank written back to candidates.", "SELECT qid, doc_id, rk, score FROM rer ")
 rank_change = searched("join_rank_change", "How reranking moved each candidate.", "SELECT qid, doc_id, before_rk, rk, CASE WHEN rk < before_rk THEN 'up' WHEN rk > before_rk THEN 'down' ELSE 'same' END AS moved FROM rer ")
-rerank_pipeline = searched("rerank_pipeline", "Scores with fallback to the input order where the scorer failed.", "SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN doc_id % 10 = 0 THEN NULL ELSE -score END NULLS LAST, before_rk) AS rk FROM rer ")
+rerank_pipeline = searched("rerank_pipeline", "Scores with fallback to the input order where the scorer failed.", "SELECT r.qid, r.doc_id, row_number() OVER (PARTITION BY r.qid ORDER BY CASE WHEN f.doc_id IS NOT NULL THEN NULL ELSE -r.score END NULLS LAST, r.before_rk) AS rk FROM rer r LEFT JOIN score_failures f ON r.doc_id = f.doc_id")
 min_score = searched("flt_min_score_keep_best", "Candidates over a score; the best one where none passes.",
     "SELECT qid, doc_id, rk FROM (SELECT *, max(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS any_pass FROM rer ) r WHERE score >= 0.5 OR (any_pass = 0 AND rk = 1)")
 token_budget = searched("win_token_budget", "Kept while among the first two or within 2000 tokens, five at most.", f"""

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators.patterns import hits
 from lorekeep.sources.files import scratch
 
 #: A run of letters, digits and low lines; each CJK character is a word, and so is each pair of them.
@@ -270,7 +271,12 @@ class Search:
         inner = self.questions.select("qid", "query", tokens(F.col("query")).alias("t")).where(F.size("t") > 2).select("qid", "query", F.explode(F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(1)))).alias("term"))
         rare = inner.join(self.words.terms, "term").groupBy("qid", "query").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
         places = self.words.postings.join(small(rare, self.asked), "term").select("qid", "query", "doc_id")
-        return places.join(self.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", "query")).select("qid", "doc_id")
+        long = places.join(self.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", "query")).select("qid", "doc_id")
+        # questions of one or two words have no inner word: all of them are looked for in one pass
+        short = self.questions.where(F.coalesce(F.size(tokens(F.col("query"))), F.lit(0)) <= 2).where("query IS NOT NULL").select("qid", F.col("query").alias("word"))
+        if short.limit(1).count() == 0:
+            return long
+        return long.unionByName(hits(self.documents, ["doc_id"], "text", short).join(short, "word").select("qid", "doc_id"))
 
 
 def visible_of(mode: str, group: str, visibility: str, kb_group: str) -> Column:

@@ -16,6 +16,10 @@ class Spark:
     def raw(self, text: str) -> str:
         return f"r'{text}'"
 
+    def quoted(self, text: str) -> str:
+        """A pattern as a literal, whatever quotes it has."""
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
     def fits(self, x: str, pattern: str) -> str:
         """rlike with a column of patterns."""
         return f"({x} RLIKE {pattern})"
@@ -118,6 +122,9 @@ class Spark:
 class Duck(Spark):
     name = "duck"
 
+    def quoted(self, text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
     def raw(self, text: str) -> str:
         return f"'{text}'"
 

@@ -4,19 +4,54 @@ from __future__ import annotations
 
 from lorekeep.plans.operator import VIEWS
 
-#: Markers of exam papers as data: level, pattern, label (none: what the pattern found); the first that fits holds.
+#: Markers of exam papers as data: level, pattern, label (none: what the pattern found); the first that fits holds.
 _PART = r"Part\s+I{1,3}V?\b"
 MARKERS = [
     (1, _PART + r"(?i:[a-z ]*writing)", "'Part I Writing'"), (1, _PART + r"(?i:[a-z ]*listen)", "'Part II Listening'"), (1, _PART + r"(?i:[a-z ]*read)", "'Part III Reading'"),
     (1, _PART + r"(?i:[a-z ]*translat)", "'Part IV Translation'"), (1, _PART, "NULL"), (2, r"Section\s+[A-C]\b", "NULL"), (3, r"Passage\s+(One|Two|Three)\b", "NULL"),
 ]
 
+#: The fields of a timetable's entry: course (else the beginning), teacher before weeks, weeks, slot, room.
+FIELDS = [(0, 0, r"^([^ 0-9]{3,})", ""), (0, 1, r"^(.{1,30})", ""), (1, 0, r"([一-鿿]{2,4})[0-9]+-[0-9]+", ""), (2, 0, r"[一-鿿]{2,4}([0-9]+-[0-9]+)", "周"), (3, 0, r"\[([0-9]+-[0-9]+节)\]", ""), (4, 0, r"【(.+?)】", "")]
+
 VIEWS.update({
     "kb_docs": """SELECT doc_id, concat('kb/', source, '/', CAST(doc_id AS STRING), '.txt') AS file_path, source AS kb_group,
        CASE WHEN doc_id % 5 = 0 THEN 'public' ELSE 'internal' END AS visibility, md5(text) AS file_hash, lang, text FROM documents""",
     "kb_docs_new": """SELECT doc_id, file_path, kb_group, visibility, CASE WHEN doc_id % 7 = 0 THEN md5(concat(text, 'v2')) ELSE file_hash END AS file_hash
        FROM kb_docs WHERE doc_id % 3 = 0
        UNION ALL SELECT doc_id + 1000000, concat('new/', CAST(doc_id AS STRING), '.txt'), kb_group, visibility, md5(concat(text, 'new')) FROM kb_docs WHERE doc_id % 50 = 1""",
+    # chunks and documents of an older base, with fields missing
+    "unstamped_chunks": "SELECT chunk_id, file_path, CASE WHEN chunk_id % 3 = 0 THEN NULL ELSE kb_group END AS kb_group, CASE WHEN chunk_id % 4 = 0 THEN NULL ELSE visibility END AS visibility FROM chunk_vectors",
+    "old_docs": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE file_path END AS file_path, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE file_hash END AS file_hash, text FROM kb_docs",
+    "incoming_paths": "SELECT concat(substring(file_path, 1, length(file_path) - 3), CASE doc_id % 5 WHEN 0 THEN 'PDF' WHEN 1 THEN 'docx' WHEN 2 THEN 'exe' WHEN 3 THEN 'md' ELSE 'txt' END) AS file_path FROM kb_docs",
+    "raw_paths": "SELECT doc_id, concat('kb', chr(92), source, chr(92), CAST(doc_id AS STRING), '.txt') AS p FROM documents",
+    "raw_times": """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'not a time' ELSE concat('2024-01-', CASE WHEN event_id % 28 < 9 THEN '0' ELSE '' END, CAST(event_id % 28 + 1 AS STRING), ' 10:00:00') END AS t FROM events""",
+    # texts with Chinese in them, texts with titles, texts to be cut for a question, arguments of calls
+    "mixed_texts": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat(text, repeat('知识库检索问答系统与文档切片', CAST(floor(length(text) / 20) AS INT))) WHEN 1 THEN concat(text, repeat('中文', CAST(floor(length(text) / 20) AS INT))) ELSE text END AS text FROM documents""",
+    "stop_words": "SELECT * FROM (VALUES ('the'), ('of'), ('and'), ('de'), ('的'), ('与')) AS t(word)",
+    "titled_texts": "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN source END AS h1, CASE WHEN doc_id % 8 <> 0 AND doc_id % 3 <> 0 THEN lang END AS h2, text FROM documents",
+    "query_texts": "SELECT d.doc_id, d.text, b.text AS query FROM documents d LEFT JOIN benchmark b ON d.doc_id % 40 = b.item_id",
+    "call_arguments": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'API_Key' WHEN 1 THEN 'query' WHEN 2 THEN 'userPassword' ELSE 'text' END AS k, text AS v FROM documents",
+    # text layers of pages, some of them broken
+    "page_texts": """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN concat('He said "yes" (twice), [1] ', lang, '; 他说：“可以”，《书》。', source) WHEN 1 THEN concat(text, repeat('\uFFFD', CAST(floor(length(text) / 30) AS INT))) WHEN 2 THEN repeat(concat(lang, chr(10)), 20) WHEN 3 THEN '' ELSE text END AS text FROM documents""",
+    # records of a service and what of them is shown
+    "weather_records": """SELECT event_id, concat('{"city":"', event_type, '","now":{"temp":', CAST(event_id % 40 AS STRING), CASE event_id % 3 WHEN 0 THEN ',"wind":"N"' WHEN 1 THEN ',"wind":null' ELSE '' END, '}', CASE WHEN event_id % 5 = 0 THEN '' ELSE ',"humidity":"60"' END, '}') AS record FROM events""",
+    "record_fields": "SELECT * FROM (VALUES (0, '城市：', 'city', '未知'), (1, '温度：', 'now.temp', '--'), (2, '风向：', 'now.wind', '--'), (3, '湿度：', 'humidity', '--')) AS t(pos, label, path, missing)",
+    # paragraphs of a word processor: style, list level; regions of a page
+    "paragraphs": """SELECT doc_id, line_no AS para_no, line AS text, CASE WHEN line_no % 12 = 0 THEN 'Heading 1' WHEN line_no % 12 = 5 THEN 'Heading 2' WHEN line_no % 12 = 7 THEN 'Chapter' ELSE 'Normal' END AS style, CASE WHEN line_no % 4 > 0 THEN CAST(line_no % 4 - 1 AS INT) END AS list_level FROM doc_lines""",
+    "style_levels": "SELECT * FROM (VALUES ('Heading 1', 1), ('Heading 2', 2), ('Heading 3', 3), ('Chapter', 1)) AS t(style, lv)",
+    "regions": """SELECT doc_id, line_no, text, CASE line_no % 5 WHEN 0 THEN 'title' WHEN 1 THEN 'text' WHEN 2 THEN 'caption' WHEN 3 THEN 'formula' ELSE 'figure' END AS type, CASE WHEN line_no % 11 = 10 THEN NULL ELSE x END AS x1, CASE WHEN line_no % 11 = 10 THEN NULL ELSE y + line_no % 7 END AS y1, h FROM layout_lines""",
+    # calls to destinations, timings of stages, failures of a scorer, claims of answers
+    "destination_calls": "SELECT event_id AS call_id, user_id % 50 AS dest, ts, event_type IN ('error', 'click') AS failed FROM events",
+    "stage_timings": "SELECT event_id, event_type AS stage, CASE WHEN event_id % 2 = 0 THEN 'cold' ELSE 'hot' END AS variant, value AS ms FROM events",
+    "score_failures": "SELECT doc_id FROM documents WHERE doc_id % 10 = 0",
+    "claims": "SELECT doc_id % 50 AS qid, doc_id AS claim_id, CASE WHEN (doc_id * 11) % 4 < 3 THEN 1 ELSE 0 END AS supported FROM documents",
+    # batches of changes to the access tables
+    "membership_changes": "SELECT c_nationkey AS group_id, c_custkey AS user_id, 'add' AS change FROM customer WHERE c_custkey % 8 = 3 UNION ALL SELECT c_nationkey, c_custkey, 'remove' FROM customer WHERE c_custkey % 10 = 1",
+    "new_memberships": "SELECT CAST((c_nationkey + 1) % 25 AS INT) AS group_id, c_custkey AS user_id FROM customer WHERE c_custkey % 9 = 0",
+    "protected_users": "SELECT c_custkey AS user_id FROM customer WHERE c_custkey < 10",
+    "user_changes": """SELECT c_custkey AS user_id, CAST(NULL AS STRING) AS username, 'delete' AS change FROM customer WHERE c_custkey % 15 = 4 UNION ALL SELECT c_custkey, concat(c_name, '-renamed'), 'rename' FROM customer WHERE c_custkey % 20 = 3
+       UNION ALL SELECT c_custkey, 'one name for all', 'rename' FROM customer WHERE c_custkey % 20 = 5 UNION ALL SELECT c_custkey + 1000000, CASE WHEN c_custkey % 50 = 7 THEN c_name WHEN c_custkey % 3 = 0 THEN 'twice' ELSE concat('new ', c_name) END, 'insert' FROM customer WHERE c_custkey % 25 = 7""",
     # a later state of the base: texts and permissions edited, documents taken out and put in
     "kb_docs_later": """SELECT doc_id, file_path, CASE WHEN doc_id % 13 = 1 THEN 'moved' ELSE kb_group END AS kb_group, visibility, CASE WHEN doc_id % 7 = 0 THEN concat(text, ' Refreshed it_1') ELSE text END AS text FROM kb_docs WHERE doc_id % 11 <> 3
        UNION ALL SELECT doc_id + 2000000, concat('later/', CAST(doc_id AS STRING), '.txt'), kb_group, visibility, concat('New words. ', text) FROM kb_docs WHERE doc_id % 50 = 1""",
@@ -39,7 +74,9 @@ VIEWS.update({
         THEN concat('<table><tr><td>', {d.agg_join("CAST(o_orderkey AS STRING)", "' '", 'o_orderkey')}, '</td><td><b>', {d.agg_join('o_orderstatus', "' '", 'o_orderkey')}, '</b></td></tr><tr><td></td><td> </td></tr></table>')
         ELSE concat('<table><tr><th>order</th><th>status</th></tr>', {d.agg_join("concat('<tr><td>', CAST(o_orderkey AS STRING), '</td><td><i>', o_orderstatus, '</i> </td></tr>')", "''", 'o_orderkey')}, '</table>') END AS html FROM orders GROUP BY o_custkey""",
     # timetables as HTML: a row for each order, in the column of a weekday, a short form beside the long one
-    "timetable_slots": """SELECT o_custkey AS person, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS slot, CAST(o_orderkey % 7 AS INT) AS day, concat('课程名', o_orderstatus) AS course, CAST(o_orderkey % 9 + 1 AS STRING) AS week FROM orders""",
+    "timetable_slots": """SELECT o_custkey AS person, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS slot, CAST(o_orderkey % 9 AS INT) AS day, concat('课程名', o_orderstatus) AS course, CAST(o_orderkey % 9 + 1 AS STRING) AS week FROM orders""",
+    # the fields of an entry: order, order of trial, pattern, what follows the value
+    "timetable_fields": lambda d: "SELECT * FROM (VALUES " + ", ".join(f"({pos}, {trial}, {d.quoted(p)}, '{unit}')" for pos, trial, p, unit in FIELDS) + ") AS t(pos, trial, pattern, unit)",
     "timetable_html": lambda d: f"""SELECT person, concat('<table id="timetable"><tr><td>x</td></tr>', {d.agg_join("concat('<tr><th>第', CAST(slot AS STRING), '节</th>', repeat('<td>&nbsp;</td>', day), '<td><div class=\"kbcontent1\">', course, ' 张伟</div><div class=\"kbcontent\">', course, '<br/>张伟', week, '-16周<br/>[1-2节]<br/>【A', week, '楼】</div></td></tr>')", "''", 'slot')}, '</table>') AS html FROM timetable_slots GROUP BY person""",
     # answers with source lists, notes and a disclaimer around a document's text
     "answers": """SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN concat(text, ' (来源：a.pdf，第3页)', chr(10), '> 📚 参考来源：', chr(10), '> - b.pdf', chr(10), '- c.pdf', chr(10), 'end')
@@ -68,8 +105,8 @@ VIEWS.update({
     "slots": """SELECT * FROM (VALUES ('click', 'user_id', 0, 'number', true, CAST(NULL AS STRING)), ('click', 'kind', 1, 'string', true, '["a","b"]'), ('click', 'note', 2, 'string', false, CAST(NULL AS STRING)),
        ('view', 'kind', 0, 'string', false, '["a","other"]'), ('view', 'user_id', 1, 'number', true, CAST(NULL AS STRING)), ('purchase', 'note', 0, 'string', true, CAST(NULL AS STRING)), ('purchase', 'kind', 1, 'any', false, '["a",5]')) AS t(tool, slot, pos, type, required, allowed)""",
     "doc_lines": lambda d: d.explode("documents", "doc_id", d.split("text", "chr(10)"), "line_no", "line"),
-    "md_lines": """SELECT doc_id, line_no, CASE WHEN line_no % 12 = 1 THEN concat('# ', substring(line, 1, 20)) WHEN line_no % 6 = 3 THEN concat('## ', substring(line, 1, 20))
-       WHEN line_no % 5 = 4 THEN concat('### ', substring(line, 1, 20)) ELSE line END AS line FROM doc_lines""",
+    "md_lines": """SELECT doc_id, line_no, CASE WHEN line_no % 12 = 1 THEN concat('# ', line) WHEN line_no % 6 = 3 THEN concat('## ', line)
+       WHEN line_no % 5 = 4 THEN concat('### ', line) ELSE line END AS line FROM doc_lines""",
     # pages of 40 lines: two columns, one, three in turn; sizes that merge and sizes that don't; formulas
     "layout_lines": """SELECT doc_id, page, line_no, CASE WHEN line_no % 23 = 5 THEN '∑ x = y + 1' WHEN line_no % 29 = 3 THEN ' ' ELSE line END AS text,
        CAST(40 + CASE page % 3 WHEN 0 THEN (line_no % 2) * 300 WHEN 1 THEN (line_no % 4) * 5 ELSE (line_no % 3) * 190 END AS DOUBLE) AS x,

@@ -3,6 +3,7 @@
 import pytest
 
 from lorekeep.operators import chunking, evals, layout, logs, memory, text
+from lorekeep.plans.operator import view
 
 
 def one(op, column, **frames):
@@ -26,7 +27,7 @@ def test_tables(spark, html, md):
 def test_timetable(spark):
     cell = '<td>&nbsp;</td><td><div class="kbcontent1">线性代数 王小明</div><div class="x kbcontent">线性代数<br/>王小明1-16(周)<br/>[1-2节]<br/>【A楼101】</div></td>'
     html = f'<table id="timetable"><tr><td>head</td></tr><tr><th>第一节</th>{cell}</tr></table>'
-    got = text.schedule_rows(timetable_html=spark.createDataFrame([(1, html)], "person long, html string")).collect()
+    got = text.schedule_rows(timetable_html=spark.createDataFrame([(1, html)], "person long, html string"), timetable_fields=view(spark, "/", "timetable_fields")).collect()
     assert [(r["place"], r["info"]) for r in got] == [("周二 第一节", "线性代数 | 王小明 | 1-16周 | 1-2节 | A楼101")]
 
 
@@ -49,7 +50,7 @@ def test_short_lines_are_no_formulas(spark):
 
 def test_text_layers(spark):
     docs = spark.createDataFrame([(1, "A good sentence. Another one"), (2, "a!b!c!d"), (3, "��� x"), (4, "word\n" * 9)], "doc_id long, text string")
-    assert {r["doc_id"]: r["verdict"] for r in text.quality_gate(documents=docs).collect()} == {1: "ok", 2: "short", 3: "garbage", 4: "short"}
+    assert {r["doc_id"]: r["verdict"] for r in text.quality_gate(page_texts=docs).collect()} == {1: "ok", 2: "short", 3: "garbage", 4: "short"}
 
 
 def test_percentages_have_a_decimal(spark):

@@ -2,7 +2,8 @@
 
 import pytest
 
-from lorekeep.operators import pages, replies
+from lorekeep.operators import pages, replies, text
+from lorekeep.plans.operator import view
 
 RAW = "doc_id long, raw string"
 
@@ -98,3 +99,34 @@ def test_columns_are_parted_by_a_blank_line(spark):
     frames = page(spark, [{"x": x, "y": y, "w": 200, "text": t} for t, x, y in (("left one", 40, 0), ("right one", 340, 0), ("left two", 40, 14), ("right two", 340, 14))])
     frames["layout_lines"] = frames["layout_lines"].selectExpr(*[c if c != "w" else "200D AS w" for c in frames["layout_lines"].columns])
     assert pages.lines_to_md(**frames).first()["md"] == "left one\nleft two\n\nright one\nright two"
+
+
+@pytest.mark.parametrize("body,verdict", [
+    ('He said "yes" (twice), and: [one] <two>; it is fine.', "ok"), ("他说：“可以”，《书名》（附录）……不错。还有一句完整的话！", "ok"), ("plain words §§§ here", "garbage"), ("", "empty"), (None, "empty"),
+    ("a b! c d! e f!", "short"), ("\n" * 30 + "one long line of words", "sparse"), ("　" * 3 + "全角空格也是空白，这一句足够长。", "repeated"),
+])
+def test_text_layers_by_ordinary_characters(spark, body, verdict):
+    assert text.quality_gate(page_texts=spark.createDataFrame([(1, body)], "doc_id long, text string")).first()["verdict"] == verdict
+
+
+def test_timetables_of_more_than_seven_columns(spark):
+    entry = '<td><div class="kbcontent">AB<br/>no course name of two letters</div></td>'
+    html = f"<table><tr><th>1</th>{'<td></td>' * 7}{entry}</tr></table>"
+    fields = view(spark, "/", "timetable_fields")
+    got = text.schedule_rows(timetable_html=spark.createDataFrame([(1, html)], "person long, html string"), timetable_fields=fields).collect()
+    assert [(r["place"], r["info"]) for r in got] == [("列8 1", "AB no course name of two lette")]
+
+
+def test_words_in_order(spark):
+    t = spark.createDataFrame([(1, "The 知识库 of RAG_2"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n"], r["tokens"]) for r in text.tokenize(mixed_texts=t, stop_words=spark.createDataFrame([("the",), ("of",)], "word string")).collect()}
+    assert got[1] == (6, "知 识 库 rag_2 知识 识库")
+
+
+def test_short_questions_are_planted_too(spark):
+    from lorekeep.operators.search import Search
+
+    docs = spark.createDataFrame([(1, "one red apple here"), (2, "applesauce"), (3, "nothing")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "apple", "all", None), (2, "red apple", "all", None), (3, "one red apple", "all", None)], "qid long, query string, perm_mode string, perm_group string")
+    meta = docs.selectExpr("doc_id", "'g' AS kb_group", "'public' AS visibility")
+    assert sorted(map(tuple, Search(docs, asked, meta).planted.collect())) == [(1, 1), (1, 2), (2, 1), (3, 1)]

@@ -144,4 +144,4 @@ def test_generator_falls_back(spark):
 
 def test_chinese_rule(spark):
     docs = spark.createDataFrame([(0, "知" * 300), (2, "plain english text " * 20)], "doc_id long, text string")
-    assert {r["doc_id"]: r["chinese"] for r in text.is_chinese(documents=docs).collect()} == {0: True, 2: False}
+    assert {r["doc_id"]: r["chinese"] for r in text.is_chinese(mixed_texts=docs).collect()} == {0: True, 2: False}

@@ -7,7 +7,7 @@ from lorekeep.plans.operator import view
 def test_texts_short_and_with_titles_are_cut_by_the_rules(spark):
     near, title = "x" * 400 + "qz" + "y" * 400, "【a > b】" + "t" * 600
     docs = [(0, "short qz"), (40, "p" * 600), (80, near), (120, title), (1, "n" * 600), (2, "m" * 20), (3, "k" * 600)]
-    got = text.smart_truncate(documents=spark.createDataFrame(docs, "doc_id long, text string"), benchmark=spark.createDataFrame([(0, "qz"), (3, "k")], "item_id long, text string")).collect()
+    got = text.smart_truncate(query_texts=spark.createDataFrame([(i, t, {0: "qz", 3: "k"}.get(i % 40)) for i, t in docs], "doc_id long, text string, query string")).collect()
     assert {r["doc_id"]: r["t"] for r in got} == {0: "short qz", 40: "p" * 512, 80: near[144:656], 120: title[:505], 1: "n" * 512, 2: "m" * 20, 3: "k" * 512}
 
 
