@@ -169,12 +169,19 @@ def udf_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def udf_pair_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = view(spark, sf_dir, "documents").select("doc_id", "text", F.substring("text", 1, 60).alias("q"))
-    return pair_score(d, "q", "text", "score").select("doc_id", F.round("score", 6).alias("score"))
+    """Each document against a whole question."""
+    d = view(spark, sf_dir, "query_texts").select("doc_id", "text", "query")
+    return pair_score(d, "query", "text", "score").select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _silent_on_long(limit: int = 200) -> Callable[[], Callable[[list[str]], list[str]]]:
+    """A generator that gives nothing for long prompts, and prompts without spare white space else."""
+    return lambda: lambda prompts: ["" if len(p) > limit else " ".join(p.split()) for p in prompts]
 
 
 def udf_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate(view(spark, sf_dir, "questions").select("qid", "query"), "query", "rewritten").select("qid", "rewritten")
+    """Questions rewritten, or left as they are where the generator gives nothing."""
+    return generate(view(spark, sf_dir, "questions").select("qid", "query"), "query", "rewritten", _silent_on_long()).select("qid", "rewritten")
 
 
 def chk_recursive_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,4 +203,8 @@ def udtf_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (udf_embed, udf_pair_score, udf_generate, chk_recursive_split, udtf_split)}
-ORACLE: dict[str, str] = {"udf_generate": "SELECT item_id AS qid, trim(text) AS rewritten FROM benchmark"}
+ORACLE: dict[str, str] = {
+    "udf_generate": "SELECT item_id AS qid, CASE WHEN length(text) > 200 THEN text ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS rewritten FROM benchmark",
+    "udf_pair_score": """SELECT d.doc_id, round(CASE WHEN len(q) = 0 THEN 0 ELSE CAST(len(list_intersect(q, t)) AS DOUBLE) / len(q) END, 6) AS score FROM (
+        SELECT d.doc_id, list_filter(list_distinct(string_split_regex(lower(coalesce(b.text, '')), '\\s+')), lambda w: w <> '') AS q, string_split_regex(lower(coalesce(d.text, '')), '\\s+') AS t FROM documents d LEFT JOIN benchmark b ON d.doc_id % 40 = b.item_id) d""",
+}

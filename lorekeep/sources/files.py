@@ -89,13 +89,17 @@ def snk_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation as one JSON array in a file line, read as arrays of turns."""
+    """Turns as JSON arrays over many lines, about 500 in a file, read by the multi-line source: one row
+    for each turn."""
     path = scratch(spark, "array")
-    turns = view(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    turns.select(F.to_json("turns").alias("value")).repartition(8).write.text(path)
-    item = T.ArrayType(T.StructType([T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
-    rows = spark.read.text(path).select(F.explode(F.from_json("value", item)).alias("x"))
-    return rows.groupBy("x.role").agg(F.count("*").alias("n"), F.sum(F.length("x.text")).alias("chars"))
+    turns = view(spark, sf_dir, "conversations")
+    files = max(1, turns.count() // 500)  # an array is one row of a task: their number grows with the table
+    rows = turns.select(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(files)).alias("part"), F.to_json(F.struct("turn", "role", "text")).alias("j"))
+    spread = rows.groupBy("part").agg(F.array_join(F.collect_list("j"), ",\n").alias("j"))
+    spread.select(F.concat(F.lit("[\n"), "j", F.lit("\n]")).alias("value"), "part").write.partitionBy("part").text(path)
+    item = T.StructType([T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
+    rows = json_array(spark, path, item)
+    return rows.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 def _text_files(spark: SparkSession, sf_dir: str) -> str:
