@@ -3,6 +3,11 @@
 run() applies the stages to `documents`; each result is written as Parquet and read again. All
 stages but the last return the columns of documents; the last returns the pieces of packed
 sequences. SQL can't express a trained field, a forest or a tokenizer, so there is no ORACLE_SQL.
+
+Defined results: null, empty and blank texts have no words, so the rules reject them; rows are judged and
+kept one by one, whatever ids they share or lack, and of rows equal in id and text one stays; texts of any
+length are read whole; an empty table gives an empty result; extra columns pass through all stages but the
+last.
 """
 
 from __future__ import annotations

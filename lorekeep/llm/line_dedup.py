@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import cut, row_key, table, written
+from lorekeep.llm.common import bounded, cut, row_key, table, written
 
 MIN_CHARS = 1
 HOT_SHARE = 1000
@@ -37,6 +37,8 @@ HOT_SHARE = 1000
 PARTS = 8
 #: Segments up to this length have all their variants emitted.
 LONG = 2048
+#: Different lines that share a half with another, up to which their hashes are broadcast.
+FEW = 500_000
 
 
 def normalised(line: Column) -> Column:
@@ -76,8 +78,12 @@ def near_pairs(occurrences: DataFrame) -> DataFrame:
     four = dict(zip(("k0", "k1", "k2", "k3"), halves(F.length("line")) + halves(F.length("line") - 1)))
     keys = occurrences.select("h1", "h2", *[k.alias(c) for c, k in four.items()]).distinct().select("h1", "h2", F.explode(F.array(*four)).alias("k"))
     found = keys.join(_shared(keys), "k").select(F.col("h1").alias("g1"), F.col("h2").alias("g2")).distinct()
-    lines = occurrences.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.first("line").alias("line"))
-    lines = cut(lines.join(found, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).drop("g1", "g2"))
+    found, same = cut(found), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+    # while they are few, the others' texts drop out where they are read; else each text is shuffled once
+    some = bounded(found, FEW)
+    few = occurrences.join(some, same, "left_semi") if some is not found else occurrences
+    lines = few.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.first("line").alias("line"))
+    lines = cut(lines.join(found, same).drop("g1", "g2") if some is found else lines)
     again = _segments(lines.select("h1", "h2", "pos", F.lit(0).alias("k"), F.col("line").alias("seg"), lengths.alias("m")), 2, ["h1", "h2", "pos"])
     first = again.join(_shared(again), "k")
     second = cut(_segments(first, PARTS, ["h1", "h2", "pos"]))

@@ -27,8 +27,9 @@ def levenshtein(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("long", [2048, 0.4])
-def test_near_lines_by_brute_force(spark, monkeypatch, long):
+@pytest.mark.parametrize("long,few", [(2048, 500_000), (0.4, 0)])
+def test_near_lines_by_brute_force(spark, monkeypatch, long, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)  # none: all texts are shuffled
     monkeypatch.setattr(line_dedup, "LONG", long)  # short: segments are cut again and again
     rng = np.random.default_rng(3)
     base = ["".join(rng.choice(list("abcd "), 30)).strip().ljust(26, "x") for _ in range(12)]
