@@ -4,10 +4,12 @@ import math
 import random
 import statistics
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lorekeep.operators import memory, patterns, ranks, setjoin
+from lorekeep.operators import alike, knn, memory, patterns, ranks, setjoin
 from lorekeep.operators.knn import nearest
 
 
@@ -111,3 +113,43 @@ def test_ranks_of_many_groups(spark, few, monkeypatch):
             v.sort()
             assert got[g]["n"] == len(v) and got[g]["median"] == statistics.median(v) and got[g]["p95"] == v[min(int(len(v) * 0.95), len(v) - 1)]
             assert got[g]["mean"] == pytest.approx(statistics.fmean(v), abs=1e284 if g == "wide" else 1e-9)
+
+
+def test_nearest_among_copies_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SLICE", 40)  # cells and queries in several groups
+    rows = vectors(300, 4, 8) + [(1000 + i, [2.0, 0.5, 1.0, -1.0], "g1") for i in range(120)]
+    queries = rows[:70] + rows[-50:]
+    q = spark.createDataFrame(queries, "qid long, embedding array<double>, mine string")
+    r = spark.createDataFrame(rows, "id long, vector array<double>, theirs string")
+    for cos in (False, True):
+        got = nearest(q, r, 4, cosine=cos, pivots=6, allowed=F.col("mine") <= F.col("theirs"))
+        assert sorted((x["qid"], x["id"], x["rk"]) for x in got.found.collect()) == plain(queries, rows, 4, cosine if cos else l2, -1 if cos else 1, lambda a, b: a[2] <= b[2])
+
+
+def test_a_group_gives_out_no_pairs_of_copies():
+    """400 copies asked for by 100 of them: four rows a query, not 40,000."""
+    schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("id", T.LongType()), T.StructField("m", T.DoubleType()), T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
+    q = pa.table({"qid": list(range(100)), "embedding": [[1.0, 2.0]] * 100, "__qd": [0.0] * 100, "__bound": [math.inf] * 100})
+    r = pa.table({"id": list(range(400)), "vector": [[1.0, 2.0]] * 400, "__d": [0.0] * 400})
+    found = knn._met(schema, 4, False, False, False)(q, r).to_pylist()
+    assert sum(x["id"] is not None for x in found) == 400 and {x["n"] for x in found if x["id"] is None} == {399}
+    assert [x["id"] for x in found if x["qid"] == 2 and x["id"] is not None] == [0, 1, 3, 4]
+
+
+def test_questions_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(alike, "BLOCK", 30)
+    monkeypatch.setattr(alike, "PRODUCT", 16)
+    rng = random.Random(4)
+    words = ["red", "book", "é𝄞", "where", "is", "knihu"]
+    rows = [(i % 90, i, f"u{i % 2}", " ".join(rng.choice(words) for _ in range(rng.randint(0, 4)))) for i in range(260)] + [(500 + i, 0, "u0", "the same text") for i in range(40)]
+    got = memory.like(spark.createDataFrame(rows, "conv_id long, turn long, user_id string, query string"), 0.4, 3).collect()
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    expected = []
+    for c, t, u, q in rows:
+        s = []
+        for hc, ht, hu, h in rows:
+            a, b = grams(q.strip().lower()), grams(h.strip().lower())
+            if hu == u and (hc, ht) < (c, t) and a and b and len(a & b) / len(a | b) >= 0.4:
+                s.append((-round(len(a & b) / len(a | b), 6), hc, ht))
+        expected += [(c, t, hc, ht, i + 1) for i, (_, hc, ht) in enumerate(sorted(s)[:3])]
+    assert sorted(map(tuple, got)) == sorted(expected) != []
