@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorekeep.operators import alike, knn, memory, patterns, ranks, setjoin
+from lorekeep.operators import alike, knn, memory, near, patterns, ranks, setjoin
 from lorekeep.operators.knn import nearest
 
 
@@ -153,3 +153,15 @@ def test_questions_of_many_blocks(spark, monkeypatch):
                 s.append((-round(len(a & b) / len(a | b), 6), hc, ht))
         expected += [(c, t, hc, ht, i + 1) for i, (_, hc, ht) in enumerate(sorted(s)[:3])]
     assert sorted(map(tuple, got)) == sorted(expected) != []
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.25, 3.0])
+def test_near_memories_of_many_blocks(spark, monkeypatch, spread):
+    for name, size in (("PAIR_BLOCK", 20), ("BLOCK", 20), ("PRODUCT", 7)):
+        monkeypatch.setattr(near, name, size)
+    rng = random.Random(6)
+    rows = [(i, f"u{i % 2}", [rng.gauss(0, spread) for _ in range(3)]) for i in range(150)] + [(200, "u0", None), (201, None, [0.0, 0.0, 0.0]), (202, "u0", [0.0, 0.0])]
+    d = spark.createDataFrame(rows, "mem_id long, user_id string, embedding array<double>")
+    found = [(u, a, b, round(1 / (1 + l2(x, y)), 6)) for a, u, x in rows for b, o, y in rows if u and u == o and a < b and x and y and len(x) == len(y) and 1 / (1 + l2(x, y)) >= 0.85]
+    assert sorted(map(tuple, memory.memory_dup(memory=d).collect())) == sorted(found)
+    assert sorted(r["mem_id"] for r in memory.memory_upsert(memory=d).collect()) == sorted({r[0] for r in rows} - {f[1] for f in found})
