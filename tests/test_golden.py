@@ -77,3 +77,11 @@ def test_memories_by_type_and_likeness(spark):
     assert sorted(one(memory.memory_upsert, "mem_id", memory=m)) == [2, 3, 4]
     q = spark.createDataFrame([(0, "u", [0.0, 0.1])], "qid long, user_id string, embedding array<double>")
     assert [r["mem_id"] for r in sorted(memory.topk_memory(memory=m, memory_queries=q).collect(), key=lambda r: r["rk"])] == [1, 2, 3]
+
+
+def test_relevancy_of_zero_missing_and_own_vectors(spark):
+    from lorekeep.operators import evals
+
+    q = spark.createDataFrame([(10, [1.0, 0.0], "g"), (20, [0.0, 2.0], "g"), (11, [1.0, 1.0], "g"), (30, [0.0, 0.0], "g")], "qid long, embedding array<double>, perm_group string")
+    c = spark.createDataFrame([(10, [1.0, 0.0], 0), (2, [3.0, 4.0], 0), (3, [0.0, 0.0], 0), (4, None, 0), (11, [1.0, 1.0], 1)], "chunk_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, evals.relevancy(query_vectors=q, chunk_vectors=c).collect())) == [(10, 0.6), (20, 0.4), (30, None)]
