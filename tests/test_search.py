@@ -76,3 +76,25 @@ def test_values_at_ranks(spark):
     v = [float((i * 7919) % 5003) / 7 for i in range(5000)] + [3.5] * 300
     d = spark.createDataFrame([(x,) for x in v], "v double")
     assert at_ranks(d, [1, 2500, 5300]) == [sorted(v)[k - 1] for k in (1, 2500, 5300)]
+
+
+@pytest.mark.parametrize("permissions", [True, False])
+def test_search_without_an_index_is_that_with_one(spark, sf_dir, small, monkeypatch, permissions):
+    """The same lists, and nothing is built for them."""
+    from lorekeep.operators import search
+
+    cfg = Config(permissions=permissions, channel=5)
+    own = [view(spark, sf_dir, x) for x in ("documents", "questions", "kb_docs")]
+    for documents, questions, catalog in (own, (small[1].select("doc_id", "text"), small[0], small[1].where("doc_id <> 3"))):
+        index = build_index(documents, cfg)
+        given = Search(documents, questions, catalog, cfg, index)
+        monkeypatch.setattr(search, "build_index", None)
+        monkeypatch.setattr(search, "QUESTION_BLOCK", 15)
+        monkeypatch.setattr(search._Scorer, "DOCUMENTS", 7)
+        monkeypatch.setattr(search._Scorer, "QUESTIONS", 4)
+        monkeypatch.setattr(search._Scorer, "HELD", 50)
+        direct = Search(documents, questions, catalog, cfg)
+        for name in ("vec", "kw", "kw_raw", "hyb", "rer"):
+            lists = [sorted((r["qid"], r["rk"], r["doc_id"]) for r in getattr(x, name).collect()) for x in (given, direct)]
+            assert lists[0] == lists[1] and lists[0], name
+        monkeypatch.undo()
