@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Gives freed memory of the C library back to the system; not every C library has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
 #: Texts are handed to the per-task helpers in slices of about this many characters.
 SLICE_CHARS = 2_000_000
 #: Runs of a group in a range (`positions`) that are broadcast; more are joined by shuffle.
@@ -95,7 +99,8 @@ def slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[list[str]]:
         end = max(begin + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield [x or "" for x in texts.slice(begin, end - begin).to_pylist()]
         begin = end
-    pa.default_memory_pool().release_unused()  # a worker that waits for its next task keeps little
+    pa.default_memory_pool().release_unused()
+    _trim(0)  # a worker that waits for its next task keeps little
 
 
 class Hashes:

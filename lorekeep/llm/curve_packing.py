@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from lorekeep.llm.common import slices, table, written
-from lorekeep.llm.segments import Words
+from lorekeep.llm.segments import Joined
 
 VOCABULARY = "byte_bpe_50k.json"
 SEQUENCE = 2048
@@ -58,28 +57,22 @@ def byte_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _words(path: str) -> Words:
+def _joined(path: str) -> Joined:
     """The ids that tokenizers gives for the file. tiktoken finds the same ids from the same
     vocabulary in a quarter of the time; the tests hold them against tokenizers."""
     ranks = byte_ranks(path)
     if max(ranks.values()) >= 1 << 16:
         raise ValueError("ids are kept in 16 bits")
     ranks = {t: i for t, i in ranks.items() if t != SPECIAL.encode()}
-    model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(heads: list[str], segments: list[str]) -> tuple[list[bytes], list[bytes]]:
-        got = [array("H", model.encode_ordinary(s)).tobytes() for s in (*heads, *segments)]
-        return got[: len(heads)], got[len(heads) :]
-
-    return Words(encode)
+    return Joined(tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks)
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each whole text, little-endian unsigned 16-bit. Special tokens part a text."""
-    words, special = _words(path), np.array([SPECIAL_ID], "<u2").tobytes()
+    special = np.array([SPECIAL_ID], "<u2").tobytes()
     parted = [t.split(SPECIAL) for t in texts]
-    got = iter(words([part for parts in parted for part in parts]))
-    return [special.join([b"".join(next(got)) for _ in parts]) for parts in parted]
+    got = iter(_joined(path)([part for parts in parted for part in parts]))
+    return [special.join([next(got) for _ in parts]) for parts in parted]
 
 
 @lru_cache(maxsize=1)
@@ -187,11 +180,13 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, with_ids: bool =
         bucket, at, ends = None, 0, np.array(tail[1:] + [whole], np.int64) if tail else np.zeros(0, np.int64)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
-            buckets, docs_, ns, ids = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bucket", "doc_id", "n", "ids"))
-            for b, doc, n, blob in zip(buckets, docs_, ns, ids):
+            if not with_ids:
+                del out["ids"]
+            buckets, docs_, ns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bucket", "doc_id", "n"))
+            for b, doc, n, blob in zip(buckets, docs_, ns, batch.column(batch.schema.get_field_index("ids"))):
                 if b != bucket:
                     bucket, at = b, begins[b]
-                wide = np.frombuffer(blob, "<u2").astype("<u4")
+                wide = np.frombuffer(blob.as_buffer(), "<u2").astype("<u4")  # one document's ids, not the batch's
                 start = 0
                 while start < n:
                     if at < full * sequence:
@@ -206,8 +201,6 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, with_ids: bool =
                         out[name].append(value)
                     start += length
                     at += length
-            if not with_ids:
-                del out["ids"]
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()], names=list(out))
 
     dealt = keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "key", "doc_id").select("bucket", "doc_id", "n", "ids")

@@ -40,6 +40,18 @@ def test_packing_s_ids_are_those_of_tokenizers():
     assert curve_packing.byte_ranks(path)[b"a"] == {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}[b"a"]
 
 
+def test_packing_encodes_the_different_words_of_texts_together(monkeypatch):
+    """One call for all words inside the texts and one for each text's beginning or blank end, whatever the words."""
+    path, asked, real = P.path(curve_packing.VOCABULARY), [], tiktoken.Encoding.encode_ordinary
+    curve_packing.encode_texts(["warm"], path)
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, t: asked.append(t) or real(self, t))
+    rng = random.Random(2)
+    some = [" ".join("".join(rng.choices("abcdé漢", k=9)) for _ in range(400)) + end for end in ("", " ", "\n\u3000 ", " \u2003\n", "\x85 \n")]
+    got = [np.frombuffer(x, "<u2").tolist() for x in curve_packing.encode_texts(some, path)]
+    assert len(asked) <= 1 + 2 * len(some)
+    assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)]
+
+
 def test_counts_follow_the_library_s_tie_rules():
     pieces = token_counts.vocabulary(P.path(token_counts.VOCABULARY))
     tied = [("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0), ("ba", -2.0), ("aba", -3.0)]
