@@ -98,3 +98,25 @@ def test_search_without_an_index_is_that_with_one(spark, sf_dir, small, monkeypa
             lists = [sorted((r["qid"], r["rk"], r["doc_id"]) for r in getattr(x, name).collect()) for x in (given, direct)]
             assert lists[0] == lists[1] and lists[0], name
         monkeypatch.undo()
+
+
+def test_texts_are_read_once(spark, small):
+    """One pass over the texts both counts words and finds what scoring needs."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def text(t):
+        reads.add(1)
+        return t
+
+    documents = small[1].select("doc_id", F.udf(text, "string").asNondeterministic()("text").alias("text"))
+    s = Search(documents, small[0], small[1])
+    assert s.vec.count() and s.kw.count() and s.kw_raw.count() and reads.value == 6
+
+
+def test_words_of_a_cut_text_are_those_found_one_by_one(spark):
+    from lorekeep.operators.search import WORDS
+
+    texts = ["", " .,;", "a", "..a  b_1--2..", "İstanbul ŞX", "é-à", "知识 a-b", "😀 x𝔘y", " a bあう", "a\n\nb\x00c", "²½ Ⅳ"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = d.select(F.filter(tokens(F.col("t")), lambda w: w != "知识").alias("a"), F.regexp_extract_all(F.lower("t"), F.lit(WORDS), F.lit(0)).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and sum(len(r["a"]) for r in got) > 20
