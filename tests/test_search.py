@@ -120,3 +120,9 @@ def test_words_of_a_cut_text_are_those_found_one_by_one(spark):
     d = spark.createDataFrame([(t,) for t in texts], "t string")
     got = d.select(F.filter(tokens(F.col("t")), lambda w: w != "知识").alias("a"), F.regexp_extract_all(F.lower("t"), F.lit(WORDS), F.lit(0)).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in got) and sum(len(r["a"]) for r in got) > 20
+
+
+def test_merged_lists_read_the_texts_of_listed_documents_only(small):
+    got = retrieval.merge_dedupe(documents=small[1].select("doc_id", "text"), questions=small[0], kb_docs=small[1])
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert (1, 1, 0, 1) in set(map(tuple, got.select("qid", "doc_id", "src", "rk").collect()))
