@@ -126,3 +126,16 @@ def test_merged_lists_read_the_texts_of_listed_documents_only(small):
     got = retrieval.merge_dedupe(documents=small[1].select("doc_id", "text"), questions=small[0], kb_docs=small[1])
     assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
     assert (1, 1, 0, 1) in set(map(tuple, got.select("qid", "doc_id", "src", "rk").collect()))
+
+
+@pytest.mark.parametrize("name", ["calibrate", "build_prompt", "rerank_rank", "rerank_pipeline", "token_budget", "min_score", "topk_rerank", "rrf_fuse", "no_context", "funnel", "explicit_order"])
+def test_no_postings_are_dealt_for_ranked_lists(name, spark, sf_dir, monkeypatch):
+    """Neither an index nor a row for each question and matching document is made."""
+    from lorekeep.operators import search
+
+    monkeypatch.setattr(search, "build_index", None)
+    monkeypatch.setattr(search, "_postings", None)
+    monkeypatch.setattr(search.Search, "scored", None)
+    op = getattr(retrieval, name)
+    rows = op(**{x: view(spark, sf_dir, x) for x in op.inputs}).collect()
+    assert rows or name == "no_context"
