@@ -165,3 +165,44 @@ def test_near_memories_of_many_blocks(spark, monkeypatch, spread):
     found = [(u, a, b, round(1 / (1 + l2(x, y)), 6)) for a, u, x in rows for b, o, y in rows if u and u == o and a < b and x and y and len(x) == len(y) and 1 / (1 + l2(x, y)) >= 0.85]
     assert sorted(map(tuple, memory.memory_dup(memory=d).collect())) == sorted(found)
     assert sorted(r["mem_id"] for r in memory.memory_upsert(memory=d).collect()) == sorted({r[0] for r in rows} - {f[1] for f in found})
+
+
+def _group(vectors, blocks=1):
+    """A group of `near.pairs`: one block, or two that meet."""
+    n = len(vectors)
+    own = [0] * n if blocks == 1 else [i % 2 for i in range(n)]
+    ints = lambda x: pa.array(x, pa.int32())
+    return pa.table({"owner": ["u"] * n, "dim": ints([2] * n), "a": ints([0] * n), "b": ints([blocks - 1] * n), "own": ints(own), "id": pa.array(range(n)), "vector": pa.array(vectors, pa.list_(pa.float64()))})
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_near_pairs_of_a_group_are_given_out_a_few_rows_at_a_time(monkeypatch, blocks):
+    monkeypatch.setattr(near, "PAIR_PRODUCT", 8)
+    fields = [("owner", pa.string()), ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("units", pa.list_(pa.int32()))]
+    group = _group([[0.001 * i, 0.0] for i in range(300)], blocks)
+    pairs, most = 0, 0
+    for batch in near._all_pairs(0.85, pa.schema(fields))(iter(group.to_batches())):
+        units = batch["units"].flatten()
+        pairs, most = pairs + sum(x.as_py() != near.APART for x in units), max(most, len(units))
+    assert pairs == (300 * 299 // 2 if blocks == 1 else 150 * 150) and most <= 8 * 300
+
+
+def test_similarities_are_rounded_as_in_sql_also_of_large_and_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(near, "PAIR_BLOCK", 8)
+    monkeypatch.setattr(near, "PAIR_PRODUCT", 3)
+    rng = random.Random(8)
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, "u", [o + rng.gauss(0, 0.1) for _ in range(3)]) for i, o in enumerate([0.0, 1e3, 1e7] * 12)]
+    rows += [(40, "u", [nan, 0.0, 0.0]), (41, "u", [inf, 0.0, 0.0]), (42, "u", [1e200, 0.0, 0.0]), (43, "u", [0.0, None, 0.0]), (5, "u", [1e3, 1e3, 1e3]), (7, "w", [0.0, 0.0, 0.0]), (7, "w", [0.0, 0.0, 0.1]), (8, "w", [0.0, 0.0, 0.2])]
+    d = spark.createDataFrame(rows, "mem_id long, user_id string, embedding array<double>")
+    found = []
+    for a, u, x in rows:
+        for b, o, y in rows:
+            if u == o and a < b and None not in x and None not in y:
+                s = 1 / (1 + l2(x, y))
+                if s >= 0.85 or math.isnan(s):
+                    found.append((u, a, b, str(round(s, 6))))
+    got = [(r["user_id"], r["a"], r["b"], str(r["similarity"])) for r in memory.memory_dup(memory=d).collect()]
+    assert sorted(got) == sorted(found) and len({s for *_, s in found}) > 50
+    named = spark.createDataFrame([(f"m{i}", u, x) for i, u, x in rows], "mem_id string, user_id string, embedding array<double>")
+    assert sorted((r["user_id"], *sorted((r["a"], r["b"])), str(r["similarity"])) for r in memory.memory_dup(memory=named).collect()) == sorted((u, *sorted((f"m{a}", f"m{b}")), s) for u, a, b, s in found)
