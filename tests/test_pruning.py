@@ -4,6 +4,7 @@ import math
 import random
 import statistics
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from lorekeep.operators import alike, knn, memory, near, patterns, ranks, setjoin
 from lorekeep.operators.knn import nearest
+from lorekeep.plans.dialect import DUCK
 
 
 def vectors(n, dim, seed, centres=12):
@@ -199,10 +201,38 @@ def test_similarities_are_rounded_as_in_sql_also_of_large_and_odd_vectors(spark,
     for a, u, x in rows:
         for b, o, y in rows:
             if u == o and a < b and None not in x and None not in y:
-                s = 1 / (1 + l2(x, y))
+                s = 1 / (1 + sum((i - j) * (i - j) for i, j in zip(x, y)))
                 if s >= 0.85 or math.isnan(s):
                     found.append((u, a, b, str(round(s, 6))))
     got = [(r["user_id"], r["a"], r["b"], str(r["similarity"])) for r in memory.memory_dup(memory=d).collect()]
     assert sorted(got) == sorted(found) and len({s for *_, s in found}) > 50
     named = spark.createDataFrame([(f"m{i}", u, x) for i, u, x in rows], "mem_id string, user_id string, embedding array<double>")
     assert sorted((r["user_id"], *sorted((r["a"], r["b"])), str(r["similarity"])) for r in memory.memory_dup(memory=named).collect()) == sorted((u, *sorted((f"m{a}", f"m{b}")), s) for u, a, b, s in found)
+
+
+def test_recalled_memories_are_those_of_the_sql_also_of_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 25)
+    monkeypatch.setattr(near, "PAIR_PRODUCT", 3)
+    rng = random.Random(9)
+    some = lambda: [round(rng.gauss(0, 1), 1) for _ in range(3)]
+    nan, inf = float("nan"), float("inf")
+    odd = [[0.1, None, 0.2], [None, None, None], [], None, [0.5], [0.1, 0.2, 0.3, 9.0], [nan, 0.0, 0.0], [inf, 0.0, 0.0], [1e200, 0.0, 0.0], [None, 0.3, None]] * 3
+    vectors = [some() for _ in range(110)] + [[0.1, 0.2, 0.3]] * 40 + odd
+    rows = [(i, None if i == 7 else f"u{i % 3 if i < 150 else i % 2}", ["profile", "entity", "conclusion"][i % 3], None if i % 31 == 0 else 0.5 + i % 6 / 10, i % 400, x) for i, x in enumerate(vectors)]
+    rows += [(500 + i, "v", "profile", 1.0, 0, [float(i)] if i else [nan]) for i in range(3)]
+    asked = [(i, f"u{i % 3}", some()) for i in range(30)] + [(30, "u0", [0.1, 0.2, 0.3]), (31, "u1", [0.1, None]), (32, "u1", None), (33, "v", [0.0]), (34, "nobody", [0.0]), (5, "u1", some()), (35, None, [0.0])]
+    kinds = ["mem_id long, user_id string, mem_type string, confidence double, age_days long, embedding array<double>", "qid long, user_id string, embedding array<double>"]
+    got = memory.topk_memory(memory=spark.createDataFrame(rows, kinds[0]), memory_queries=spark.createDataFrame(asked, kinds[1]))
+    con = duckdb.connect()
+    for name, data, kind in (("memory", rows, kinds[0]), ("memory_queries", asked, kinds[1])):
+        con.execute(f"CREATE TABLE {name} ({kind.replace(' long', ' BIGINT').replace(' string', ' VARCHAR').replace('array<double>', 'DOUBLE[]')})")
+        con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(data[0]))})", data)
+    expected = con.execute(memory.topk_memory.other(DUCK)).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(expected) and len(expected) > 150
+
+
+def test_no_pair_of_query_and_memory_is_a_row(spark):
+    rows = [(i, "u", "entity", 1.0, 0, [math.sin(i), math.cos(i)]) for i in range(400)]
+    d = spark.createDataFrame(rows, "mem_id long, user_id string, mem_type string, confidence double, age_days long, embedding array<double>")
+    found = near.nearest(d.selectExpr("mem_id AS qid", "user_id AS owner", "embedding AS vector"), d.selectExpr("mem_id AS id", "user_id AS owner", "embedding AS vector"), 3)
+    assert found.count() == 3 * 400
