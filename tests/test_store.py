@@ -10,7 +10,7 @@ from lorekeep.operators.search import Config, Search, build_index, refresh_index
 from lorekeep.operators.segments import FACTOR, SegmentedIndex
 from lorekeep.operators.signature import changed_documents, differing, sign
 from lorekeep.plans.operator import view
-from lorekeep.sources import store
+from lorekeep.sources import files, store
 from lorekeep.sources.files import refused, scratch
 from lorekeep.sources.store import Conflict, VersionedTable
 
@@ -176,3 +176,17 @@ def test_refreshing_a_whole_index_writes_changed_documents(spark):
     docs = spark.createDataFrame([(i, f"a b{i}") for i in range(20)], DOCS)
     now = docs.where("doc_id <> 4")
     assert live(refresh_index(build_index(docs), now, spark.createDataFrame([(4,)], "doc_id long"))) == live(build_index(now))
+
+
+def test_whole_files_stay_small_whatever_a_source_has(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILE", 2000, raising=False)
+    rows = [(i, f"line {i}\nother é" if i % 2 else "the same text", "hot") for i in range(900)] + [(None, f"text {i}", "hot") for i in range(100)]
+    rows += [(2000 + i, t, s) for i, (t, s) in enumerate([("a b", "a b/c+d:100%"), ("x\r\ny", "é%41"), (None, "a b/c+d:100%"), ("no folder", None), ("", "empty")])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = [r["length"] for r in files.scan_directory(spark, files._text_files(spark, str(tmp_path))).collect()]
+    assert max(sizes) < 4 * 2000 and len(sizes) < 30
+    expected = {}
+    for _, t, s in rows:
+        expected[s] = expected.get(s, 0) + len(t or "")
+    assert {r["source"]: r["chars"] for r in files.src_wholetext(spark, str(tmp_path)).collect()} == expected
+    assert {r["source"] for r in files.src_dir_scan(spark, str(tmp_path)).collect()} == set(expected)
